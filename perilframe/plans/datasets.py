@@ -13,7 +13,8 @@ LEADLAG = ["row_id", "district_id", "sample_date", *V.RAIN_ALL, "label"]
 def leadlag_dataset(incident_rain: DataFrame, incidents: DataFrame, negatives: DataFrame) -> DataFrame:
     """Positives (rain at incidents) and negatives in one table, all four rain values present."""
     positives = (
-        incident_rain.dropna(subset=V.RAIN_ALL)
+        incident_rain.select("incident_id", "incident_date", *V.RAIN_ALL)
+        .dropna(subset=V.RAIN_ALL)
         .join(incidents.select(F.col("id").alias("incident_id"), "district_id"), "incident_id")
         .select(
             F.col("incident_id").alias("row_id"), "district_id", F.col("incident_date").alias("sample_date"),
