@@ -10,6 +10,7 @@ from .. import fixed_values as V, schema
 from ..functions.scalar import polymorphic_id
 from ..operators import quality, rain, upsert as writes
 from ..plans import star
+from ..session import stable
 from ..sources import landed
 from .base import INC, INCRAIN, KEYRAIN, RAIN, day_text, query, time_text, with_
 
@@ -258,7 +259,7 @@ def upsert_daily_rain(spark, sf):
 )
 def update_peak(spark, sf):
     """Peak rain written into an existing rain table: 7-day gate, missing pixels skipped, unmatched rows dropped."""
-    points, grid = star.samples(spark, sf), star.rain_grid(spark, sf)
+    points, grid = stable(star.samples(spark, sf)), stable(star.rain_grid(spark, sf))
     stored = rain.at_points(points, grid, star.GEOMETRY, "incident_date", "lon", "lat", gate=1).withColumn(
         "rain_peak_7d", F.lit(None).cast("double")
     )

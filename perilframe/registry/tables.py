@@ -25,7 +25,8 @@ def built_panel(spark, sf):
 
 def rain_at_incidents(spark, sf, gate=1):
     return rain.at_points(
-        star.samples(spark, sf), star.rain_grid(spark, sf), star.GEOMETRY, "incident_date", "lon", "lat", gate
+        stable(star.samples(spark, sf)), stable(star.rain_grid(spark, sf)), star.GEOMETRY,
+        "incident_date", "lon", "lat", gate,
     )
 
 
@@ -240,7 +241,7 @@ def daily_rain(spark, sf):
     rows = star.incidents(spark, sf)
     points = rain.centroids(rows, "district_id", "lon", "lat", "id")
     days = star.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("sample_date"))
-    done = rain.daily_rain(points, star.rain_grid(spark, sf), star.GEOMETRY, days, "district_id")
+    done = rain.daily_rain(points, stable(star.rain_grid(spark, sf)), star.GEOMETRY, days, "district_id")
     return done.withColumn("sample_date", day_text("sample_date"))
 
 
@@ -280,7 +281,7 @@ def negatives_with_rain(spark, sf):
     """Rain written into the drawn rows; rows over uncovered days keep NULLs."""
     drawn = stable(negatives(spark, sf))
     empty = drawn.withColumns({c: F.lit(None).cast("double") for c in V.RAIN_ALL})
-    found = rain.at_points(drawn, star.rain_grid(spark, sf), star.GEOMETRY, "sample_date", "lon", "lat", gate=1)
+    found = rain.at_points(drawn, stable(star.rain_grid(spark, sf)), star.GEOMETRY, "sample_date", "lon", "lat", gate=1)
     return update_only(empty, found, ["id"], V.RAIN_ALL)
 
 
