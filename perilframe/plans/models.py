@@ -86,7 +86,7 @@ def fit_counts(panel: DataFrame, params=None, seed=V.SEED) -> tuple[Run, DataFra
     """Random forest on the panel; returns the run and the scored test periods."""
     params = params or V.RF_COUNTS
     cell = F.concat_ws("|", "district", "hazard", "year", "month").alias("cell")
-    marked = stable(splits.mark_last_periods(panel).select("*", cell), "cell").drop("cell")
+    marked = stable(splits.mark_last_periods(panel).select("*", cell), ["cell"]).drop("cell")
     # Names are encoded over the whole panel, so held-out periods cannot bring unknown codes.
     codes = encode.label_indexer(["district", "hazard"], ["district_code", "hazard_code"]).fit(marked)
     # The sum drops the category metadata: trees then split the codes as plain numbers.
@@ -121,13 +121,13 @@ def score_counts(run: Run, features: DataFrame) -> DataFrame:
 
 def fit_leadlag(training: DataFrame, params=None) -> Run:
     """Boosting on rain, month and district; the most recent share of days is held out."""
-    train, test = _halves(stable(splits.mark_recent_dates(training, "sample_date"), "row_id"))
+    train, test = _halves(stable(splits.mark_recent_dates(training, "sample_date"), ["row_id", "label"]))
     return classify("leadlag", train, test, V.LEADLAG_FEATURES, "label", params or V.GBT_LEADLAG)
 
 
 def fit_default_boosting(training: DataFrame, params=None) -> Run:
     """Untuned boosting on the stratified random split."""
-    train, test = _halves(stable(splits.mark_stratified(training, "label", "row_id"), "row_id"))
+    train, test = _halves(stable(splits.mark_stratified(training, "label", "row_id"), ["row_id", "label"]))
     return classify("gbt_default", train, test, V.LEADLAG_FEATURES, "label", params or V.GBT_DEFAULT)
 
 
@@ -153,7 +153,7 @@ def balanced_weights(train: DataFrame, label: str) -> tuple[DataFrame, float]:
 
 def fit_logistic(name: str, dataset: DataFrame, rain: bool, district: bool, max_iter: int = V.LOGISTIC_MAX_ITER) -> Run:
     """Balanced logistic regression; unit penalty on the summed loss, as 1 / sum of weights on the mean."""
-    train, test = _halves(stable(splits.mark_stratified(dataset, "label", "row_id"), "row_id"))
+    train, test = _halves(stable(splits.mark_stratified(dataset, "label", "row_id"), ["row_id", "label"]))
     inputs = []
     if rain:
         stats = encode.fit_scale(train, V.RAIN_SUMS)
@@ -180,8 +180,8 @@ def search_boosting(
 ) -> Run:
     """Randomised search on the train half by cross-validated ROC-AUC; the winner meets the test half once."""
     space = space or V.SEARCH_SPACE
-    train, test = _halves(stable(splits.mark_stratified(training, "label", "row_id"), "row_id"))
-    train = stable(_vector(V.LEADLAG_FEATURES).transform(splits.with_fold(train, "row_id", folds)), "row_id")
+    train, test = _halves(stable(splits.mark_stratified(training, "label", "row_id"), ["row_id", "label"]))
+    train = stable(_vector(V.LEADLAG_FEATURES).transform(splits.with_fold(train, "row_id", folds)), ["row_id", "label"])
     trees = GBTClassifier(labelCol="label", featuresCol="features", featureSubsetStrategy="all", seed=seed)
     combos = list(itertools.product(*space.values()))
     picked = random.Random(seed).sample(combos, min(draws, len(combos)))
@@ -206,7 +206,7 @@ def fit_severity(dataset: DataFrame, params=None, tautology_rate: float = V.TAUT
     rate_from="all" takes the hazard rates over the whole table; "train" keeps test labels out of them.
     """
     params = params or V.GBT_SEVERITY
-    marked = stable(splits.mark_recent_rows(stable(dataset), "incident_on", "incident_id"), "incident_id")
+    marked = stable(splits.mark_recent_rows(stable(dataset), "incident_on", "incident_id"), ["incident_id"])
     train, test = _halves(marked)
     sure = profile.tautological(marked if rate_from == "all" else train, train, "hazard_id", "casualty", tautology_rate)
     hard_train, hard_test = (profile.drop_groups(d, sure, "hazard_id") for d in (train, test))
@@ -221,7 +221,7 @@ def fit_severity(dataset: DataFrame, params=None, tautology_rate: float = V.TAUT
 
 
 def _loss_halves(dataset: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _halves(stable(splits.mark_recent_rows(stable(dataset), "incident_on", "incident_id"), "incident_id"))
+    return _halves(stable(splits.mark_recent_rows(stable(dataset), "incident_on", "incident_id"), ["incident_id"]))
 
 
 def _regress(name, train, test, features, params) -> Run:
@@ -250,7 +250,7 @@ def fit_tiers(dataset: DataFrame, params=None) -> Run:
     trees = GBTClassifier(featureSubsetStrategy="all", seed=V.SEED, **(params or V.GBT_LOSS))
     model = Pipeline(
         stages=[_vector(V.SEVERITY_FEATURES), OneVsRest(classifier=trees, labelCol="tier", featuresCol="features")]
-    ).fit(stable(train, "incident_id"))
+    ).fit(stable(train, ["incident_id"]))
     scored = stable(model.transform(test).select(F.col("tier").alias("actual"), F.col("prediction").alias("predicted")))
     flat = metrics.multiclass_metrics(scored).first()
     return Run("tier_classification", model, V.SEVERITY_FEATURES, {

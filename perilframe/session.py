@@ -65,16 +65,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stable(df: DataFrame, order: str | None = None) -> DataFrame:
+def stable(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Write df to a table in the shared folder and read it from there.
 
     For results that several branches or an iterative fit read again: the
     inputs are scanned once, a lost executor costs a re-read instead of a recompute,
-    and the planner knows the true size of what it reads. With `order` (a unique column) the row
+    and the planner knows the true size of what it reads. With `order` (columns that identify a row) the
     layout depends on the data alone, so seeded row sampling repeats from run to run.
     """
     if order is not None:
-        df = df.repartition(order).sortWithinPartitions(order)
+        df = df.repartition(*order).sortWithinPartitions(*order)
     path = scratch_path(df.sparkSession, "stable")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
