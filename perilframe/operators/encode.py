@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .order_stats import running_totals
 
 
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """value -> 0-based position in sorted order."""
-    values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
-    return values.select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+    values = df.select(F.col(column).alias("value")).where("value is not null").distinct().withColumn("n", F.lit(1))
+    return running_totals(values, "value", ["n"]).select("value", F.col("n_before").cast("int").alias("code"))
 
 
 def label_indexer(inputs: list[str], outputs: list[str]) -> StringIndexer:

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .order_stats import KEYS_PER_TASK, running_totals
+from .order_stats import running_totals
 
 
-def _score_table(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score."""
+def _score_table(scored: DataFrame, label: str, score: str, by: tuple[str, ...]) -> DataFrame:
+    """Positives and negatives per distinct score: a score shared by a third of the rows is one row here."""
     return (
         scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-        .groupBy(F.col(score).cast("double").alias("score"))
+        .groupBy(*by, F.col(score).cast("double").alias("score"))
         .agg(
             F.count_if(F.col(label) == 1).alias("pos"),
             F.count_if(F.col(label) == 0).alias("neg"),
@@ -20,20 +20,21 @@ def _score_table(scored: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def ranking_metrics(
-    scored: DataFrame, label: str = "label", score: str = "score", keys_per_task: int = KEYS_PER_TASK
+    scored: DataFrame, label: str = "label", score: str = "score", by: tuple[str, ...] = (), ranges: int | None = None
 ) -> DataFrame:
-    """One row: roc_auc (ties count half) and average_precision (step sum). Null without both classes."""
-    table, totals = running_totals(_score_table(scored, label, score), "score", ["pos", "neg"], keys_per_task)
-    p, n = totals["pos"], totals["neg"]
-    # Rows at or above this score are what a threshold here would flag.
-    hits = F.lit(p) - F.col("pos_before")
-    flagged = hits + F.lit(n) - F.col("neg_before")
-    won = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
-    steps = F.sum(F.col("pos") * hits / flagged)
-    both = F.lit(bool(p and n))
-    return table.agg(
-        F.when(both, won / F.lit(float(max(p, 1)) * max(n, 1))).alias("roc_auc"),
-        F.when(both, steps / F.lit(float(max(p, 1)))).alias("average_precision"),
+    """roc_auc (ties count half) and average_precision (step sum), per `by` group or as one row.
+
+    Null without both classes.
+    """
+    table = running_totals(_score_table(scored, label, score, by), "score", ["pos", "neg"], by, ranges)
+    # Rows at or above a score are what a threshold there would flag.
+    hits = F.col("pos_total") - F.col("pos_before")
+    flagged = hits + F.col("neg_total") - F.col("neg_before")
+    p, n = F.sum("pos").cast("double"), F.sum("neg").cast("double")
+    both = (p > 0) & (n > 0)
+    return table.groupBy(*by).agg(
+        F.when(both, F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)) / (p * n)).alias("roc_auc"),
+        F.when(both, F.sum(F.col("pos") * hits / flagged) / p).alias("average_precision"),
     )
 
 

@@ -4,8 +4,8 @@ Two tools:
 * histogram refinement finds the value at a rank. Every pass groups by a cell
   number, so a pass returns at most CELLS rows per wanted rank no matter how
   many rows the table has, and hot values collapse in the map-side combine.
-* running totals over distinct keys are cut into balanced key ranges; only the
-  per-range sums (at most RANGES rows) meet in one place.
+* running totals over distinct keys are taken per written key range; only the
+  per-range sums meet in one place.
 """
 
 from __future__ import annotations
@@ -13,12 +13,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stable
+
 CELLS = 4096
-RANGES = 1024
-KEYS_PER_TASK = 500_000
 
 
 @dataclass(frozen=True)
@@ -127,47 +126,34 @@ def first_rows(df: DataFrame, keys: list[Column], take: int) -> Column:
 
 
 def running_totals(
-    keyed: DataFrame, key: str, values: list[str], keys_per_task: int = KEYS_PER_TASK
-) -> tuple[DataFrame, dict[str, int]]:
-    """For one row per key, add `<v>_before`: the sum of v over smaller keys.
+    keyed: DataFrame, key: str, values: list[str], by: tuple[str, ...] = (), ranges: int | None = None
+) -> DataFrame:
+    """For one row per (by, key), add per v: `<v>_before`, the sum over smaller keys, and `<v>_total`.
 
-    Returns the frame and the grand totals. Up to keys_per_task keys are summed
-    in one task; beyond that the keys are cut at approximate quantiles into
-    balanced ranges, which changes the layout but not the result.
+    The rows are written once in key order; Spark balances the key ranges of the files, and small
+    inputs end up in one file. Sums inside a file need only that file, and only the per-file sums
+    (as many rows as files, plus one per group) meet in one place. `ranges` fixes the number of ranges.
     """
-    share = [i / RANGES for i in range(1, RANGES)]
-    stats = keyed.agg(
-        F.count("*").alias("keys"),
-        F.percentile_approx(F.col(key).cast("double"), share, 10 * RANGES).alias("cuts"),
-        *[F.sum(v).alias(f"total_{v}") for v in values],
-    ).first()
-    totals = {v: stats[f"total_{v}"] or 0 for v in values}
-
-    def before(window) -> list[Column]:
-        return [F.coalesce(F.sum(v).over(window), F.lit(0)).alias(f"{v}_before") for v in values]
-
-    if stats["keys"] <= keys_per_task:
-        window = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        return keyed.select("*", *before(window)), totals
-
-    ranges = min(RANGES, math.ceil(stats["keys"] / keys_per_task))
-    picks = sorted({stats["cuts"][i * RANGES // ranges - 1] for i in range(1, ranges)})
-    bucketizer = Bucketizer(
-        splits=[-math.inf, *picks, math.inf], inputCol="_sort", outputCol="_range", handleInvalid="keep"
-    )
-    ranged = bucketizer.transform(keyed.withColumn("_sort", F.col(key).cast("double")))
-    # At most RANGES rows from here: one task and a broadcast are bounded by construction.
-    sums = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_{v}") for v in values])
-    over_ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    order = [*by, key]
+    if ranges is None:
+        ordered = keyed.orderBy(*order)
+    else:
+        ordered = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    table = stable(ordered).select("*", F.col("_metadata.file_name").alias("_file"))
+
+    sums = table.groupBy(*by, "_file").agg(F.min(key).alias("_first"), *[F.sum(v).alias(f"_{v}") for v in values])
+    earlier = Window.partitionBy(*by).orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*by)
     offsets = sums.select(
-        "_range", *[F.coalesce(F.sum(f"_{v}").over(over_ranges), F.lit(0)).alias(f"_{v}") for v in values]
+        *by,
+        "_file",
+        *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}") for v in values],
+        *[F.sum(f"_{v}").over(group).alias(f"{v}_total") for v in values],
     )
-    local = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.select("*", *before(local)).join(F.broadcast(offsets), "_range")
-    return (
-        summed.select(
-            *keyed.columns,
-            *[(F.col(f"{v}_before") + F.col(f"_{v}")).alias(f"{v}_before") for v in values],
-        ),
-        totals,
+    local = Window.partitionBy(*by, "_file").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    within = table.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"{v}_before") for v in values])
+    return within.join(F.broadcast(offsets), [*by, "_file"]).select(
+        *keyed.columns,
+        *[(F.col(f"{v}_before") + F.col(f"_{v}")).alias(f"{v}_before") for v in values],
+        *[f"{v}_total" for v in values],
     )

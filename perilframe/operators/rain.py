@@ -75,11 +75,13 @@ def at_points(
     Samples whose `gate`-day window has no grid day are dropped; samples over a
     missing pixel stay with NULLs. Samples first collapse to distinct (cell, day) keys,
     so thousands of reports from one place cost one lookup, and the range
-    join becomes an equi join on (cell, day).
+    join becomes an equi join on (cell, day). Only grid days the samples can reach are read.
     """
-    located = covered(
-        samples.where(F.col(day).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull()), grid, day, gate
-    ).select("*", *geometry.cells(lon, lat))
+    samples = samples.where(F.col(day).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    first = samples.agg(F.date_sub(F.min(day), V.PEAK_WINDOW)).scalar()
+    last = samples.agg(F.max(day)).scalar()
+    grid = grid.where((F.col("date") >= first) & (F.col("date") < last))
+    located = covered(samples, grid, day, gate).select("*", *geometry.cells(lon, lat))
     features = key_windows(located.select(*CELL, day).distinct(), grid, day)
     return located.join(features, [*CELL, day], "left").drop(*CELL)
 

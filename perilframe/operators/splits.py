@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.scalar import month_index, spread_hash
+from ..session import stable
 from .order_stats import first_rows
 
 
@@ -75,8 +76,10 @@ def negative_samples(
     if not span["n"]:
         return points.limit(0).withColumn(day, F.lit(None).cast("date"))
     days = F.sequence(F.lit(span["a"]), F.lit(span["b"]), F.expr("interval 1 day"))
-    free = points.select("*", F.explode(days).alias(day)).join(
-        positives.select(group, day).distinct(), [group, day], "left_anti"
+    free = stable(
+        points.select("*", F.explode(days).alias(day)).join(
+            positives.select(group, day).distinct(), [group, day], "left_anti"
+        )
     )
     number = F.col(group).cast("bigint") * 1_000_000 + F.unix_date(day)
     keys = [spread_hash(number, seed), number]

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
-from .metrics import prf_at, prf_from_counts, ranking_metrics
+from .metrics import prf_from_counts, ranking_metrics
 from .order_stats import quantiles
 
 
@@ -75,19 +75,21 @@ def best(scored: DataFrame) -> DataFrame:
 
 def search(train: DataFrame, test: DataFrame, features=tuple(V.RAIN_SUMS), label: str = "label") -> DataFrame:
     """Pick each feature's threshold on train, score it once on test."""
-    picked = best(score_candidates(train, {f: candidates(train, f) for f in features}, label)).collect()
-    rows = []
-    for row in sorted(picked, key=lambda r: r["feature"]):  # one row per feature
-        flat = prf_at(test, row["threshold"], label, row["feature"])
-        ranked = ranking_metrics(test, label, row["feature"])
-        rows.append(
-            flat.select(
-                F.lit(row["feature"]).alias("feature"),
-                F.lit(row["threshold"]).alias("threshold"),
-                F.lit(row["train_f1"]).alias("train_f1"),
-                "precision", "recall", "f1",
-                ranked.select("roc_auc").scalar().alias("roc_auc"),
-                ranked.select("average_precision").scalar().alias("average_precision"),
+    picked = best(score_candidates(train, {f: candidates(train, f) for f in features}, label)).collect()  # a row per feature
+    pairs = F.array(
+        *[
+            F.struct(
+                F.lit(r["feature"]).alias("feature"), F.lit(r["threshold"]).alias("threshold"),
+                F.lit(r["train_f1"]).alias("train_f1"), F.col(r["feature"]).cast("double").alias("score"),
             )
-        )
-    return reduce(DataFrame.unionByName, rows)
+            for r in picked
+        ]
+    )
+    scored = test.select(F.col(label).alias("label"), F.inline(pairs))
+    flagged, truth = F.col("score") >= F.col("threshold"), F.col("label") == 1
+    flat = scored.groupBy("feature", "threshold", "train_f1").agg(
+        F.count_if(flagged & truth).alias("tp"), F.count_if(flagged & ~truth).alias("fp"), F.count_if(~flagged & truth).alias("fn")
+    )
+    return flat.select(
+        "feature", "threshold", "train_f1", *prf_from_counts(F.col("tp"), F.col("fp"), F.col("fn"))
+    ).join(ranking_metrics(scored, by=("feature",)), "feature")

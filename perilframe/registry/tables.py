@@ -23,11 +23,9 @@ def built_panel(spark, sf):
     return panel.build_panel(star.incidents(spark, sf), star.districts(spark, sf), star.hazards(spark, sf))
 
 
-def rain_at_incidents(spark, sf, gate=1):
-    return rain.at_points(
-        stable(star.samples(spark, sf)), stable(star.rain_grid(spark, sf)), star.GEOMETRY,
-        "incident_date", "lon", "lat", gate,
-    )
+def rain_at_incidents(spark, sf, gate=1, grid=None):
+    grid = grid if grid is not None else stable(star.rain_grid(spark, sf))
+    return rain.at_points(stable(star.samples(spark, sf)), grid, star.GEOMETRY, "incident_date", "lon", "lat", gate)
 
 
 # --- panel ---------------------------------------------------------------
@@ -277,16 +275,20 @@ def negatives(spark, sf):
     return drawn.select(number.alias("id"), "district_id", "sample_date", "lon", "lat")
 
 
-def negatives_with_rain(spark, sf):
+def negatives_with_rain(spark, sf, grid=None):
     """Rain written into the drawn rows; rows over uncovered days keep NULLs."""
+    grid = grid if grid is not None else stable(star.rain_grid(spark, sf))
     drawn = stable(negatives(spark, sf))
     empty = drawn.withColumns({c: F.lit(None).cast("double") for c in V.RAIN_ALL})
-    found = rain.at_points(drawn, stable(star.rain_grid(spark, sf)), star.GEOMETRY, "sample_date", "lon", "lat", gate=1)
+    found = rain.at_points(drawn, grid, star.GEOMETRY, "sample_date", "lon", "lat", gate=1)
     return update_only(empty, found, ["id"], V.RAIN_ALL)
 
 
 def leadlag(spark, sf):
-    return datasets.leadlag_dataset(rain_at_incidents(spark, sf), star.incidents(spark, sf), negatives_with_rain(spark, sf))
+    grid = stable(star.rain_grid(spark, sf))
+    return datasets.leadlag_dataset(
+        rain_at_incidents(spark, sf, grid=grid), star.incidents(spark, sf), negatives_with_rain(spark, sf, grid)
+    )
 
 
 @query(

@@ -65,9 +65,9 @@ def flatten(records: DataFrame, text: str = "record") -> DataFrame:
     )
 
 
-def reject_reason(text: str = "record") -> Column:
-    """Why a record cannot be stored; null for a good one."""
-    r = F.from_json(text, schema.REPORT)
+def with_reason(records: DataFrame, text: str = "record") -> DataFrame:
+    """Add `reason`: why a record cannot be stored; null for a good one."""
+    r = F.col("_r")
     bad_time = [
         F.when(r[n].isNotNull() & _time(r[n]).isNull(), F.lit(f"bad {n}"))
         for n in ("incidentOn", "reportedOn", "createdOn", "modifiedOn")
@@ -75,16 +75,13 @@ def reject_reason(text: str = "record") -> Column:
     bad_flag = [
         F.when(r[n].isNotNull() & r[n].try_cast("boolean").isNull(), F.lit(f"bad {n}")) for n in ("verified", "approved")
     ]
-    return F.coalesce(
+    reason = F.coalesce(
         F.when(r["id"].isNull(), F.lit("no id")),
         F.when(r["id"].try_cast("bigint").isNull(), F.lit("bad id")),
         *bad_time,
         *bad_flag,
     )
-
-
-def with_reason(records: DataFrame, text: str = "record") -> DataFrame:
-    return records.withColumn("reason", reject_reason(text))
+    return records.withColumn("_r", F.from_json(text, schema.REPORT)).withColumn("reason", reason).drop("_r")
 
 
 def split_rejects(records: DataFrame, text: str = "record") -> tuple[DataFrame, DataFrame]:

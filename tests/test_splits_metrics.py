@@ -37,13 +37,18 @@ def test_first_rows_with_a_third_on_one_key(spark, take):
     assert got == sorted(rows)[:take]
 
 
-def test_running_totals_in_ranges_equal_one_task(spark):
-    rows = [(float(i % 700) if i % 3 else -5.0 * i, i % 5) for i in range(3000)]
-    df = spark.createDataFrame(rows, "k double, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    one, t1 = order_stats.running_totals(df, "k", ["n"])
-    cut, t2 = order_stats.running_totals(df, "k", ["n"], keys_per_task=50)
-    pick = lambda d: sorted((r["k"], r["n"], r["n_before"]) for r in d.collect())
-    assert t1 == t2 and pick(one) == pick(cut)
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_running_totals_in_ranges_equal_brute_force(spark, by):
+    rows = sorted({(i % 2 if by else 0, float(i % 700) if i % 3 else -5.0 * i): i % 5 for i in range(3000)}.items())
+    df = spark.createDataFrame([(g, k, n) for (g, k), n in rows], "g int, k double, n bigint")
+    expected, before = [], {}
+    for (g, k), n in rows:
+        expected.append((g, k, n, before.get(g, 0)))
+        before[g] = before.get(g, 0) + n
+    for ranges in (None, 1, 13):
+        got = order_stats.running_totals(df, "k", ["n"], by, ranges).collect()
+        assert sorted((r["g"], r["k"], r["n"], r["n_before"]) for r in got) == expected
+        assert all(r["n_total"] == before[r["g"]] for r in got)
 
 
 def scored(spark, pairs):
@@ -62,7 +67,7 @@ def test_ranking_metrics_in_ranges(spark):
     rng = random.Random(1)
     pairs = [(round(rng.random(), 3), int(rng.random() < 0.3)) for _ in range(4000)]
     a = metrics.ranking_metrics(scored(spark, pairs)).first()
-    b = metrics.ranking_metrics(scored(spark, pairs), keys_per_task=100).first()
+    b = metrics.ranking_metrics(scored(spark, pairs), ranges=9).first()
     assert np.allclose([a[0], a[1]], [b[0], b[1]])
     pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
@@ -74,6 +79,12 @@ def test_ranking_metrics_need_both_classes(spark):
     assert row["roc_auc"] is None and row["average_precision"] is None
 
 
+def test_ranking_metrics_per_group(spark):
+    df = spark.createDataFrame([("a", s, y) for s, y in TIES] + [("b", s, 1 - y) for s, y in TIES], "g string, score double, label int")
+    got = {r["g"]: r["roc_auc"] for r in metrics.ranking_metrics(df, by=("g",)).collect()}
+    assert abs(got["a"] - 0.75) < 1e-12 and abs(got["b"] - 0.25) < 1e-12
+
+
 def test_prf_threshold_is_inclusive_and_zero_when_undefined(spark):
     row = metrics.prf_at(scored(spark, [(0.5, 1), (0.4, 1)])).first()
     assert (row["tp"], row["fn"], row["recall"]) == (1, 1, 0.5)
