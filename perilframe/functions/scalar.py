@@ -21,11 +21,6 @@ def polymorphic_id(text: Column | str) -> Column:
     return F.coalesce(F.get_json_object(text, "$.id"), text).try_cast("int")
 
 
-def json_number(text: Column | str, field: str, dtype: str = "double") -> Column:
-    """Numeric field of a JSON object; null when the fragment is not an object."""
-    return F.get_json_object(col(text), f"$.{field}").cast(dtype)
-
-
 def month_index(year: Column | str, month: Column | str) -> Column:
     """Months on one line, so the month before January is index - 1."""
     return (col(year) * 12 + col(month) - 1).cast("int")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import month_index
 
@@ -96,8 +98,25 @@ def serving_features(requests: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def refresh_periods(counts: DataFrame, incidents_counts: DataFrame, touched: DataFrame) -> DataFrame:
+def in_periods(periods: DataFrame, when: str) -> Column:
+    """Predicate on a time column that holds inside the given (year, month) periods.
+
+    Neighbouring months merge into ranges with literal bounds, so the scan of the
+    fact skips everything else. The months come back to the driver: a calendar-bounded list.
+    """
+    months = sorted(r["m"] for r in periods.select(month_index("year", "month").alias("m")).distinct().collect())
+    inside = F.lit(False)
+    while months:
+        run = 1
+        while run < len(months) and months[run] == months[0] + run:
+            run += 1
+        start, end = (dt.datetime(m // 12, m % 12 + 1, 1) for m in (months[0], months[0] + run))
+        inside = inside | ((F.col(when) >= F.lit(start)) & (F.col(when) < F.lit(end)))
+        months = months[run:]
+    return inside
+
+
+def refresh_periods(counts: DataFrame, recomputed: DataFrame, touched: DataFrame) -> DataFrame:
     """Replace the cells of the touched (year, month) periods by recomputed ones."""
-    periods = touched.select("year", "month").distinct()
-    kept = counts.join(periods, ["year", "month"], "left_anti")
-    return kept.select(*CELL, "incident_count").unionByName(incidents_counts.select(*CELL, "incident_count"))
+    kept = counts.join(touched.select("year", "month").distinct(), ["year", "month"], "left_anti")
+    return kept.select(*CELL, "incident_count").unionByName(recomputed.select(*CELL, "incident_count"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..functions.scalar import casualty_flag, json_number, monday_zero
+from ..functions.scalar import casualty_flag, monday_zero
 
+LOSS_REPORT = "loss struct<peopleDeathCount:string,peopleInjuredCount:string,estimatedLoss:string>"
 LEADLAG = ["row_id", "district_id", "sample_date", *V.RAIN_ALL, "label"]
 
 
@@ -41,20 +42,27 @@ def _with_rain(incidents: DataFrame, incident_rain: DataFrame, *extra) -> DataFr
     ).join(incident_rain.select("incident_id", *V.RAIN_ALL), "incident_id")
 
 
+def _with_loss(incidents: DataFrame) -> DataFrame:
+    """Add the report's loss object as `_r.loss`, parsed once; null where loss is not an object.
+
+    The one-element explode keeps later filters from copying the parse.
+    """
+    return incidents.select("*", F.explode(F.array(F.from_json("raw_data", LOSS_REPORT))).alias("_r"))
+
+
 def severity_dataset(incidents: DataFrame, incident_rain: DataFrame) -> DataFrame:
     """Casualty label from the report's loss object; other loss fields stay out (they are outcomes)."""
-    loss = F.get_json_object("raw_data", "$.loss")
-    label = casualty_flag(json_number(loss, "peopleDeathCount", "int"), json_number(loss, "peopleInjuredCount", "int"))
-    return _with_rain(incidents, incident_rain, label.alias("casualty")).select(
+    label = casualty_flag(*(F.col(f"_r.loss.{c}").cast("int") for c in ("peopleDeathCount", "peopleInjuredCount")))
+    return _with_rain(_with_loss(incidents), incident_rain, label.alias("casualty")).select(
         "incident_id", "incident_on", "hazard_id", "district_id", "month", "day_of_week", *V.RAIN_ALL, "casualty"
     )
 
 
 def loss_dataset(incidents: DataFrame, incident_rain: DataFrame) -> DataFrame:
     """Incidents with an estimated loss, on the log scale; no outlier is capped."""
-    estimate = F.get_json_object("raw_data", "$.loss.estimatedLoss").cast("double")
+    estimate = F.col("_r.loss.estimatedLoss").cast("double")
     return (
-        _with_rain(incidents, incident_rain, estimate.alias("estimated_loss"))
+        _with_rain(_with_loss(incidents), incident_rain, estimate.alias("estimated_loss"))
         .where("estimated_loss is not null")
         .select(
             "incident_id", "incident_on", "hazard_id", "district_id", "month", "day_of_week", *V.RAIN_ALL,

@@ -132,10 +132,8 @@ def late_refresh(spark, sf):
     before = stable(grids.monthly_counts(rows.where("status <> 'P'"), districts, hazards))
     late = rows.where("status = 'P'")
     periods = stable(late.select(F.year("incident_on").alias("year"), F.month("incident_on").alias("month")).distinct())
-    period_rows = rows.withColumns({"year": F.year("incident_on"), "month": F.month("incident_on")}).join(
-        periods, ["year", "month"], "left_semi"
-    )
-    return grids.refresh_periods(before, grids.monthly_counts(period_rows, districts, hazards), periods)
+    again = grids.monthly_counts(rows.where(grids.in_periods(periods, "incident_on")), districts, hazards)
+    return grids.refresh_periods(before, again, periods)
 
 
 # --- anomalies -----------------------------------------------------------

@@ -37,15 +37,25 @@ def _time(c: Column) -> Column:
     return c.try_cast("timestamp")
 
 
+def parse(records: DataFrame, text: str = "record") -> DataFrame:
+    """Add the parsed report as `_r`, so that checks and columns share one pass over the JSON.
+
+    The one-element explode keeps later filters above the parse; as a plain column the
+    optimizer would copy the parse into every predicate on it.
+    """
+    if "_r" in records.columns:
+        return records
+    return records.select("*", F.explode(F.array(F.from_json(text, schema.REPORT))).alias("_r"))
+
+
 def flatten(records: DataFrame, text: str = "record") -> DataFrame:
-    """The 15 stored columns plus the record text; the JSON is parsed once per row.
+    """The 15 stored columns, and the record text as raw_data.
 
-    Values that do not convert become NULL here; `rejects` reports them.
+    Values that do not convert become NULL here; `with_reason` tells why.
     """
     r = lambda name: F.col(f"_r.{name}")
     coordinates = r("point.coordinates")
-    parsed = records.select(F.col(text).alias("raw_data"), F.from_json(text, schema.REPORT).alias("_r"))
-    return parsed.select(
+    return parse(records, text).select(
         r("id").try_cast("bigint").alias("id"),
         r("title").alias("title"),
         r("titleNe").alias("title_ne"),
@@ -61,12 +71,12 @@ def flatten(records: DataFrame, text: str = "record") -> DataFrame:
         polymorphic_id(r("loss")).alias("loss_id"),
         _time(r("createdOn")).alias("created_on"),
         _time(r("modifiedOn")).alias("modified_on"),
-        "raw_data",
+        F.col(text).alias("raw_data"),
     )
 
 
 def with_reason(records: DataFrame, text: str = "record") -> DataFrame:
-    """Add `reason`: why a record cannot be stored; null for a good one."""
+    """Parsed records with `reason`: why a record cannot be stored; null for a good one."""
     r = F.col("_r")
     bad_time = [
         F.when(r[n].isNotNull() & _time(r[n]).isNull(), F.lit(f"bad {n}"))
@@ -81,13 +91,13 @@ def with_reason(records: DataFrame, text: str = "record") -> DataFrame:
         *bad_time,
         *bad_flag,
     )
-    return records.withColumn("_r", F.from_json(text, schema.REPORT)).withColumn("reason", reason).drop("_r")
+    return parse(records, text).withColumn("reason", reason)
 
 
 def split_rejects(records: DataFrame, text: str = "record") -> tuple[DataFrame, DataFrame]:
     """(good records, rejected records with a reason). One bad record never costs its neighbours."""
     judged = with_reason(records, text)
-    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null").drop("_r")
 
 
 def trailing_window(incidents: DataFrame, as_of, days_back: int = V.INTAKE_DAYS, feed: str = V.FEED_NAME) -> DataFrame:

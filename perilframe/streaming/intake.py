@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema
-from ..operators.upsert import collapse
+from ..operators.upsert import collapse, upsert
 from ..sources import landed
 
 KEYS, MUTABLE = schema.UPSERT_RULES["incidents"]
@@ -20,7 +20,7 @@ LOG_SCHEMA = f"{schema.INCIDENTS}, changed_at timestamp, batch_id bigint"
 
 def _write_batch(log_path: str, reject_path: str | None):
     def write(batch: DataFrame, batch_id: int) -> None:
-        judged = landed.with_reason(batch, "value").withColumnRenamed("value", "record")
+        judged = landed.with_reason(batch.withColumnRenamed("value", "record")).persist()
         good = landed.flatten(judged.where("reason is null"))
         # The order inside a batch: by modification time, then by text for equal times.
         changed = F.coalesce("modified_on", "created_on", F.lit("1970-01-01").cast("timestamp"))
@@ -28,7 +28,9 @@ def _write_batch(log_path: str, reject_path: str | None):
         folded = collapse(rows, KEYS, [*MUTABLE, "changed_at"], F.struct("changed_at", "raw_data"))
         folded.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
         if reject_path is not None:
-            judged.where("reason is not null").write.mode("overwrite").parquet(f"{reject_path}/batch_id={batch_id}")
+            bad = judged.where("reason is not null").select("record", "reason")
+            bad.write.mode("overwrite").parquet(f"{reject_path}/batch_id={batch_id}")
+        judged.unpersist()
 
     return write
 
@@ -51,8 +53,15 @@ def read_log(spark: SparkSession, log_path: str) -> DataFrame:
 
 
 def current(log: DataFrame) -> DataFrame:
-    """The table the log describes: first-seen values, with the newest batch's mutable columns."""
-    return collapse(log.drop("changed_at"), KEYS, MUTABLE, "batch_id").drop("batch_id")
+    """The table the log describes: first-seen values, with the newest batch's mutable columns.
+
+    Every folder holds a key once, so the oldest (after compaction: the large one) is the
+    stored table, and the later ones are an upsert into it that leaves it unshuffled.
+    """
+    oldest = log.agg(F.min("batch_id")).scalar()
+    rows = log.drop("changed_at")
+    base = rows.where(F.col("batch_id") == oldest).drop("batch_id")
+    return upsert(base, rows.where(F.col("batch_id") > oldest), KEYS, MUTABLE, order="batch_id")
 
 
 def compact(spark: SparkSession, log_path: str, target: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,7 +15,8 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from perilframe.session import local_session
 
-    session = local_session("8", "tests")
+    folder = tempfile.mkdtemp(prefix="perilframe-tests-")
+    session = local_session("8", "tests", **{"spark.checkpoint.dir": folder})
     yield session
     session.stop()
 

@@ -13,7 +13,11 @@ def con(sf):
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_same_rows(spark, sf, con, name):
-    assert oracle.difference(entry.queries()[name](spark, sf), con, entry.oracle_sql()[name]) is None
+    df = entry.queries()[name](spark, sf)
+    assert oracle.difference(df, con, entry.oracle_sql()[name]) is None
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for shape in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "MapInPandas"):
+        assert shape not in plan
 
 
 def test_every_sql_has_a_query():
