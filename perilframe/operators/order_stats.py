@@ -106,22 +106,33 @@ def quantiles(df: DataFrame, key: Column | str, probabilities) -> list[float]:
     ]
 
 
-def first_rows(df: DataFrame, keys: list[Column], take: int) -> Column:
+def first_rows(df: DataFrame, keys: list[Column], take) -> Column:
     """Predicate that holds for exactly the first `take` rows in key order.
 
-    The keys are non-null integers and the last one is unique among ties. The result is
-    a plain comparison with literals, so marking the rows costs no shuffle.
+    `take` is a number, or a function of the row count that spares a separate count. The keys are
+    non-null integers and the last one is unique among ties. The result is a plain
+    comparison with literals, so marking the rows costs no shuffle.
     """
-    if take <= 0:
+    if not callable(take) and take <= 0:
         return F.lit(False)
-    chosen, tied = F.lit(False), F.lit(True)
+    asked: list[int] = []
+
+    def last_rank(rows: int) -> list[int]:
+        asked.append(take(rows) if callable(take) else take)
+        return [asked[0] - 1] if asked[0] > 0 else []
+
+    chosen, tied, wanted = F.lit(False), F.lit(True), last_rank
     for key in keys:
-        at = locate_ranks(df.where(tied), key, [take - 1])[0]
-        if at.below + at.equal == take:
+        located = locate_ranks(df.where(tied), key, wanted)
+        if not located:
+            return F.lit(False)
+        at, left = located[0], asked[0]
+        if at.below + at.equal == left:
             return chosen | (tied & (key <= F.lit(at.value)))
         chosen = chosen | (tied & (key < F.lit(at.value)))
         tied = tied & (key == F.lit(at.value))
-        take -= at.below
+        asked[0] = left - at.below
+        wanted = [asked[0] - 1]
     raise ValueError("the last key is not unique among tied rows")
 
 

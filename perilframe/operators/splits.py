@@ -10,6 +10,9 @@ from ..session import stable
 from .order_stats import first_rows
 
 
+END_OF_TIME = 253402300799999999  # the last microsecond of year 9999
+
+
 def mark_last_periods(df: DataFrame, periods: int = V.TEST_PERIODS, year="year", month="month") -> DataFrame:
     """is_test = row lies in the last `periods` distinct (year, month) periods."""
     index = month_index(year, month)
@@ -29,12 +32,12 @@ def mark_recent_dates(df: DataFrame, day: str, fraction: float = V.TEST_FRACTION
 def mark_recent_rows(df: DataFrame, when: str, row_id: str, fraction: float = V.TEST_FRACTION) -> DataFrame:
     """is_test = row is among the last floor(share) rows by (time, id), at least one.
 
-    The cut is located as a (time, id) pair by histogram passes; the mark itself
+    Rows without a time count as the most recent. The cut is located as a (time, id) pair by histogram passes; the mark itself
     is a comparison, even if one instant holds a third of the table.
     """
-    keys = [F.unix_micros(F.col(when).cast("timestamp")), F.col(row_id).cast("bigint")]
-    rows = df.count()
-    train = first_rows(df, keys, rows - max(1, int(rows * fraction)))
+    time = F.coalesce(F.unix_micros(F.col(when).cast("timestamp")), F.lit(END_OF_TIME))
+    keys = [time, F.col(row_id).cast("bigint")]
+    train = first_rows(df, keys, lambda rows: rows - max(1, int(rows * fraction)))
     return df.withColumn("is_test", ~train)
 
 
@@ -83,5 +86,4 @@ def negative_samples(
     )
     number = F.col(group).cast("bigint") * 1_000_000 + F.unix_date(day)
     keys = [spread_hash(number, seed), number]
-    wanted = min(ratio * span["n"], free.count())
-    return free.where(first_rows(free, keys, wanted))
+    return free.where(first_rows(free, keys, lambda rows: min(ratio * span["n"], rows)))

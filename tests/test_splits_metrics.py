@@ -139,6 +139,17 @@ def test_recent_rows_split_ties_by_id(spark):
     assert sorted(r["id"] for r in marked.where("is_test").collect()) == [8, 9]
 
 
+def test_recent_rows_without_a_time_are_the_most_recent(spark):
+    rows = [(i, None if i < 2 else dt.datetime(1960, 1, 1 + i)) for i in range(10)]
+    marked = splits.mark_recent_rows(spark.createDataFrame(rows, "id int, at timestamp"), "at", "id")
+    assert sorted(r["id"] for r in marked.where("is_test").collect()) == [0, 1]
+
+
+def test_recent_rows_of_one_row(spark):
+    marked = splits.mark_recent_rows(spark.createDataFrame([(1, dt.datetime(2024, 1, 1))], "id int, at timestamp"), "at", "id")
+    assert [r["is_test"] for r in marked.collect()] == [True]
+
+
 def test_splits_are_disjoint_and_exhaustive(spark):
     df = spark.range(1000).selectExpr("id", "cast(id % 3 = 0 as int) as label")
     marked = splits.mark_stratified(df, "label", "id")
