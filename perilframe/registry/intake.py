@@ -135,13 +135,19 @@ def upsert_hazards(spark, sf):
     FROM nation JOIN region ON n_regionkey = r_regionkey""",
 )
 def upsert_districts(spark, sf):
+    """The batch arrives as landed pages of 20 and goes through the page reader."""
     regions = star.table(spark, sf, "region").select(F.col("r_regionkey").alias("province_id"), "r_name")
     stored = star.districts(spark, sf)
+    title = F.concat_ws(" of ", "title", "r_name").alias("title")
+    changed = F.lit("changed")
     edits = stored.join(regions, "province_id").select(
-        "id", F.concat_ws(" of ", "title", "r_name").alias("title"), F.lit("changed").alias("title_ne"),
-        F.lit("changed").alias("code"), F.lit(0).alias("province_id"),
+        F.explode(F.array(F.col("id"), F.col("id") + 100)).alias("id"), title
     )
-    batch = edits.unionByName(edits.withColumn("id", F.col("id") + 100))
+    record = F.struct("id", "title", changed.alias("title_ne"), changed.alias("code"), F.lit(0).alias("province"))
+    pages = edits.groupBy(F.floor(F.col("id") / 20).alias("page")).agg(
+        F.sort_array(F.collect_list(record)).alias("results")
+    ).select("page", F.to_json(F.struct("results", F.lit("more").alias("next"))).alias("body"))
+    batch = landed.flatten_districts(landed.page_records(pages))
     return writes.upsert(stored, batch, *schema.UPSERT_RULES["districts"])
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import fixed_values as V
+from .. import fixed_values as V, schema
 from ..functions import scalar as S
-from ..operators import grids, listing, profile, rain, splits
-from ..plans import anomaly, datasets, panel, star
-from ..session import stable
+from ..operators import grids, listing, profile, quality, rain, splits
 from ..operators.upsert import update_only
+from ..plans import anomaly, datasets, panel, star
+from ..session import scratch_path, stable
+from ..sources import tables
 from .base import COUNTS, GRID, INC, INCRAIN, KEYRAIN, PANEL, RAIN, day_text, query, rounded, time_text, with_
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
@@ -67,6 +68,14 @@ def panel_features_expanding(spark, sf):
     return built.withColumn("historical_month_avg", rounded("historical_month_avg"))
 
 
+@query("panel_csv", with_(INC, COUNTS, GRID, PANEL) + _PANEL_OUT)
+def panel_csv(spark, sf):
+    """The panel written as header CSV and read back with its schema."""
+    path = scratch_path(spark, "panel-csv")
+    tables.write_csv(built_panel(spark, sf), path)
+    return tables.read_csv(spark, path, schema.PANEL).withColumn("historical_month_avg", rounded("historical_month_avg"))
+
+
 @query(
     "serve_features",
     with_(INC, COUNTS, GRID) + """SELECT g.district, g.hazard, g.year, g.month,
@@ -329,8 +338,6 @@ def leadlag_dataset(spark, sf):
     SELECT rule, '*' AS "column", e AS evaluated, u AS unexpected, u / e AS fraction, u = 0 AS success FROM r""",
 )
 def leadlag_assertions(spark, sf):
-    from ..operators import quality
-
     return quality.report(leadlag(spark, sf), quality.leadlag_rules())
 
 
