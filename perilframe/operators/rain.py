@@ -81,17 +81,17 @@ def at_points(
     first = samples.agg(F.date_sub(F.min(day), V.PEAK_WINDOW)).scalar()
     last = samples.agg(F.max(day)).scalar()
     grid = grid.where((F.col("date") >= first) & (F.col("date") < last))
-    located = covered(samples, grid, day, gate).select("*", *geometry.cells(lon, lat))
-    features = key_windows(located.select(*CELL, day).distinct(), grid, day)
-    return located.join(features, [*CELL, day], "left").drop(*CELL)
+    located = samples.select("*", *geometry.cells(lon, lat))
+    keys = covered(located.select(*CELL, day).distinct(), grid, day, gate)
+    return located.join(key_windows(keys, grid, day), [*CELL, day]).drop(*CELL)
 
 
 def key_windows(keys: DataFrame, grid: DataFrame, day: str) -> DataFrame:
-    """Window features per distinct (cell, day) key; keys without any pixel are absent."""
+    """Window features per distinct (cell, day) key; NULL where no pixel has a value."""
     probes = keys.select(
         *CELL, day, F.explode(F.sequence(F.lit(1), F.lit(V.PEAK_WINDOW))).alias("back")
     ).withColumn("date", F.date_sub(day, F.col("back")))
-    hits = probes.join(grid.select(*CELL, "date", "precip_mm"), [*CELL, "date"])
+    hits = probes.join(grid.select(*CELL, "date", "precip_mm"), [*CELL, "date"], "left")
     return hits.groupBy(*CELL, day).agg(
         *[
             F.sum(F.when(F.col("back") <= n, F.col("precip_mm"))).alias(f"rain_{n}d")
