@@ -105,9 +105,9 @@ def fit_counts(panel: DataFrame, params=None, seed=V.SEED) -> tuple[Run, DataFra
     return Run("monthly_counts", model, V.PANEL_FEATURES, {k: errors[k] for k in ("mae", "rmse", "r2")}), scored
 
 
-def score_counts(run: Run, features: DataFrame) -> DataFrame:
+def score_counts(model: PipelineModel, features: DataFrame) -> DataFrame:
     """Batch scores: never negative, two digits, with the risk band."""
-    scored = run.model.transform(features)
+    scored = model.transform(features)
     out = scored.withColumn("predicted_incident_count", S.clip_round("prediction"))
     return out.select(
         "district", "hazard", "year", "month", "predicted_incident_count", "prev_month_count",
@@ -131,8 +131,9 @@ def fit_default_boosting(training: DataFrame, params=None) -> Run:
     return classify("gbt_default", train, test, V.LEADLAG_FEATURES, "label", params or V.GBT_DEFAULT)
 
 
-def score_hazard(run: Run, requests: DataFrame) -> DataFrame:
-    scored = run.model.transform(requests)
+def score_hazard(model: PipelineModel, requests: DataFrame) -> DataFrame:
+    """Batch probabilities with three digits and the risk band."""
+    scored = model.transform(requests)
     p = vector_to_array("probability")[1]
     return scored.select(
         "district", "sample_date", F.bround(p, 3).alias("risk_probability"),

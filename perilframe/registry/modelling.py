@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..operators import grids, rain
-from ..plans import anomaly, datasets, models, requests, runlog, star
-from ..session import stable
+from ..plans import anomaly, datasets, jobs, models, runlog, star
+from ..session import scratch_path, stable
 from .base import query
 from .tables import built_panel, leadlag, losses, monthly, severity
 
@@ -45,11 +45,22 @@ def anomaly_report_model(spark, sf):
 
 @query("score_counts")
 def score_counts(spark, sf):
-    """Every observed district, hazard and period as a request, scored with serving features."""
+    """Train, save, load the newest model, and score every observed district, hazard and period."""
+    log, root = scratch_path(spark, "runs"), scratch_path(spark, "models")
     counts = stable(monthly(spark, sf))
-    grid = grids.full_grid(counts)
-    run, _ = models.fit_counts(grids.panel_features(grid), FOREST)
-    return models.score_counts(run, grids.serving_features(grid.drop("incident_count"), counts))
+    grid = stable(grids.full_grid(counts))
+    jobs.retrain_counts(grids.panel_features(grid), log, root, FOREST)
+    scored, _ = jobs.predict_counts(grid.drop("incident_count"), counts, log)
+    return scored
+
+
+@query("anomaly_report_saved_model")
+def anomaly_report_saved_model(spark, sf):
+    """The last periods against the newest saved model."""
+    log, root = scratch_path(spark, "runs"), scratch_path(spark, "models")
+    features = stable(built_panel(spark, sf))
+    jobs.retrain_counts(features, log, root, FOREST)
+    return jobs.find_anomalies(features, log)
 
 
 @query("leadlag_model")
@@ -59,18 +70,17 @@ def leadlag_model(spark, sf):
 
 @query("score_hazard")
 def score_hazard(spark, sf):
-    """Every district on every incident day, scored from precomputed rain; days without rain give no row."""
-    run = models.fit_leadlag(_training(spark, sf), LEADLAG)
-    incidents = star.incidents(spark, sf)
-    points = rain.centroids(incidents, "district_id", "lon", "lat", "id")
+    """Every district on every incident day, scored from precomputed rain; days without rain are rejected."""
+    log, root = scratch_path(spark, "runs"), scratch_path(spark, "models")
+    jobs.retrain_leadlag(_training(spark, sf), log, root, LEADLAG)
+    points = rain.centroids(star.incidents(spark, sf), "district_id", "lon", "lat", "id")
     days = star.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("sample_date"))
     daily = stable(rain.daily_rain(points, stable(star.rain_grid(spark, sf)), star.GEOMETRY, days, "district_id"))
     names = star.districts(spark, sf)
-    asked = daily.join(names.select(F.col("id").alias("district_id"), F.col("title").alias("district")), "district_id").select(
-        "district", F.col("sample_date").cast("string").alias("date")
-    )
-    judged = requests.judge_hazard_requests(asked, names, daily)
-    return models.score_hazard(run, requests.accepted(judged)).withColumn("sample_date", F.col("sample_date").cast("string"))
+    dates = days.select(F.col("sample_date").cast("string").alias("date")).agg(F.collect_set("date")).scalar()
+    everywhere = names.select(F.col("title").alias("district"), F.explode(dates).alias("date"))
+    scored, _ = jobs.predict_hazard(everywhere, names, daily, log)
+    return scored.withColumn("sample_date", F.col("sample_date").cast("string"))
 
 
 @query("gbt_default")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from perilframe import fixed_values as V
 from perilframe.operators import grids
-from perilframe.plans import models, runlog
+from perilframe.plans import jobs, models, runlog
 
 TREES = {"maxIter": 3, "maxDepth": 3, "stepSize": 0.3, "minInstancesPerNode": 2, "subsamplingRate": 0.85}
 
@@ -59,7 +59,7 @@ def test_counts_model_and_batch_scores(spark):
     grid = grids.full_grid(counts)
     run, scored = models.fit_counts(grids.panel_features(grid), {"numTrees": 10, "maxDepth": 5, "minInstancesPerNode": 1})
     assert run.values["r2"] > 0.8 and scored.count() == 24
-    served = models.score_counts(run, grids.serving_features(grid.drop("incident_count"), counts))
+    served = models.score_counts(run.model, grids.serving_features(grid.drop("incident_count"), counts))
     assert served.count() == len(rows)
     assert served.where("predicted_incident_count < 0 or risk is null").count() == 0
 
@@ -79,3 +79,32 @@ def test_severity_loss_and_tiers(spark, training):
     assert loss["full_features"]["r2_log_scale"] > loss["hazard_only_baseline"]["r2_log_scale"]
     tiers = models.fit_tiers(data, TREES)
     assert tiers.values["accuracy"] > 0.6
+
+
+def test_jobs_use_the_newest_saved_model(spark, tmp_path, training):
+    log, root = str(tmp_path / "runs"), str(tmp_path / "models")
+    rows = [(d, h, 2022 + m // 12, m % 12 + 1, 1 + (m % 12 == 6) * 9) for d in ("A", "B") for h in ("x", "y") for m in range(30)]
+    counts = spark.createDataFrame(rows, "district string, hazard string, year int, month int, incident_count bigint")
+    panel = grids.panel_features(grids.full_grid(counts))
+    with pytest.raises(Exception):
+        jobs.find_anomalies(panel, log)
+    small = {"numTrees": 3, "maxDepth": 1, "minInstancesPerNode": 1}
+    jobs.retrain_counts(panel, log, root, small)
+    run = jobs.retrain_counts(panel, log, root, {**small, "numTrees": 12, "maxDepth": 5})
+    fresh = models.score_counts(run.model, grids.serving_features(grids.full_grid(counts), counts))
+    asked = grids.full_grid(counts).drop("incident_count").unionByName(
+        spark.createDataFrame([("Mars", "x", 2024, 1)], "district string, hazard string, year int, month int"))
+    scored, rejected = jobs.predict_counts(asked, counts, log)
+    assert sorted(map(tuple, scored.collect())) == sorted(map(tuple, fresh.collect()))
+    assert [r["reason"] for r in rejected.collect()] == ["unknown district or hazard"]
+    assert jobs.find_anomalies(panel, log).count() == 12
+    metrics = runlog.metrics_of(runlog.read(spark, log), runlog.latest(runlog.read(spark, log)))
+    assert {r["key"] for r in metrics.collect()} == {"mae", "rmse", "r2"}
+
+    jobs.retrain_leadlag(training, log, root, TREES)
+    daily = training.dropDuplicates(["district_id", "sample_date"]).select("district_id", "sample_date", *V.RAIN_ALL)
+    places = spark.range(7).selectExpr("cast(id as int) as id", "concat('D', id) as title")
+    asked = spark.createDataFrame([("D1", "2024-01-01"), ("D1", "2030-01-01")], "district string, date string")
+    scored, rejected = jobs.predict_hazard(asked, places, daily, log)
+    assert scored.count() + rejected.count() == 2 and rejected.count() >= 1
+    assert scored.where("risk_probability < 0 or risk_probability > 1").count() == 0
