@@ -3,7 +3,7 @@
 # Hazards the monthly panel models.
 PANEL_HAZARDS = ["Landslide", "Snake Bite", "Fire", "Flood"]
 
-# Feed name and trailing days of the daily intake.
+# Feed name, trailing days of a full and of a daily intake.
 FEED_NAME = "drr_api"
 INTAKE_DAYS = 30
 DAILY_INTAKE_DAYS = 3

@@ -163,7 +163,7 @@ def running_totals(
     )
     local = Window.partitionBy(*by, "_file").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     within = table.select("*", *[F.coalesce(F.sum(v).over(local), F.lit(0)).alias(f"{v}_before") for v in values])
-    return within.join(F.broadcast(offsets), [*by, "_file"]).select(
+    return within.join(offsets, [*by, "_file"]).select(
         *keyed.columns,
         *[(F.col(f"{v}_before") + F.col(f"_{v}")).alias(f"{v}_before") for v in values],
         *[f"{v}_total" for v in values],

@@ -66,6 +66,13 @@ def incident_rules(as_of) -> list[Rule]:
     ]
 
 
+def incident_view(incidents: DataFrame) -> DataFrame:
+    """The columns the incident suite looks at."""
+    return incidents.select(
+        "id", "hazard_id", "incident_on", "loss_id", F.col("lon").alias("longitude"), F.col("lat").alias("latitude")
+    )
+
+
 def leadlag_rules() -> list[Rule]:
     return [
         row_check("label in {0,1}", F.col("label").isin(0, 1)),

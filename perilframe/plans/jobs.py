@@ -1,21 +1,51 @@
-"""The recurring jobs, each one call: retrain, score requests, look for anomalies.
+"""The recurring jobs, each one call: intake with checks, district rain, retraining, scoring, anomalies.
 
 Models travel through the run log: training saves a pipeline, scoring loads the newest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .. import fixed_values as V
-from ..operators import grids, splits
+from .. import fixed_values as V, schema
+from ..operators import grids, quality, rain, splits
+from ..operators.upsert import upsert
 from ..session import stable
+from ..sources import landed
+from ..streaming import intake
 from . import anomaly, models, requests, runlog
 
 COUNTS_MODEL = "incident-counts"
 LEADLAG_MODEL = "hazard-leadlag"
 
 
+def daily_intake(
+    spark: SparkSession, landing: str, log_path: str, progress: str, reject_path: str, as_of
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Take in what landed; returns (incidents, recent feed reports, quality report)."""
+    intake.start(spark, landing, log_path, progress, reject_path).awaitTermination()
+    incidents = intake.current(intake.read_log(spark, log_path))
+    recent = landed.trailing_window(incidents, as_of, V.DAILY_INTAKE_DAYS)
+    checked = quality.report(stable(quality.incident_view(incidents)), quality.incident_rules(as_of))
+    return incidents, recent, checked
+
+
+def update_district_rain(
+    stored: DataFrame, samples: DataFrame, grid: DataFrame, geometry: rain.Geometry, target_days: DataFrame, ingested_at
+) -> DataFrame:
+    """The district-day rain table with the target days rewritten from the grid.
+
+    Samples carry id, district_id, lon, lat; the point of the smallest id stands for its district.
+    """
+    points = rain.centroids(samples, "district_id", "lon", "lat", "id")
+    fresh = rain.daily_rain(points, grid, geometry, target_days, "district_id")
+    batch = fresh.select(
+        "district_id", "sample_date", *[F.col(c).cast("decimal(10,4)").alias(c) for c in V.RAIN_ALL],
+        F.lit(ingested_at).cast("timestamp").alias("ingested_at"),
+    )
+    return upsert(stored, batch, *schema.UPSERT_RULES["district_daily_rain"])
+
+
 def retrain_counts(panel: DataFrame, log_path: str, model_root: str, params: dict | None = None) -> models.Run:
     params = params or V.RF_COUNTS
     run, _ = models.fit_counts(panel, params)
