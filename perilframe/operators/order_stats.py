@@ -45,11 +45,13 @@ def _cell(value: Column, span: _Span) -> Column:
 
 
 def locate_ranks(df: DataFrame, key: Column, wanted) -> list[Located]:
-    """Values at the wanted 0-based ranks of a numeric key, in the order asked for.
+    """Values at the wanted 0-based ranks of a numeric key, in the order asked for. NULL and NaN do not count.
 
     `wanted` is a list of ranks, or a function of the non-null row count.
     """
     values = df.select(key.alias("v")).where("v is not null")
+    if values.schema["v"].dataType.typeName() in ("double", "float"):
+        values = values.where(~F.isnan("v"))
     low, high, total = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
     ranks = list(wanted(total)) if callable(wanted) else list(wanted)
     if any(r < 0 or r >= total for r in ranks):
@@ -64,8 +66,10 @@ def locate_ranks(df: DataFrame, key: Column, wanted) -> list[Located]:
             cell = F.lit(0) if span.low == span.high else _cell(F.col("v"), span)
             expr_span = F.when(inside, i) if expr_span is None else expr_span.when(inside, i)
             expr_cell = F.when(inside, cell) if expr_cell is None else expr_cell.when(inside, cell)
+        reach = F.col("v").between(F.lit(spans[0].low), F.lit(spans[-1].high))  # a plain range can reach the scan
         cells = (
-            values.select("v", expr_span.alias("span"), expr_cell.alias("cell"))
+            values.where(reach)
+            .select("v", expr_span.alias("span"), expr_cell.alias("cell"))
             .where("span is not null")
             .groupBy("span", "cell")
             .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
@@ -81,6 +85,8 @@ def locate_ranks(df: DataFrame, key: Column, wanted) -> list[Located]:
                     if row["low"] == row["high"]:
                         for r in here:
                             found[r] = Located(row["low"], below, row["n"])
+                    elif (row["low"], row["high"]) == (span.low, span.high):
+                        raise ValueError("values must be finite")
                     else:
                         narrower.append(_Span(row["low"], row["high"], below, here))
                 below += row["n"]

@@ -24,6 +24,11 @@ def test_locate_ranks_refines_extreme_ranges(spark):
     assert [g.value for g in got] == values and [g.below for g in got] == list(range(len(values)))
 
 
+def test_quantiles_skip_null_and_nan(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,)], "v double")
+    assert order_stats.quantiles(df, "v", [0.5, 1.0]) == [2.0, 3.0]
+
+
 def test_locate_ranks_out_of_range(spark):
     with pytest.raises(ValueError):
         order_stats.locate_ranks(spark.range(3), F.col("id"), [3])
