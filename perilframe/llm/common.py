@@ -32,22 +32,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filed(df: DataFrame) -> DataFrame:
+    """df if its rows can be told by their files; else df written to a table."""
+    try:
+        df.select(df.metadataColumn("_metadata").getField("row_index"))
+        return df
+    except AnalysisException:
+        return stable(df)
+
+
 def keyed(df: DataFrame, **named: Column | str) -> DataFrame:
     """The named columns plus `row`, a key that is unique per input row and the same in every scan.
 
-    The key is the file and the row number in it; a frame that is no plain file scan is written first.
+    The key is the file and the row number in it. A caller that keys a frame twice passes it through `filed` first.
     """
+    df = filed(df)
+    place = df.metadataColumn("_metadata")
+    row = F.struct(place.getField("file_path").alias("file"), place.getField("row_index").alias("at"))
     columns = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in named.items()]
+    return df.select(row.alias("row"), *columns)
 
-    def with_place(frame: DataFrame) -> DataFrame:
-        place = frame.metadataColumn("_metadata")
-        row = F.struct(place.getField("file_path").alias("file"), place.getField("row_index").alias("at"))
-        return frame.select(row.alias("row"), *columns)
 
-    try:
-        return with_place(df)
-    except AnalysisException:
-        return with_place(stable(df))
+def plain_names(df: DataFrame) -> dict[str, str]:
+    """Names c0, c1, ... for the columns of df, so that no helper column can clash with them."""
+    return {f"c{i}": c for i, c in enumerate(df.columns)}
+
+
+def restore(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(n) for c, n in names.items()])
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs (see `filed`) whose key is in `rows`, with the columns of docs."""
+    names = plain_names(docs)
+    held = keyed(docs, **{c: F.col(f"`{n}`") for c, n in names.items()})
+    return restore(held.join(rows.select("row"), "row", "left_semi"), names)
 
 
 def map_texts(
@@ -71,7 +90,7 @@ def map_texts(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(fields)
-    return df.select(*keep, text).mapInArrow(run, fields)
+    return df.select(*keep, *([] if text in keep else [text])).mapInArrow(run, fields)
 
 
 def _is_star_forest(edges: DataFrame) -> bool:

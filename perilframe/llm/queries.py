@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..registry.base import Query
-from . import packing, token_counts
+from . import embed_dedup, exact_dedup, langid, mixing, packing, pii, quality, secret_scan, simhash, token_counts
 from .common import table
 
 QUERIES: dict[str, Query] = {}
@@ -22,11 +22,51 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_language_id")
+def op1_language_id(spark, sf):
+    return langid.predictions(table(spark, sf, "documents"))
+
+
+@query("op2_personal_data")
+def op2_personal_data(spark, sf):
+    return pii.detect(table(spark, sf, "documents")).drop("found")
+
+
+@query("op3_exact_dedup", exact_dedup.ORACLE_SQL)
+def op3_exact_dedup(spark, sf):
+    return exact_dedup.exact_copies(table(spark, sf, "documents"))
+
+
+@query("op4_source_mix")
+def op4_source_mix(spark, sf):
+    return mixing.mixture(table(spark, sf, "documents"))
+
+
+@query("op5_quality")
+def op5_quality(spark, sf):
+    return quality.classify(table(spark, sf, "documents"))
+
+
 @query("op6_pack_documents")
 def op6_pack_documents(spark, sf):
     return packing.pack_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), 2048)
 
 
+@query("op7_embedding_near_dedup")
+def op7_embedding_near_dedup(spark, sf):
+    return embed_dedup.link_vectors(table(spark, sf, "embeddings"))
+
+
+@query("op8_simhash_near_dedup")
+def op8_simhash_near_dedup(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op9_token_counts")
 def op9_token_counts(spark, sf):
     return token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 1024)
+
+
+@query("op10_secrets")
+def op10_secrets(spark, sf):
+    return secret_scan.scan(table(spark, sf, "documents"))
