@@ -49,12 +49,15 @@ SEVERITY_FEATURES = [
 RAIN_SUMS = ["rain_1d", "rain_3d", "rain_7d"]
 RAIN_ALL = ["rain_1d", "rain_3d", "rain_7d", "rain_peak_7d"]
 
+# Split points per feature: above the number of hazards and districts, so that every code can be told apart.
+MAX_BINS = 256
+
 # Model settings, in Spark ML parameter names.
-RF_COUNTS = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 3}
-GBT_LEADLAG = {"maxIter": 150, "maxDepth": 5, "stepSize": 0.2, "minInstancesPerNode": 50, "subsamplingRate": 0.85}
-GBT_SEVERITY = {"maxIter": 150, "maxDepth": 5, "stepSize": 0.1, "minInstancesPerNode": 30, "subsamplingRate": 0.85}
-GBT_LOSS = {"maxIter": 150, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 20, "subsamplingRate": 0.85}
-GBT_DEFAULT = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1}
+RF_COUNTS = {"numTrees": 200, "maxDepth": 10, "minInstancesPerNode": 3, "maxBins": MAX_BINS}
+GBT_LEADLAG = {"maxIter": 150, "maxDepth": 5, "stepSize": 0.2, "minInstancesPerNode": 50, "subsamplingRate": 0.85, "maxBins": MAX_BINS}
+GBT_SEVERITY = {"maxIter": 150, "maxDepth": 5, "stepSize": 0.1, "minInstancesPerNode": 30, "subsamplingRate": 0.85, "maxBins": MAX_BINS}
+GBT_LOSS = {"maxIter": 150, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 20, "subsamplingRate": 0.85, "maxBins": MAX_BINS}
+GBT_DEFAULT = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "maxBins": MAX_BINS}
 LOGISTIC_MAX_ITER = 1000
 SEARCH_SPACE = {
     "maxIter": [100, 150, 200, 300],

@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .order_stats import running_totals
 
 
-def label_codes(df: DataFrame, column: str) -> DataFrame:
-    """value -> 0-based position in sorted order."""
-    values = df.select(F.col(column).alias("value")).where("value is not null").distinct().withColumn("n", F.lit(1))
-    return running_totals(values, "value", ["n"]).select("value", F.col("n_before").cast("int").alias("code"))
+def label_codes(df: DataFrame, column: str, large: bool = False) -> DataFrame:
+    """value -> 0-based position in sorted order.
+
+    The distinct values are numbered in one task, as they are a dimension; say `large` for a vocabulary
+    that does not fit one, to number it by written ranges.
+    """
+    values = df.select(F.col(column).alias("value")).where("value is not null").distinct()
+    if large:
+        numbered = running_totals(values.withColumn("n", F.lit(1)), "value", ["n"])
+        return numbered.select("value", F.col("n_before").cast("int").alias("code"))
+    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
 
 
 def label_indexer(inputs: list[str], outputs: list[str]) -> StringIndexer:

@@ -30,12 +30,18 @@ def incident_list(incidents: DataFrame, hazards: DataFrame, page: int | None = 1
     )
 
 
-def incidents_after(incidents: DataFrame, incident_on, row_id, size: int = V.PAGE_SIZE) -> DataFrame:
-    """The page that follows a (time, id) position: a filter, so deep pages cost as little as early ones."""
-    later = (F.col("incident_on") < F.lit(incident_on)) | (
-        (F.col("incident_on") == F.lit(incident_on)) & (F.col("id") > F.lit(row_id))
-    )
-    return incidents.where(later).orderBy(F.desc("incident_on"), F.asc("id")).limit(size)
+def incidents_after(incidents: DataFrame, hazards: DataFrame, incident_on, row_id, size: int = V.PAGE_SIZE) -> DataFrame:
+    """The page of the list that follows a (time, id) position: a filter, so deep pages cost as little as early ones.
+
+    Unknown times stand ahead of all, so after a position without a time come the other such rows, then any dated one.
+    """
+    if incident_on is None:
+        later = F.col("incident_on").isNotNull() | (F.col("id") > F.lit(row_id))
+    else:
+        later = (F.col("incident_on") < F.lit(incident_on)) | (
+            (F.col("incident_on") == F.lit(incident_on)) & (F.col("id") > F.lit(row_id))
+        )
+    return incident_list(incidents.where(later), hazards, page=1, size=size)
 
 
 def total(df: DataFrame) -> DataFrame:

@@ -38,9 +38,13 @@ class _Span:
 
 
 def _cell(value: Column, span: _Span) -> Column:
-    # Monotone in `value`; long subtraction stays exact before the division.
+    # Monotone in `value`; long subtraction stays exact before the division, in decimals where it could overflow.
     width = float(span.high - span.low) / CELLS
-    raw = F.floor((value - F.lit(span.low)).cast("double") / F.lit(width))
+    if isinstance(span.low, int) and span.high - span.low >= 1 << 63:
+        above = value.cast("decimal(20,0)") - F.lit(span.low).cast("decimal(20,0)")
+    else:
+        above = value - F.lit(span.low)
+    raw = F.floor(above.cast("double") / F.lit(width))
     return F.least(raw.cast("int"), F.lit(CELLS - 1))
 
 

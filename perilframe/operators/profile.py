@@ -20,6 +20,23 @@ def dataset_profile(df: DataFrame, label: str, group: str, value: str) -> DataFr
     )
 
 
+def split_summary(marked: DataFrame, day: str, label: str, inputs: list[str], sure: DataFrame | None = None, group: str | None = None) -> DataFrame:
+    """One row per half of a marked table: rows, first and last day, positive rate, rows with a missing input.
+
+    With `sure`, groups whose label is near certain, also how many rows of the half belong to them.
+    """
+    missing = F.greatest(*[F.col(c).isNull().cast("int") for c in inputs]) if len(inputs) > 1 else F.col(inputs[0]).isNull().cast("int")
+    certain = F.lit(0)
+    if sure is not None:
+        marked = marked.join(sure.select(group, F.lit(1).alias("_sure")), group, "left")
+        certain = F.coalesce("_sure", F.lit(0))
+    half = F.when(F.coalesce("is_test", F.lit(False)), "test").otherwise("train")
+    return marked.groupBy(half.alias("half")).agg(
+        F.count("*").alias("rows"), F.to_date(F.min(day)).alias("first_day"), F.to_date(F.max(day)).alias("last_day"),
+        F.avg(label).alias("positive_rate"), F.sum(missing).alias("missing_input"), F.sum(certain).alias("near_certain"),
+    )
+
+
 def rate_by(df: DataFrame, group: str, label: str) -> DataFrame:
     return df.groupBy(group).agg(F.avg(label).alias("rate"), F.count("*").alias("rows"))
 

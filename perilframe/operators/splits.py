@@ -10,6 +10,7 @@ from ..session import stable
 from .order_stats import first_rows
 
 
+MOST_LABELS = 100
 END_OF_TIME = 253402300799999999  # the last microsecond of year 9999
 
 
@@ -22,11 +23,16 @@ def mark_last_periods(df: DataFrame, periods: int = V.TEST_PERIODS, year="year",
 
 
 def mark_recent_dates(df: DataFrame, day: str, fraction: float = V.TEST_FRACTION) -> DataFrame:
-    """is_test = row lies in the most recent share of distinct days (floor, at least one)."""
+    """is_test = row lies in the most recent share of distinct days (floor, at least one). Rows without a day train.
+
+    `day` must be a date: distinct times are as many as rows.
+    """
+    if df.schema[day].dataType.typeName() != "date":
+        raise TypeError(f"{day} is {df.schema[day].dataType.simpleString()}, not a date")
     seen = F.sort_array(F.collect_set(day))  # calendar-bounded
     take = F.greatest(F.lit(1), F.floor(F.size(seen) * F.lit(fraction)).cast("int"))
     cut = df.agg(F.element_at(seen, -take).alias("cut")).scalar()
-    return df.withColumn("is_test", F.col(day) >= cut)
+    return df.withColumn("is_test", F.coalesce(F.col(day) >= cut, F.lit(False)))
 
 
 def mark_recent_rows(df: DataFrame, when: str, row_id: str, fraction: float = V.TEST_FRACTION) -> DataFrame:
@@ -42,14 +48,19 @@ def mark_recent_rows(df: DataFrame, when: str, row_id: str, fraction: float = V.
 
 
 def mark_stratified(
-    df: DataFrame, label: str, row_id: str, labels=(0, 1), fraction: float = V.TEST_FRACTION, seed: int = V.SEED
+    df: DataFrame, label: str, row_id: str, labels=None, fraction: float = V.TEST_FRACTION, seed: int = V.SEED
 ) -> DataFrame:
-    """is_test = the lowest-hash share of each label, with exact per-label quotas (nearest integer)."""
+    """is_test = the lowest-hash share of each label, with exact per-label quotas (nearest integer).
+
+    Every label of the table is a stratum of its own, NULL too; with `labels`, only these, and the rest trains.
+    """
     keys = [spread_hash(row_id, seed), F.col(row_id).cast("bigint")]
-    sizes = {r[label]: r["count"] for r in df.where(F.col(label).isin(list(labels))).groupBy(label).count().collect()}
+    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().limit(MOST_LABELS + 1).collect()}
+    if len(sizes) > MOST_LABELS:
+        raise ValueError(f"{label} has more than {MOST_LABELS} values")
     test: Column = F.lit(False)
-    for value in labels:
-        stratum = F.col(label) == F.lit(value)
+    for value in sorted(sizes, key=lambda v: (v is None, v)) if labels is None else labels:
+        stratum = F.col(label).eqNullSafe(F.lit(value))
         quota = int(sizes.get(value, 0) * fraction + 0.5)
         test = test | (stratum & first_rows(df.where(stratum), keys, quota))
     return df.withColumn("is_test", test)
@@ -61,23 +72,27 @@ def with_fold(df: DataFrame, row_id: str, folds: int = V.CV_FOLDS, seed: int = V
 
 
 def halves(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(train, test); together they are all rows, as a row without a mark trains."""
     return (
-        marked.where(~F.col("is_test")).drop("is_test"),
+        marked.where(~F.coalesce("is_test", F.lit(False))).drop("is_test"),
         marked.where("is_test").drop("is_test"),
     )
 
 
 def negative_samples(
-    positives: DataFrame, points: DataFrame, group: str, day: str, ratio: int = 2, seed: int = V.SEED
+    positives: DataFrame, points: DataFrame, group: str, day: str, ratio: int = 2, seed: int = V.SEED,
+    allow_fewer: bool = False,
 ) -> DataFrame:
-    """Non-event days per group: about `ratio` per positive, over the positives' date range.
+    """Non-event days per group: `ratio` per positive, over the positives' date range.
 
     Candidates are every (group, day) of the range without a positive, at the group's point.
-    The take is exact: the lowest hashes, ties by (group, day).
+    The take is exact: the lowest hashes, ties by (group, day). Column `achieved_ratio` says how many negatives
+    per positive there are. Where events are so dense that too few days are free, this raises, or with
+    `allow_fewer` takes all of them.
     """
     span = positives.agg(F.min(day).alias("a"), F.max(day).alias("b"), F.count("*").alias("n")).first()
     if not span["n"]:
-        return points.limit(0).withColumn(day, F.lit(None).cast("date"))
+        return points.limit(0).withColumns({day: F.lit(None).cast("date"), "achieved_ratio": F.lit(None).cast("double")})
     days = F.sequence(F.lit(span["a"]), F.lit(span["b"]), F.expr("interval 1 day"))
     free = stable(
         points.select("*", F.explode(days).alias(day)).join(
@@ -86,4 +101,9 @@ def negative_samples(
     )
     number = F.col(group).cast("bigint") * 1_000_000 + F.unix_date(day)
     keys = [spread_hash(number, seed), number]
-    return free.where(first_rows(free, keys, lambda rows: min(ratio * span["n"], rows)))
+    wanted, there = ratio * span["n"], free.count()
+    if there < wanted and not allow_fewer:
+        raise ValueError(f"{wanted} negatives asked for, {there} free ({group}, {day}) pairs; pass allow_fewer to take these")
+    taken = min(wanted, there)
+    chosen = free if taken == there else free.where(first_rows(free, keys, taken))
+    return chosen.withColumn("achieved_ratio", F.lit(taken / span["n"]))

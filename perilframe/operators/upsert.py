@@ -5,41 +5,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def collapse(batch: DataFrame, keys: list[str], mutable: list[str], order: Column | str) -> DataFrame:
+def collapse(batch: DataFrame, keys: list[str], mutable: list[str], order: Column | str | None = None) -> DataFrame:
     """One row per key: mutable columns from the last row, the rest from the first.
 
-    Structs keep NULLs, so a NULL in the last row is a value like any other.
-    Partial aggregation shrinks a hot key before the shuffle. `order` must
-    not tie within a key.
+    Structs keep NULLs, so a NULL in the last row is a value like any other, and a row
+    whose `order` is NULL counts as the oldest. Rows that tie in `order` follow their arrival: the batch's
+    `arrival` column if it has one, else the order in which Spark reads the batch.
+    Partial aggregation shrinks a hot key before the shuffle.
     """
+    if order is None:
+        order = F.lit(0)
     order = F.col(order) if isinstance(order, str) else order
-    first = [c for c in batch.columns if c not in keys and c not in mutable]
+    arrival = F.col("arrival") if "arrival" in batch.columns else F.monotonically_increasing_id()
+    order = F.struct(order.isNotNull().alias("known"), order.alias("order"), arrival.alias("arrival"))
+    batch = batch.withColumn("_order", order).drop("arrival")
+    columns = [c for c in batch.columns if c != "_order"]
+    first = [c for c in columns if c not in keys and c not in mutable]
     aggregates = [F.max_by(F.struct(*mutable), "_order").alias("_last")]
     if first:
         aggregates.append(F.min_by(F.struct(*first), "_order").alias("_first"))
-    folded = batch.withColumn("_order", order).groupBy(*keys).agg(*aggregates)
+    folded = batch.groupBy(*keys).agg(*aggregates)
     return folded.select(
         *[
             F.col(c) if c in keys else F.col(f"_last.{c}") if c in mutable else F.col(f"_first.{c}")
-            for c in batch.columns
+            for c in columns
         ]
     )
 
 
+def unkeyed(batch: DataFrame, keys: list[str]) -> DataFrame:
+    """Batch rows that `upsert` leaves out, as a part of their key is NULL."""
+    return batch.where(" or ".join(f"{k} is null" for k in keys))
+
+
 def upsert(
     existing: DataFrame, batch: DataFrame, keys: list[str], mutable: list[str], order: Column | str | None = None
 ) -> DataFrame:
     """Insert unseen keys; for known keys overwrite only the mutable columns.
 
+    A key that the batch repeats is collapsed first (see `collapse`), so the result holds a key once if the
+    stored table does. Rows without a full key are left out; `unkeyed` returns them.
+
     The stored table stays on the streamed side of every join: with a daily-sized
     batch AQE broadcasts the batch keys and the stored table is not shuffled;
     with a bulk batch the same plan becomes a sort-merge join on the key.
     """
     columns = existing.columns
-    batch = batch.select(*columns, *([order] if isinstance(order, str) and order not in columns else []))
-    if order is not None:
-        batch = collapse(batch, keys, mutable, order)
-    batch = batch.where(" and ".join(f"{k} is not null" for k in keys)).select(*columns)
+    extra = [c for c in (order, "arrival") if isinstance(c, str) and c in batch.columns and c not in columns]
+    batch = batch.select(*columns, *extra).where(" and ".join(f"{k} is not null" for k in keys))
+    batch = collapse(batch, keys, mutable, order).select(*columns)
 
     patch = batch.select(*keys, F.struct(*mutable).alias("_new"))
     updated = existing.join(patch, keys, "left").select(

@@ -17,6 +17,9 @@ from . import anomaly, models, requests, runlog
 
 COUNTS_MODEL = "incident-counts"
 LEADLAG_MODEL = "hazard-leadlag"
+SEVERITY_MODEL = "incident-severity"
+LOSS_MODEL = "incident-loss"
+TIER_MODEL = "incident-loss-tiers"
 
 
 def daily_intake(
@@ -24,7 +27,7 @@ def daily_intake(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Take in what landed; returns (incidents, recent feed reports, quality report)."""
     intake.start(spark, landing, log_path, progress, reject_path).awaitTermination()
-    incidents = intake.current(intake.read_log(spark, log_path))
+    incidents = stable(intake.current(intake.read_log(spark, log_path)))
     recent = landed.trailing_window(incidents, as_of, V.DAILY_INTAKE_DAYS)
     checked = quality.report(stable(quality.incident_view(incidents)), quality.incident_rules(as_of))
     return incidents, recent, checked
@@ -46,19 +49,46 @@ def update_district_rain(
     return upsert(stored, batch, *schema.UPSERT_RULES["district_daily_rain"])
 
 
+def _log(spark: SparkSession, name: str, run: models.Run, params: dict, split: str, log_path: str, model_root: str) -> models.Run:
+    """Save the model and log its settings, features, split and metrics."""
+    logged = {**params, "features": ",".join(run.features), "split_method": split}
+    runlog.record(spark, name, logged, run.values, run.model, log_path, model_root)
+    return run
+
+
 def retrain_counts(panel: DataFrame, log_path: str, model_root: str, params: dict | None = None) -> models.Run:
     params = params or V.RF_COUNTS
     run, _ = models.fit_counts(panel, params)
-    runlog.record(panel.sparkSession, COUNTS_MODEL, params, run.values, run.model, log_path, model_root)
-    return run
+    return _log(panel.sparkSession, COUNTS_MODEL, run, params, "last_periods", log_path, model_root)
 
 
 def retrain_leadlag(training: DataFrame, log_path: str, model_root: str, params: dict | None = None) -> models.Run:
     params = params or V.GBT_LEADLAG
     run = models.fit_leadlag(training, params)
-    logged = {**params, "split_method": "most_recent_share_of_dates"}
-    runlog.record(training.sparkSession, LEADLAG_MODEL, logged, run.values, run.model, log_path, model_root)
-    return run
+    return _log(training.sparkSession, LEADLAG_MODEL, run, params, "most_recent_share_of_dates", log_path, model_root)
+
+
+def retrain_severity(
+    dataset: DataFrame, log_path: str, model_root: str, params: dict | None = None, tautology_rate: float = V.TAUTOLOGY_RATE
+) -> list[models.Run]:
+    """The casualty models: hazard alone, all features, all features without near-certain hazards."""
+    params = params or V.GBT_SEVERITY
+    runs = models.fit_severity(dataset, params, tautology_rate)
+    spark = dataset.sparkSession
+    return [_log(spark, f"{SEVERITY_MODEL}-{r.name}", r, params, "most_recent_rows", log_path, model_root) for r in runs]
+
+
+def retrain_loss(dataset: DataFrame, log_path: str, model_root: str, params: dict | None = None) -> list[models.Run]:
+    params = params or V.GBT_LOSS
+    runs = models.fit_loss(dataset, params)
+    spark = dataset.sparkSession
+    return [_log(spark, f"{LOSS_MODEL}-{r.name}", r, params, "most_recent_rows", log_path, model_root) for r in runs]
+
+
+def retrain_tiers(dataset: DataFrame, log_path: str, model_root: str, params: dict | None = None) -> models.Run:
+    params = params or V.GBT_LOSS
+    run = models.fit_tiers(dataset, params)
+    return _log(dataset.sparkSession, TIER_MODEL, run, params, "most_recent_rows", log_path, model_root)
 
 
 def predict_counts(asked: DataFrame, counts: DataFrame, log_path: str) -> tuple[DataFrame, DataFrame]:

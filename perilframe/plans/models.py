@@ -11,7 +11,7 @@ import random
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -44,8 +44,10 @@ def result_table(spark: SparkSession, runs: list[Run]) -> DataFrame:
 
 def importance_table(spark: SparkSession, run: Run) -> DataFrame:
     """Features by falling importance."""
-    trees = run.model.stages[-1] if isinstance(run.model, PipelineModel) else run.model
-    rows = [(run.name, f, float(trees.featureImportances[i])) for i, f in enumerate(run.features)]
+    last = run.model.stages[-1] if isinstance(run.model, PipelineModel) else run.model
+    trees = last.models if isinstance(last, OneVsRestModel) else [last]  # one against the rest: the mean of its models
+    mean = lambda i: sum(float(t.featureImportances[i]) for t in trees) / len(trees)
+    rows = [(run.name, f, mean(i)) for i, f in enumerate(run.features)]
     return spark.createDataFrame(rows, "run string, feature string, importance double").orderBy(
         F.desc("importance"), "feature"
     )
@@ -183,7 +185,9 @@ def search_boosting(
     space = space or V.SEARCH_SPACE
     train, test = _halves(stable(splits.mark_stratified(training, "label", "row_id"), ["row_id", "label"]))
     train = stable(_vector(V.LEADLAG_FEATURES).transform(splits.with_fold(train, "row_id", folds)), ["row_id", "label"])
-    trees = GBTClassifier(labelCol="label", featuresCol="features", featureSubsetStrategy="all", seed=seed)
+    trees = GBTClassifier(
+        labelCol="label", featuresCol="features", featureSubsetStrategy="all", seed=seed, maxBins=V.MAX_BINS
+    )
     combos = list(itertools.product(*space.values()))
     picked = random.Random(seed).sample(combos, min(draws, len(combos)))
     grid = [{trees.getParam(k): v for k, v in zip(space, combo)} for combo in picked]

@@ -11,7 +11,7 @@ from ..operators import encode, metrics, order_stats, profile, splits, threshold
 from ..plans import requests, runlog, star
 from ..session import stable
 from .base import COUNTS, GRID, INC, INCRAIN, KEYRAIN, PANEL, RAIN, day_text, query, rounded, with_
-from .tables import _LEADLAG, _NEG, _SEVERITY, built_panel, leadlag, losses
+from .tables import LEADLAG_SQL, NEGATIVES_SQL, SEVERITY_SQL, built_panel, leadlag, losses
 
 HASH = "((o_orderkey % 2147483647) * 2654435761 + {seed}) % 4294967296"
 
@@ -31,15 +31,16 @@ def split_last_periods(spark, sf):
 
 @query(
     "split_recent_dates",
-    """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders),
+    """WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 11 <> 0),
     c AS (SELECT min(d) AS cut FROM (SELECT d, row_number() OVER (ORDER BY d DESC) AS rn FROM d)
       WHERE rn <= greatest(1, CAST(floor((SELECT count(*) FROM d) * 0.2e0) AS BIGINT)))
-    SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS sample_date, CAST(o_orderdate AS DATE) >= cut AS is_test FROM orders, c""",
+    SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS sample_date,
+      o_orderkey % 11 <> 0 AND CAST(o_orderdate AS DATE) >= cut AS is_test FROM orders, c""",
 )
 def split_recent_dates(spark, sf):
-    rows = star.table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("sample_date")
-    )
+    """Every eleventh row has no date and trains."""
+    dated = F.when(F.pmod("o_orderkey", F.lit(11)) != 0, F.to_date("o_orderdate"))
+    rows = star.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), dated.alias("sample_date"))
     return splits.mark_recent_dates(rows, "sample_date").withColumn("sample_date", day_text("sample_date"))
 
 
@@ -75,7 +76,7 @@ def cv_folds(spark, sf):
 
 # --- quantiles, thresholds ----------------------------------------------
 
-_RAIN_TABLE = with_(INC, RAIN, KEYRAIN, INCRAIN, _NEG, _LEADLAG)
+_RAIN_TABLE = with_(INC, RAIN, KEYRAIN, INCRAIN, NEGATIVES_SQL, LEADLAG_SQL)
 
 
 @query(
@@ -139,7 +140,7 @@ _MARKED = """marked AS (SELECT *, rn <= CAST(floor(n * 0.2e0 + 0.5e0) AS BIGINT)
 
 @query(
     "threshold_search",
-    with_(INC, RAIN, KEYRAIN, INCRAIN, _NEG, _LEADLAG, _MARKED, *[_score_steps(f) for f in V.RAIN_SUMS])
+    with_(INC, RAIN, KEYRAIN, INCRAIN, NEGATIVES_SQL, LEADLAG_SQL, _MARKED, *[_score_steps(f) for f in V.RAIN_SUMS])
     + "\nUNION ALL ".join(_feature_search(f) for f in V.RAIN_SUMS),
 )
 def threshold_search(spark, sf):
@@ -162,7 +163,7 @@ ls AS (SELECT *, row_number() OVER (ORDER BY incident_on DESC, incident_id DESC)
 
 @query(
     "loss_tiers",
-    with_(INC, RAIN, KEYRAIN, INCRAIN, _SEVERITY, _LOSS_SPLIT)
+    with_(INC, RAIN, KEYRAIN, INCRAIN, SEVERITY_SQL, _LOSS_SPLIT)
     + """SELECT NOT train AS is_test, CAST(CASE WHEN log_loss <= e0 THEN 0 WHEN log_loss <= e1 THEN 1 ELSE 2 END AS INTEGER) AS tier,
       count(*) AS "rows", round(min(log_loss), 6) AS low, round(max(log_loss), 6) AS high
     FROM ls, (SELECT quantile_cont(log_loss, 1 / 3.0e0) AS e0, quantile_cont(log_loss, 2 / 3.0e0) AS e1 FROM ls WHERE train) GROUP BY 1, 2""",

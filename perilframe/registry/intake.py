@@ -17,9 +17,9 @@ from .base import INC, INCRAIN, KEYRAIN, RAIN, day_text, query, time_text, with_
 AS_OF = dt.datetime(2001, 8, 1)
 
 
-@query("paged_cutoff", "SELECT o_orderkey // 100 AS page, o_orderkey AS id FROM orders")
+@query("paged_cutoff", "SELECT o_orderkey // 100 AS page, o_orderkey AS id FROM orders WHERE o_orderkey // 100 <> 3")
 def paged_cutoff(spark, sf):
-    """Pages of 100 reports; after the real end: two empty pages that still name a next, then stale copies."""
+    """Pages of 100 reports, one of them truncated; after the real end: two empty pages that still name a next, then stale copies."""
     orders = star.table(spark, sf, "orders")
     page = F.floor(F.col("o_orderkey") / 100).alias("page")
     filled = orders.groupBy(page).agg(  # at most 100 keys per page
@@ -31,6 +31,8 @@ def paged_cutoff(spark, sf):
     pages = filled.unionByName(tail).select(
         "page", F.to_json(F.struct("results", F.concat(F.lit("page"), (F.col("page") + 1).cast("string")).alias("next"))).alias("body")
     )
+    cut = F.expr("left(body, length(body) - 5)")
+    pages = pages.withColumn("body", F.when(F.col("page") == 3, cut).otherwise(F.col("body")))
     return landed.page_records(pages).select(
         "page", F.get_json_object("record", "$.id").cast("bigint").alias("id")
     )
@@ -84,13 +86,21 @@ def json_loss_fields(spark, sf):
     )
 
 
+_DEFECTS = [
+    ',"hazard":"abc"', ',"hazard":99999999999', ',"loss":{"id":"zz"}', ',"point":"nope"', ',"point":{"coordinates":["a","b"]}',
+    ',"point":{"coordinates":[82.6]}', ',"hazard":{"title":"x"},"loss":{},"point":{"coordinates":[]}', "",
+]
+
+
 @query(
     "reject_rows",
     """SELECT event_id, CASE event_type WHEN 'error' THEN 'no id' WHEN 'signup' THEN 'bad id'
-         WHEN 'view' THEN 'bad incidentOn' WHEN 'purchase' THEN 'bad verified' END AS reason FROM events""",
+         WHEN 'view' THEN 'bad incidentOn' WHEN 'purchase' THEN 'bad verified'
+         ELSE CASE event_id % 8 WHEN 0 THEN 'bad hazard' WHEN 1 THEN 'bad hazard' WHEN 2 THEN 'bad loss' WHEN 3 THEN 'bad point'
+           WHEN 4 THEN 'bad point' WHEN 5 THEN 'bad point' END END AS reason FROM events""",
 )
 def reject_rows(spark, sf):
-    """Events as reports; four of the five kinds carry a defect."""
+    """Events as reports; four of the five kinds carry a defect, the fifth one of six, an id-less object, or none."""
     kind = F.col("event_type")
     key = F.col("event_id").cast("string")
     record = F.concat(
@@ -101,7 +111,9 @@ def reject_rows(spark, sf):
         F.lit('"verified":'), F.when(kind == "purchase", F.lit('"perhaps"')).otherwise(F.lit("true")),
         F.lit(',"incidentOn":"'),
         F.when(kind == "view", F.lit("last week")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")),
-        F.lit('"}'),
+        F.lit('"'),
+        F.element_at(F.array(*[F.lit(d) for d in _DEFECTS]), (F.pmod("event_id", F.lit(8)) + 1).cast("int")),
+        F.lit("}"),
     )
     return landed.with_reason(star.table(spark, sf, "events").select("event_id", record.alias("record"))).select(
         "event_id", "reason"
@@ -123,7 +135,8 @@ def upsert_hazards(spark, sf):
         F.lit("revised").alias("type"), F.lit("changed").alias("color"), F.lit("changed").alias("icon_url"),
     )
     batch = edits.unionByName(edits.withColumn("id", F.col("id") + 10))
-    return writes.upsert(stored, batch, *schema.UPSERT_RULES["hazards"])
+    stale = batch.withColumn("title", F.lit("stale"))
+    return writes.upsert(stored, stale.unionByName(batch), *schema.UPSERT_RULES["hazards"])
 
 
 @query(
@@ -135,7 +148,7 @@ def upsert_hazards(spark, sf):
     FROM nation JOIN region ON n_regionkey = r_regionkey""",
 )
 def upsert_districts(spark, sf):
-    """The batch arrives as landed pages of 20 and goes through the page reader."""
+    """The batch arrives as landed pages of 20 and goes through the page reader; later pages repeat every record anew."""
     regions = star.table(spark, sf, "region").select(F.col("r_regionkey").alias("province_id"), "r_name")
     stored = star.districts(spark, sf)
     title = F.concat_ws(" of ", "title", "r_name").alias("title")
@@ -144,7 +157,9 @@ def upsert_districts(spark, sf):
         F.explode(F.array(F.col("id"), F.col("id") + 100)).alias("id"), title
     )
     record = F.struct("id", "title", changed.alias("title_ne"), changed.alias("code"), F.lit(0).alias("province"))
-    pages = edits.groupBy(F.floor(F.col("id") / 20).alias("page")).agg(
+    stale = edits.withColumn("title", F.lit("stale")).withColumn("page", F.floor(F.col("id") / 20))
+    newest = edits.withColumn("page", F.floor(F.col("id") / 20) + 10)
+    pages = stale.unionByName(newest).groupBy("page").agg(
         F.sort_array(F.collect_list(record)).alias("results")
     ).select("page", F.to_json(F.struct("results", F.lit("more").alias("next"))).alias("body"))
     batch = landed.flatten_districts(landed.page_records(pages))
@@ -162,7 +177,8 @@ def upsert_municipalities(spark, sf):
         F.lit("changed").alias("title_ne"), F.lit("changed").alias("type"), F.lit("changed").alias("code"),
         F.lit(0).alias("district_id"),
     )
-    return writes.upsert(star.municipalities(spark, sf), renamed, *schema.UPSERT_RULES["municipalities"])
+    stale = renamed.withColumn("title", F.lit("stale"))
+    return writes.upsert(star.municipalities(spark, sf), stale.unionByName(renamed), *schema.UPSERT_RULES["municipalities"])
 
 
 @query(
@@ -170,29 +186,35 @@ def upsert_municipalities(spark, sf):
     with_(INC) + """SELECT id,
       CASE status WHEN 'O' THEN title WHEN 'F' THEN 'v1 ' || id ELSE 'v2 ' || id END AS title,
       CASE status WHEN 'O' THEN false WHEN 'F' THEN true ELSE NULL END AS verified,
-      approved, hazard_id, strftime(reported_on + CASE status WHEN 'O' THEN INTERVAL 0 DAY WHEN 'F' THEN INTERVAL 1 DAY ELSE INTERVAL 2 DAY END,
+      approved, hazard_id, strftime(CASE WHEN status <> 'F' OR id % 5 <> 0 THEN reported_on END + CASE status WHEN 'O' THEN INTERVAL 0 DAY WHEN 'F' THEN INTERVAL 1 DAY ELSE INTERVAL 2 DAY END,
         '%Y-%m-%d %H:%M:%S') AS modified_on FROM inc
     UNION ALL
-    SELECT -1 - id, 'v2 ' || id, NULL, approved, 9, strftime(reported_on + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') FROM inc WHERE status = 'P'""",
+    SELECT -1 - id, 'v2 ' || id, NULL, approved, 8, strftime(reported_on + INTERVAL 2 DAY, '%Y-%m-%d %H:%M:%S') FROM inc WHERE status = 'P'""",
 )
 def upsert_incidents(spark, sf):
-    """The batch holds two versions of every P report under its own id and under a new id, and one of every F report."""
+    """The batch holds three versions of every P report under its own id and under a new id, and one of every F report.
+
+    The oldest versions, and a part of the F reports, have no modification time.
+    """
     keep = ["id", "title", "verified", "approved", "hazard_id", "modified_on", "raw_data"]
     rows = star.with_raw(star.incidents(spark, sf)).withColumn("modified_on", F.col("reported_on"))
     stored = rows.select(*keep)
 
     def version(n, source, verified):
+        undated = (F.lit(n) == 0) | ((F.col("status") == "F") & (F.pmod("number", F.lit(5)) == 0))
+        modified = F.when(~undated, F.col("reported_on") + F.expr(f"interval {n} day"))
         return source.select(
             "id", F.concat(F.lit(f"v{n} "), F.col("number").cast("string")).alias("title"), verified.alias("verified"), "approved",
-            F.lit(8 + n).alias("hazard_id"), (F.col("reported_on") + F.expr(f"interval {n} day")).alias("modified_on"), "raw_data",
+            F.lit(8 + n).alias("hazard_id"), modified.alias("modified_on"), "raw_data",
         )
 
     rows = rows.withColumn("number", F.col("id"))
     again = rows.where("status = 'P'")
     fresh = again.withColumn("id", -1 - F.col("id"))
     null = F.lit(None).cast("boolean")
-    batch = version(1, rows.where("status <> 'O'"), F.lit(True)).unionByName(version(2, again, null))
-    batch = batch.unionByName(version(1, fresh, F.lit(True))).unionByName(version(2, fresh, null))
+    batch = version(2, again, null).unionByName(version(1, rows.where("status <> 'O'"), F.lit(True)))
+    batch = batch.unionByName(version(2, fresh, null)).unionByName(version(1, fresh, F.lit(True)))
+    batch = batch.unionByName(version(0, again, F.lit(False))).unionByName(version(0, fresh, F.lit(False)))
     done = writes.upsert(stored, batch, *schema.UPSERT_RULES["incidents"], order="modified_on")
     return done.select(*keep[:5], time_text("modified_on").alias("modified_on"))
 
@@ -219,7 +241,8 @@ def upsert_incident_rain(spark, sf):
         F.max("l_shipdate").cast("timestamp").alias("fetched_at"),
     ).withColumns({"incident_date": F.lit(None).cast("date"), "rain_peak_7d": F.lit(None).cast("double")})
     known = fetched.join(stored.select("incident_id"), "incident_id", "left_semi")
-    done = writes.upsert(stored, known, *schema.UPSERT_RULES["incident_rain"])
+    stale = known.withColumns({c: F.lit(-1.0) for c in V.RAIN_SUMS})
+    done = writes.upsert(stored, stale.unionByName(known), *schema.UPSERT_RULES["incident_rain"])
     return done.select("incident_id", day_text("incident_date").alias("incident_date"), *V.RAIN_ALL)
 
 
@@ -252,6 +275,7 @@ def upsert_daily_rain(spark, sf):
         "district_id", "sample_date", *[(F.col(c) * 2).cast("decimal(12,4)").alias(c) for c in V.RAIN_ALL], F.lit(1).alias("ingested_at")
     )
     batch = edits.unionByName(edits.withColumn("district_id", F.col("district_id") + 1000))
+    batch = batch.withColumns({c: F.lit(-1).cast("decimal(12,4)") for c in V.RAIN_ALL}).unionByName(batch)
     done = writes.upsert(stored, batch, *schema.UPSERT_RULES["district_daily_rain"])
     return done.select(
         "district_id", day_text("sample_date").alias("sample_date"), *[F.col(c).cast("double").alias(c) for c in V.RAIN_ALL]

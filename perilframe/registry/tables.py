@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V, schema
 from ..functions import scalar as S
@@ -252,7 +254,7 @@ def daily_rain(spark, sf):
 
 # --- datasets ------------------------------------------------------------
 
-_LEADLAG = """leadlag AS (
+LEADLAG_SQL = """leadlag AS (
   SELECT incident_id AS row_id, district_id, incident_date AS sample_date, rain_1d, rain_3d, rain_7d, rain_peak_7d, 1 AS label
   FROM incrain WHERE rain_1d IS NOT NULL AND rain_3d IS NOT NULL AND rain_7d IS NOT NULL AND rain_peak_7d IS NOT NULL
   UNION ALL
@@ -261,7 +263,7 @@ _LEADLAG = """leadlag AS (
     FROM neg n JOIN rain r ON r.district_id = n.district_id AND r.date >= n.d - 7 AND r.date < n.d
     WHERE n.d - 1 IN (SELECT date FROM rain) GROUP BY 1, 2, 3) WHERE a IS NOT NULL)"""
 
-_NEG = """pos AS (SELECT DISTINCT district_id AS k, CAST(incident_on AS DATE) AS pd FROM inc),
+NEGATIVES_SQL = """pos AS (SELECT DISTINCT district_id AS k, CAST(incident_on AS DATE) AS pd FROM inc),
 days AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS d FROM (
   SELECT min(incident_on) AS a, max(incident_on) AS b FROM inc)),
 free AS (SELECT district_id, d, CAST(district_id AS BIGINT) * 1000000 + date_diff('day', DATE '1970-01-01', d) AS number
@@ -277,15 +279,16 @@ def negatives(spark, sf):
     rows = star.incidents(spark, sf)
     points = stable(rain.centroids(rows, "district_id", "lon", "lat", "id"))
     positives = rows.select("district_id", F.to_date("incident_on").alias("sample_date"))
-    drawn = splits.negative_samples(stable(positives), points, "district_id", "sample_date")
+    # On the large tables events are so dense that too few (district, day) pairs are free; the ratio says how few.
+    drawn = splits.negative_samples(stable(positives), points, "district_id", "sample_date", allow_fewer=True)
     number = F.col("district_id").cast("bigint") * 1_000_000 + F.unix_date("sample_date")
-    return drawn.select(number.alias("id"), "district_id", "sample_date", "lon", "lat")
+    return drawn.select(number.alias("id"), "district_id", "sample_date", "lon", "lat", "achieved_ratio")
 
 
 def negatives_with_rain(spark, sf, grid=None):
     """Rain written into the drawn rows; rows over uncovered days keep NULLs."""
     grid = grid if grid is not None else stable(star.rain_grid(spark, sf))
-    drawn = stable(negatives(spark, sf))
+    drawn = stable(negatives(spark, sf).drop("achieved_ratio"))
     empty = drawn.withColumns({c: F.lit(None).cast("double") for c in V.RAIN_ALL})
     found = rain.at_points(drawn, grid, star.GEOMETRY, "sample_date", "lon", "lat", gate=1)
     return update_only(empty, found, ["id"], V.RAIN_ALL)
@@ -300,15 +303,18 @@ def leadlag(spark, sf):
 
 @query(
     "negative_samples",
-    with_(INC, _NEG) + "SELECT id, district_id, strftime(d, '%Y-%m-%d') AS sample_date FROM neg",
+    with_(INC, NEGATIVES_SQL) + """SELECT id, district_id, strftime(d, '%Y-%m-%d') AS sample_date,
+      round((SELECT count(*) FROM neg) / CAST((SELECT count(*) FROM inc) AS DOUBLE), 6) AS achieved_ratio FROM neg""",
 )
 def negative_samples(spark, sf):
-    return negatives(spark, sf).select("id", "district_id", day_text("sample_date").alias("sample_date"))
+    return negatives(spark, sf).select(
+        "id", "district_id", day_text("sample_date").alias("sample_date"), F.round("achieved_ratio", 6).alias("achieved_ratio")
+    )
 
 
 @query(
     "rain_negatives",
-    with_(INC, RAIN, _NEG) + """SELECT n.id, CASE WHEN ok THEN a END AS rain_1d, CASE WHEN ok THEN b END AS rain_3d,
+    with_(INC, RAIN, NEGATIVES_SQL) + """SELECT n.id, CASE WHEN ok THEN a END AS rain_1d, CASE WHEN ok THEN b END AS rain_3d,
       CASE WHEN ok THEN c END AS rain_7d, CASE WHEN ok THEN e END AS rain_peak_7d
     FROM (SELECT n.id, n.d - 1 IN (SELECT date FROM rain) AS ok, sum(CASE WHEN r.date >= n.d - 1 THEN precip_mm END) AS a,
       sum(CASE WHEN r.date >= n.d - 3 THEN precip_mm END) AS b, sum(precip_mm) AS c, max(precip_mm) AS e
@@ -320,7 +326,7 @@ def rain_negatives(spark, sf):
 
 @query(
     "leadlag_dataset",
-    with_(INC, RAIN, KEYRAIN, INCRAIN, _NEG, _LEADLAG)
+    with_(INC, RAIN, KEYRAIN, INCRAIN, NEGATIVES_SQL, LEADLAG_SQL)
     + """SELECT row_id, district_id, strftime(sample_date, '%Y-%m-%d') AS sample_date,
       rain_1d, rain_3d, rain_7d, rain_peak_7d, label FROM leadlag""",
 )
@@ -330,7 +336,7 @@ def leadlag_dataset(spark, sf):
 
 @query(
     "leadlag_assertions",
-    with_(INC, RAIN, KEYRAIN, INCRAIN, _NEG, _LEADLAG)
+    with_(INC, RAIN, KEYRAIN, INCRAIN, NEGATIVES_SQL, LEADLAG_SQL)
     + """, r AS (SELECT 'label in {0,1}' AS rule, count(*) AS e, count(*) FILTER (label NOT IN (0, 1)) AS u FROM leadlag
       UNION ALL SELECT 'rain not null', count(*), count(*) FILTER (rain_1d IS NULL OR rain_3d IS NULL OR rain_7d IS NULL) FROM leadlag
       UNION ALL SELECT 'rain_7d >= rain_3d', count(*), count(*) FILTER (rain_7d < rain_3d) FROM leadlag
@@ -343,7 +349,7 @@ def leadlag_assertions(spark, sf):
 
 @query(
     "dataset_profile",
-    with_(INC, RAIN, KEYRAIN, INCRAIN, _NEG, _LEADLAG)
+    with_(INC, RAIN, KEYRAIN, INCRAIN, NEGATIVES_SQL, LEADLAG_SQL)
     + """SELECT count(*) AS "rows", count(*) FILTER (label = 1) AS positives, count(*) FILTER (label = 0) AS negatives,
       round(avg(label), 6) AS positive_rate, count(DISTINCT district_id) AS "groups", min(rain_7d) AS value_min, max(rain_7d) AS value_max
     FROM leadlag""",
@@ -354,7 +360,7 @@ def dataset_profile(spark, sf):
     )
 
 
-_SEVERITY = """severity AS (
+SEVERITY_SQL = """severity AS (
   SELECT id AS incident_id, i.incident_on, hazard_id, i.district_id, CAST(month(i.incident_on) AS INTEGER) AS month,
     CAST(isodow(i.incident_on) - 1 AS INTEGER) AS day_of_week, rain_1d, rain_3d, rain_7d, rain_peak_7d,
     CASE WHEN status = 'P' AND id % 4 >= 2 THEN 1 ELSE 0 END AS casualty,
@@ -374,7 +380,7 @@ def losses(spark, sf):
 
 @query(
     "severity_dataset",
-    with_(INC, RAIN, KEYRAIN, INCRAIN, _SEVERITY) + f"SELECT {_FEATURES_OUT}, casualty FROM severity",
+    with_(INC, RAIN, KEYRAIN, INCRAIN, SEVERITY_SQL) + f"SELECT {_FEATURES_OUT}, casualty FROM severity",
 )
 def severity_dataset(spark, sf):
     return severity(spark, sf).withColumn("incident_on", time_text("incident_on"))
@@ -382,7 +388,7 @@ def severity_dataset(spark, sf):
 
 @query(
     "loss_dataset",
-    with_(INC, RAIN, KEYRAIN, INCRAIN, _SEVERITY)
+    with_(INC, RAIN, KEYRAIN, INCRAIN, SEVERITY_SQL)
     + f"SELECT {_FEATURES_OUT}, estimated_loss, round(ln(1 + estimated_loss), 6) AS log_loss FROM severity WHERE estimated_loss IS NOT NULL",
 )
 def loss_dataset(spark, sf):
@@ -416,6 +422,37 @@ def incident_list(spark, sf):
     )
 
 
+def _undated(rows):
+    return rows.withColumn("incident_on", F.when(F.pmod("id", F.lit(20)) != 0, F.col("incident_on")))
+
+
+@query(
+    "incident_page_after",
+    with_(INC) + """, u AS (SELECT *, CASE WHEN id % 20 <> 0 THEN incident_on END AS known_on FROM inc),
+    o AS (SELECT *, row_number() OVER (ORDER BY known_on DESC NULLS FIRST, id) AS place FROM u),
+    n AS (SELECT count(*) AS undated FROM u WHERE known_on IS NULL),
+    p AS (SELECT 'inside the undated' AS "position", undated - 20 AS last FROM n UNION ALL SELECT 'last undated', undated FROM n
+      UNION ALL SELECT 'dated', undated + 500 FROM n)
+    SELECT "position", id, title, hazard_id, hazard, strftime(known_on, '%Y-%m-%d') AS incident_on, lat AS latitude
+    FROM o JOIN p ON place > last AND place <= last + 50""",
+)
+def incident_page_after(spark, sf):
+    """Three pages by keyset: from inside the block without a time, from its end, and from a dated position."""
+    rows = stable(_undated(star.incidents(spark, sf)))
+    hazards = star.hazards(spark, sf)
+    undated = rows.where("incident_on is null").agg(F.count("*")).first()[0]
+    order = [F.desc_nulls_first("incident_on"), F.asc("id")]
+    pages = []
+    for name, place in (("inside the undated", undated - 20), ("last undated", undated), ("dated", undated + 500)):
+        at = rows.select("incident_on", "id").orderBy(*order).offset(place - 1).limit(1).first()
+        page = listing.incidents_after(rows, hazards, at["incident_on"], at["id"])
+        pages.append(page.withColumn("position", F.lit(name)))
+    return reduce(DataFrame.unionByName, pages).select(
+        "position", "id", "title", F.col("hazard.id").alias("hazard_id"), F.col("hazard.title").alias("hazard"),
+        day_text("incident_on").alias("incident_on"), "latitude",
+    )
+
+
 @query(
     "hazard_list",
     """SELECT DISTINCT CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS id, o_orderpriority AS title, 'Ne ' || o_orderpriority AS title_ne,

@@ -29,13 +29,13 @@ ANOMALIES = (
 )
 RUN_LOG = ("run_id string, name string, kind string, key string, value string, start_time timestamp")
 
-# One landed report. `hazard` and `loss` are polymorphic, so they stay raw JSON text.
+# One landed report. `hazard`, `loss` and `point` stay raw JSON text, so that bad ones can be told from absent ones.
 REPORT = (
     "id string, title string, titleNe string, hazard string, incidentOn string, reportedOn string, "
     "verified string, approved string, source string, dataSource string, "
-    "point struct<coordinates:array<double>>, loss string, createdOn string, modifiedOn string"
+    "point string, loss string, createdOn string, modifiedOn string"
 )
-PAGE = ("results array<string>, next string")
+PAGE = ("results array<string>, next string, _broken string")
 
 # Write rules per table: identity, columns kept from first sight, columns the newest row overwrites.
 UPSERT_RULES = {

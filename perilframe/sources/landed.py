@@ -16,27 +16,57 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def page_records(pages: DataFrame) -> DataFrame:
-    """Records of the pages up to the end of the feed: columns page, record (JSON text).
+def _pages_of_feed(pages: DataFrame) -> DataFrame:
+    """Pages up to the end of the feed, parsed as `p`, with `broken` for those that did not parse.
 
-    The feed ends before the first page without results, whatever its `next` says,
-    and after the first page without `next`. Pages past the end are ignored.
+    The feed ends before the first page without results, whatever its `next` says, and after the first page
+    without `next`. A page that does not parse says nothing about the end.
     """
-    parsed = pages.select("page", F.from_json("body", schema.PAGE).alias("p"))
+    parse = F.from_json("body", schema.PAGE, {"columnNameOfCorruptRecord": "_broken"})
+    parsed = pages.select("page", "body", parse.alias("p")).withColumn(
+        "broken", F.col("p").isNull() | F.col("p._broken").isNotNull()
+    )
     empty = F.coalesce(F.size("p.results"), F.lit(0)) <= 0
-    ends_at = F.when(empty, F.col("page") - 1).when(F.col("p.next").isNull(), F.col("page"))
+    ends_at = F.when(F.col("broken"), None).when(empty, F.col("page") - 1).when(F.col("p.next").isNull(), F.col("page"))
     last = parsed.agg(F.min(ends_at).alias("last")).scalar()
-    return (
-        parsed.withColumn("last", last)
-        .where("last is null or page <= last")
-        .select("page", F.explode("p.results").alias("record"))
-    )
+    return parsed.withColumn("last", last).where("last is null or page <= last")
+
+
+def page_records(pages: DataFrame) -> DataFrame:
+    """Records of the feed: columns page, at (place in the page) and record (JSON text). (page, at) is their arrival.
+
+    Pages past the end are ignored; pages that do not parse are in `page_rejects` and cost no other page.
+    """
+    good = _pages_of_feed(pages).where("not broken")
+    return good.select("page", F.posexplode("p.results").alias("at", "record"))
+
+
+def page_rejects(pages: DataFrame) -> DataFrame:
+    """Pages of the feed that did not parse: page, body, reason."""
+    return _pages_of_feed(pages).where("broken").select("page", "body", F.lit("page is not JSON").alias("reason"))
 
 
 def _time(c: Column) -> Column:
     return c.try_cast("timestamp")
 
 
+def _coordinate(point: Column, i: int) -> Column:
+    return F.get_json_object(point, f"$.coordinates[{i}]").try_cast("double")
+
+
+def _bad_id(raw: Column) -> Column:
+    """Present, not an object without an id, and not a whole number that fits."""
+    without_id = raw.startswith("{") & F.get_json_object(raw, "$.id").isNull()
+    return raw.isNotNull() & ~without_id & polymorphic_id(raw).isNull()
+
+
+def _bad_point(raw: Column) -> Column:
+    """Present, and neither an object without coordinates nor one with two numbers or more."""
+    coordinates = F.get_json_object(raw, "$.coordinates")
+    absent = raw.startswith("{") & (coordinates.isNull() | (coordinates == "[]"))
+    return raw.isNotNull() & ~absent & (_coordinate(raw, 0).isNull() | _coordinate(raw, 1).isNull())
+
+
 def parse(records: DataFrame, text: str = "record") -> DataFrame:
     """Add the parsed report as `_r`, so that checks and columns share one pass over the JSON.
 
@@ -54,7 +84,6 @@ def flatten(records: DataFrame, text: str = "record") -> DataFrame:
     Values that do not convert become NULL here; `with_reason` tells why.
     """
     r = lambda name: F.col(f"_r.{name}")
-    coordinates = r("point.coordinates")
     return parse(records, text).select(
         r("id").try_cast("bigint").alias("id"),
         r("title").alias("title"),
@@ -66,8 +95,8 @@ def flatten(records: DataFrame, text: str = "record") -> DataFrame:
         r("approved").try_cast("boolean").alias("approved"),
         r("source").alias("source"),
         r("dataSource").alias("data_source"),
-        F.get(coordinates, 0).alias("lon"),
-        F.get(coordinates, 1).alias("lat"),
+        _coordinate(r("point"), 0).alias("lon"),
+        _coordinate(r("point"), 1).alias("lat"),
         polymorphic_id(r("loss")).alias("loss_id"),
         _time(r("createdOn")).alias("created_on"),
         _time(r("modifiedOn")).alias("modified_on"),
@@ -90,6 +119,9 @@ def with_reason(records: DataFrame, text: str = "record") -> DataFrame:
         F.when(r["id"].try_cast("bigint").isNull(), F.lit("bad id")),
         *bad_time,
         *bad_flag,
+        F.when(_bad_id(r["hazard"]), F.lit("bad hazard")),
+        F.when(_bad_id(r["loss"]), F.lit("bad loss")),
+        F.when(_bad_point(r["point"]), F.lit("bad point")),
     )
     return parse(records, text).withColumn("reason", reason)
 
@@ -115,19 +147,25 @@ DISTRICT_RECORD = "id int, title string, title_ne string, code string, province
 MUNICIPALITY_RECORD = "id int, title string, title_ne string, type string, code string, district int"
 
 
+def _arrival(records: DataFrame) -> list[Column]:
+    """The place at which a record of a page arrived, as `arrival`; nothing for records from elsewhere."""
+    return [F.struct("page", "at").alias("arrival")] if {"page", "at"} <= set(records.columns) else []
+
+
 def flatten_hazards(records: DataFrame, text: str = "record") -> DataFrame:
-    return records.select(F.from_json(text, HAZARD_RECORD).alias("r")).select(
-        "r.id", "r.title", F.col("r.titleNe").alias("title_ne"), "r.type", "r.color", F.col("r.icon").alias("icon_url")
+    return records.select("*", F.from_json(text, HAZARD_RECORD).alias("r")).select(
+        "r.id", "r.title", F.col("r.titleNe").alias("title_ne"), "r.type", "r.color", F.col("r.icon").alias("icon_url"),
+        *_arrival(records),
     )
 
 
 def flatten_districts(records: DataFrame, text: str = "record") -> DataFrame:
-    return records.select(F.from_json(text, DISTRICT_RECORD).alias("r")).select(
-        "r.id", "r.title", "r.title_ne", "r.code", F.col("r.province").alias("province_id")
+    return records.select("*", F.from_json(text, DISTRICT_RECORD).alias("r")).select(
+        "r.id", "r.title", "r.title_ne", "r.code", F.col("r.province").alias("province_id"), *_arrival(records)
     )
 
 
 def flatten_municipalities(records: DataFrame, text: str = "record") -> DataFrame:
-    return records.select(F.from_json(text, MUNICIPALITY_RECORD).alias("r")).select(
-        "r.id", "r.title", "r.title_ne", "r.type", "r.code", F.col("r.district").alias("district_id")
+    return records.select("*", F.from_json(text, MUNICIPALITY_RECORD).alias("r")).select(
+        "r.id", "r.title", "r.title_ne", "r.type", "r.code", F.col("r.district").alias("district_id"), *_arrival(records)
     )

@@ -1,4 +1,4 @@
-"""Running event counts per day and kind, with a watermark bounding the state."""
+"""Running event counts per day and kind, as a log of what each batch adds."""
 
 from __future__ import annotations
 
@@ -9,35 +9,42 @@ COUNTS = "day timestamp, kind string, n bigint, total double, batch_id bigint"
 
 
 def start_daily(
-    events: DataFrame, out: str, progress: str, when: str, kind: str, value: str, late: str = "30 days"
+    events: DataFrame, out: str, progress: str, when: str, kind: str, value: str
 ) -> StreamingQuery:
-    """Update-mode counts per (day, kind). Each batch writes only the groups it changed.
+    """Sums per (day, kind) of every batch, in a folder named by the batch id; a replay replaces its own folder.
 
-    Rows later than `late` behind the newest event are dropped by the watermark; periods that
-    late rows reach beyond it are recomputed by grids.refresh_periods.
+    Sums add up, so no state is kept and no watermark is needed: a row counts however late it comes. `latest` adds
+    the batches, `compact` folds them when they get many.
     """
-    counted = (
-        events.select(F.col(when).cast("timestamp").alias("at"), F.col(kind).alias("kind"), F.col(value).alias("value"))
-        .withWatermark("at", late)
-        .groupBy(F.window("at", "1 day"), "kind")
-        .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-        .select(F.col("window.start").alias("day"), "kind", "n", "total")
+    rows = events.select(
+        F.date_trunc("day", F.col(when).cast("timestamp")).alias("day"), F.col(kind).alias("kind"), F.col(value).alias("value")
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        added = batch.groupBy("day", "kind").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+        added.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return (
-        counted.writeStream.outputMode("update")
-        .foreachBatch(write)
+        rows.writeStream.foreachBatch(write)
         .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )
 
 
+def read_log(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.schema(COUNTS).parquet(out)
+
+
 def latest(spark: SparkSession, out: str) -> DataFrame:
-    """The newest value of every (day, kind)."""
-    log = spark.read.schema(COUNTS).parquet(out)
-    newest = F.max_by(F.struct("n", "total"), "batch_id").alias("v")
-    return log.groupBy("day", "kind").agg(newest).select("day", "kind", "v.n", "v.total")
+    """The count and total of every (day, kind) over all batches."""
+    return read_log(spark, out).groupBy("day", "kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+def compact(spark: SparkSession, out: str, target: str) -> DataFrame:
+    """Fold the whole log into one batch folder of a new log, numbered as the newest batch it holds."""
+    newest = read_log(spark, out).agg(F.max("batch_id")).first()[0]
+    if newest is None:
+        raise ValueError(f"nothing in {out}")
+    latest(spark, out).write.parquet(f"{target}/batch_id={newest}")
+    return read_log(spark, target)

@@ -52,16 +52,18 @@ def read_log(spark: SparkSession, log_path: str) -> DataFrame:
     return spark.read.schema(LOG_SCHEMA).parquet(log_path)
 
 
-def current(log: DataFrame) -> DataFrame:
+def current(log: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The table the log describes: first-seen values, with the newest batch's mutable columns.
 
     Every folder holds a key once, so the oldest (after compaction: the large one) is the
-    stored table, and the later ones are an upsert into it that leaves it unshuffled.
+    stored table, and the later ones are an upsert into it that leaves it unshuffled. `keep` names log columns
+    to carry along from the newest batch.
     """
     oldest = log.agg(F.min("batch_id")).scalar()
-    rows = log.drop("changed_at")
+    keep = keep or []
+    rows = log.drop(*[c for c in ("changed_at",) if c not in keep])
     base = rows.where(F.col("batch_id") == oldest).drop("batch_id")
-    return upsert(base, rows.where(F.col("batch_id") > oldest), KEYS, MUTABLE, order="batch_id")
+    return upsert(base, rows.where(F.col("batch_id") > oldest), KEYS, [*MUTABLE, *keep], order="batch_id")
 
 
 def compact(spark: SparkSession, log_path: str, target: str) -> DataFrame:
@@ -70,5 +72,5 @@ def compact(spark: SparkSession, log_path: str, target: str) -> DataFrame:
     newest = log.agg(F.max("batch_id")).first()[0]
     if newest is None:
         raise ValueError(f"nothing in {log_path}")
-    collapse(log, KEYS, [*MUTABLE, "changed_at"], "batch_id").drop("batch_id").write.parquet(f"{target}/batch_id={newest}")
+    current(log, keep=["changed_at"]).write.parquet(f"{target}/batch_id={newest}")
     return read_log(spark, target)

@@ -164,3 +164,39 @@ def test_rain_grid_reads_only_its_days(spark, tmp_path):
     part = tables.read_rain_grid(spark, path, dt.date(2024, 1, 3), dt.date(2024, 1, 5))
     assert part.count() == 6
     assert "PartitionFilters: [isnotnull(date" in part._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_truncated_page_costs_only_itself(spark):
+    bodies = [json.dumps({"results": [{"id": i}], "next": "more"}) for i in range(1, 5)]
+    bodies[1] = bodies[1][:-4]
+    made = spark.createDataFrame(list(enumerate(bodies, 1)), "page bigint, body string")
+    assert ids(landed.page_records(made)) == [1, 3, 4]
+    assert [(r["page"], r["body"]) for r in landed.page_rejects(made).collect()] == [(2, bodies[1])]
+    assert [(r["page"], r["at"]) for r in landed.page_records(made).orderBy("page").collect()] == [(1, 0), (3, 0), (4, 0)]
+
+
+def test_repeated_keys_without_an_order_keep_the_last_arrival(spark):
+    stored = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "id int, title string, type string")
+    batch = spark.createDataFrame([(1, "c", "y"), (1, "d", "z"), (9, "e", "first"), (9, "f", "second"), (None, "g", "h")], stored.schema)
+    done = writes.upsert(stored, batch.coalesce(1), ["id"], ["title"])
+    assert sorted(map(tuple, done.collect())) == [(1, "d", "x"), (2, "b", "x"), (9, "f", "first")]
+    assert [r["title"] for r in writes.unkeyed(batch, ["id"]).collect()] == ["g"]
+    arrived = batch.where("id = 9").withColumn("arrival", F.when(F.col("title") == "e", 2).otherwise(1))
+    assert writes.upsert(stored, arrived, ["id"], ["title"]).where("id = 9").first()["title"] == "e"
+
+
+def test_a_row_without_an_order_value_is_the_oldest(spark):
+    stored = spark.createDataFrame([(1, "a", 1)], "id int, title string, seq int")
+    batch = spark.createDataFrame([(1, "b", None), (2, "c", None), (3, "new", 5), (3, "old", None)], stored.schema)
+    done = writes.upsert(stored, batch, ["id"], ["title", "seq"], order="seq")
+    assert sorted(map(tuple, done.collect()), key=lambda r: r[0]) == [(1, "b", None), (2, "c", None), (3, "new", 5)]
+
+
+@pytest.mark.parametrize("field, value, reason", [
+    ("hazard", "abc", "bad hazard"), ("hazard", 99999999999, "bad hazard"), ("hazard", {"title": "x"}, None), ("hazard", 17, None),
+    ("loss", {"id": "zz"}, "bad loss"), ("loss", {"deaths": 0}, None), ("point", "nope", "bad point"), ("point", {}, None),
+    ("point", {"coordinates": ["a", "b"]}, "bad point"), ("point", {"coordinates": [82.6]}, "bad point"),
+    ("point", {"coordinates": []}, None), ("point", {"coordinates": None}, None), ("point", {"coordinates": [82.6, 28.3]}, None),
+])
+def test_values_that_do_not_convert_are_rejected(spark, field, value, reason):
+    assert landed.with_reason(records(spark, {"id": 1, field: value})).first()["reason"] == reason

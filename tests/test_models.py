@@ -64,7 +64,7 @@ def test_counts_model_and_batch_scores(spark):
     assert served.where("predicted_incident_count < 0 or risk is null").count() == 0
 
 
-def test_severity_loss_and_tiers(spark, training):
+def test_severity_loss_and_tiers(spark, training, tmp_path):
     data = training.select(
         F.col("row_id").alias("incident_id"), F.col("sample_date").cast("timestamp").alias("incident_on"),
         (F.col("row_id") % 4).cast("int").alias("hazard_id"), "district_id", "month", F.lit(1).alias("day_of_week"), *V.RAIN_ALL,
@@ -79,6 +79,33 @@ def test_severity_loss_and_tiers(spark, training):
     assert loss["full_features"]["r2_log_scale"] > loss["hazard_only_baseline"]["r2_log_scale"]
     tiers = models.fit_tiers(data, TREES)
     assert tiers.values["accuracy"] > 0.6
+    shares = {r["feature"]: r["importance"] for r in models.importance_table(spark, tiers).collect()}
+    assert abs(sum(shares.values()) - 1) < 1e-6 and max(shares, key=shares.get).startswith("rain")
+    log, root = str(tmp_path / "runs"), str(tmp_path / "models")
+    small = {**TREES, "maxIter": 2}
+    jobs.retrain_severity(data, log, root, small)
+    jobs.retrain_loss(data, log, root, small)
+    jobs.retrain_tiers(data, log, root, small)
+    logged = runlog.read(spark, log)
+    assert {r["name"] for r in logged.where("kind = 'model'").collect()} == {
+        "incident-severity-hazard_only_baseline", "incident-severity-full_features", "incident-severity-full_features_hard_subset",
+        "incident-loss-hazard_only_baseline", "incident-loss-full_features", "incident-loss-tiers",
+    }
+    kept = {(r["key"], r["value"]) for r in logged.where("name = 'incident-loss-tiers'").collect()}
+    assert ("features", ",".join(V.SEVERITY_FEATURES)) in kept and ("split_method", "most_recent_rows") in kept
+
+
+@pytest.mark.parametrize("values, column", [(47, "hazard_id"), (77, "district_id")])
+def test_every_code_can_be_split(spark, values, column):
+    """A label that the code alone decides is learned exactly, however many codes there are."""
+    rng = random.Random(values)
+    odd = {c: rng.random() < 0.5 for c in range(values)}
+    rows = [(i, i % values, float(odd[i % values])) for i in range(values * 60)]
+    data = spark.createDataFrame(rows, f"row_id bigint, {column} int, label double")
+    settings = {**V.GBT_SEVERITY, "maxIter": 20, "maxDepth": 5}
+    run = models.classify("codes", data.where("row_id % 3 > 0"), data.where("row_id % 3 = 0"), [column], "label", settings)
+    assert run.values["roc_auc"] == 1.0 and run.values["accuracy"] >= 0.99
+    assert all(s["maxBins"] >= 77 for s in (V.RF_COUNTS, V.GBT_LEADLAG, V.GBT_SEVERITY, V.GBT_LOSS, V.GBT_DEFAULT))
 
 
 def test_jobs_use_the_newest_saved_model(spark, tmp_path, training):

@@ -178,3 +178,31 @@ def test_negatives_avoid_positives_and_keep_the_ratio(spark):
     assert len({(r["g"], r["d"]) for r in rows}) == 4
     assert not {(r["g"], r["d"]) for r in rows} & {(1, d0), (2, d0 + dt.timedelta(days=30))}
     assert all(d0 <= r["d"] <= d0 + dt.timedelta(days=30) for r in rows)
+
+
+def test_negatives_say_when_days_run_out(spark):
+    pos = spark.createDataFrame([(1, dt.date(2024, 1, d)) for d in range(1, 9)], "g int, d date")
+    points = spark.createDataFrame([(1, 80.0, 27.0), (2, 80.0, 27.0)], "g int, lon double, lat double")
+    with pytest.raises(ValueError, match="16 negatives asked for, 8 free"):
+        splits.negative_samples(pos, points, "g", "d")
+    rows = splits.negative_samples(pos, points, "g", "d", allow_fewer=True).collect()
+    assert len(rows) == 8 and {r["achieved_ratio"] for r in rows} == {1.0}
+
+
+def test_halves_hold_every_row(spark):
+    rows = [(i, None if i == 3 else dt.date(2024, 1, 1 + i), None if i == 4 else i % 3) for i in range(20)]
+    df = spark.createDataFrame(rows, "id bigint, d date, label int")
+    for marked in (splits.mark_recent_dates(df, "d"), splits.mark_stratified(df, "label", "id"), splits.mark_stratified(df, "label", "id", (0, 1))):
+        train, test = splits.halves(marked)
+        assert sorted(r["id"] for r in train.unionByName(test).collect()) == list(range(20)) and test.count() > 0
+    three = splits.mark_stratified(df, "label", "id").where("is_test").groupBy("label").count().collect()
+    assert {r["label"] for r in three} >= {0, 1, 2}
+    with pytest.raises(TypeError):
+        splits.mark_recent_dates(df.withColumn("d", df["d"].cast("timestamp")), "d")
+
+
+def test_ranks_over_the_whole_long_range(spark):
+    ids = [-(1 << 63), -5, 0, 7, (1 << 63) - 1] + [x * 0x123456789ABCDEF % (1 << 64) - (1 << 63) for x in range(1, 200)]
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    found = order_stats.locate_ranks(df, F.col("id"), range(len(set(ids))))
+    assert [f.value for f in found] == sorted(ids)[: len(found)]

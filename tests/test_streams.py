@@ -54,3 +54,10 @@ def test_daily_counts_across_batches(spark, tmp_path):
     add(("2024-01-01 23:00:00", "a", 2.0), ("2024-01-01 05:00:00", "b", 5.0))
     got = {(r["day"].day, r["kind"]): (r["n"], r["total"]) for r in counts.latest(spark, out).collect()}
     assert got == {(1, "a"): (2, 3.0), (2, "a"): (1, 1.0), (1, "b"): (1, 5.0)}
+    add(("2023-07-01 12:00:00", "a", 4.0))  # half a year late
+    late = {(r["day"].month, r["n"], r["total"]) for r in counts.latest(spark, out).where("day < '2024-01-01'").collect()}
+    assert late == {(7, 1, 4.0)}
+    whole = sorted(map(tuple, counts.latest(spark, out).collect()))
+    folded = str(tmp_path / "folded")
+    assert counts.compact(spark, out, folded).select("batch_id").distinct().count() == 1
+    assert sorted(map(tuple, counts.latest(spark, folded).collect())) == whole

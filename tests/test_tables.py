@@ -148,7 +148,9 @@ def test_list_newest_first_unknown_time_on_top(spark):
     assert rows[0]["hazard"] is None and rows[2]["hazard"]["title"] == "Landslide"
     assert (rows[2]["latitude"], rows[2]["longitude"]) == (28.3, 82.6)
     assert [r["id"] for r in listing.incident_list(inc, haz, page=2, size=2).collect()] == [1]
-    assert [r["id"] for r in listing.incidents_after(inc, at + dt.timedelta(days=1), 3).collect()] == [1]
+    assert [r["id"] for r in listing.incidents_after(inc, haz, at + dt.timedelta(days=1), 3).collect()] == [1]
+    assert [r["id"] for r in listing.incidents_after(inc, haz, None, 2, 1).collect()] == [3]
+    assert [r["id"] for r in listing.incidents_after(inc, haz, None, 1).collect()] == [2, 3, 1]
     assert listing.total(inc).first()["count"] == 3
     assert [r["title"] for r in listing.hazard_list(haz).collect()] == ["Landslide", "Snake Bite"]
 
