@@ -21,8 +21,14 @@ BATCH_BYTES = 16 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings of the library, and Arrow batches bounded by rows and bytes."""
+    """Session settings of the library, Arrow batches bounded by rows and bytes, and Bloom filters for joins.
+
+    A join of whole texts with the few that matter shuffles only texts whose key a Bloom filter of the small side
+    may hold. Spark builds it, of bounded size, where the small side is too large to broadcast but below 1 GB.
+    """
     configure(spark)
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
@@ -62,11 +68,11 @@ def restore(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(c).alias(n) for c, n in names.items()])
 
 
-def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of docs (see `filed`) whose key is in `rows`, with the columns of docs."""
+def drop_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of docs (see `filed`) whose key is not in `rows`, with the columns of docs."""
     names = plain_names(docs)
     held = keyed(docs, **{c: F.col(f"`{n}`") for c, n in names.items()})
-    return restore(held.join(rows.select("row"), "row", "left_semi"), names)
+    return restore(held.join(stable(rows.select("row")), "row", "left_anti"), names)
 
 
 def map_texts(

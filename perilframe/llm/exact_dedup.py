@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import stable
-from .common import filed, keep_rows, keyed, prepare
+from .common import drop_rows, filed, keyed, prepare
 
 # Fixed value: the characters that do not count when texts are compared.
 WHITE_SPACE = "[\\x20\\x09-\\x0D]+"
@@ -16,8 +16,8 @@ def normalised(text: str | Column) -> Column:
 
 
 def _hash(sha256: Column) -> Column:
-    """128 bits of the content hash."""
-    return F.unhex(F.substring(sha256, 1, 32))
+    """128 bits of the content hash; never null, which spares the optimizer a filter that computes it again."""
+    return F.coalesce(F.unhex(F.substring(sha256, 1, 32)), F.lit(b""))
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -65,11 +65,11 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def _collisions(source: DataFrame, shared: DataFrame) -> DataFrame:
     """Rows whose bytes differ from the row that stays in their hash group, with their own classes."""
-    # The comparison reads the texts of groups with several rows.
-    text = normalised("text")
-    texts = source.select("row", "doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), text.alias("body"))
+    # `n > 1` holds for all of `shared`; said here, it lets Spark filter the texts by these hashes before the shuffle.
+    chars = F.char_length(F.coalesce("text", F.lit("")))
+    texts = source.select("row", "doc_id", chars.alias("chars"), normalised("text").alias("body"))
     texts = texts.withColumn("hash", _hash(F.sha2("body", 256)))
-    members = stable(texts.join(shared.select("hash", "keep_row"), "hash"))
+    members = stable(texts.join(shared.where("n > 1").select("hash", "keep_row"), "hash"))
     stays = members.where(F.col("row") == F.col("keep_row")).select("hash", F.col("body").alias("kept_body"))
     differ = stable(members.join(stays, "hash").where("body <> kept_body").select("row", "doc_id", "chars", "hash", "body"))
     best = F.struct((-F.col("chars")).alias("least"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
@@ -82,7 +82,7 @@ def _collisions(source: DataFrame, shared: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all columns of docs. An empty table stays empty."""
     docs = filed(docs)
-    return keep_rows(docs, classes(docs).where("kept"))
+    return drop_rows(docs, classes(docs).where("not kept"))
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:

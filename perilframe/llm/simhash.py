@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stable
-from .common import components, filed, keep_rows, keyed, map_texts, prepare
+from .common import components, drop_rows, filed, keyed, map_texts, prepare
 
 SHINGLE, MOST_BITS = 4, 4
 BLOCKS = 8
@@ -195,4 +195,4 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = MOST_BITS)
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, most: int = MOST_BITS) -> DataFrame:
     """The first row of each group, with all columns of docs."""
     docs = filed(docs)
-    return keep_rows(docs, groups(docs, size, most).where(F.col("row") == F.col("component_row")))
+    return drop_rows(docs, groups(docs, size, most).where(F.col("row") != F.col("component_row")))
