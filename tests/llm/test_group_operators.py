@@ -241,7 +241,8 @@ def brute_links(vectors, least):
     fine = {}
     for i, v in enumerate(vectors):
         if v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            fine[i] = np.array(v, dtype=float) / np.linalg.norm(v)
+            scaled = np.array(v, dtype=float) / np.abs(v).max()  # squares of very large numbers overflow
+            fine[i] = scaled / np.linalg.norm(scaled)
     return [(i, j) for i in fine for j in fine if j < i and len(fine[i]) == len(fine[j]) and fine[i] @ fine[j] >= least]
 
 
