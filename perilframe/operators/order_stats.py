@@ -48,74 +48,145 @@ def _cell(value: Column, span: _Span) -> Column:
     return F.least(raw.cast("int"), F.lit(CELLS - 1))
 
 
-def locate_ranks(df: DataFrame, key: Column, wanted) -> list[Located]:
-    """Values at the wanted 0-based ranks of a numeric key, in the order asked for. NULL and NaN do not count.
+@dataclass(frozen=True)
+class Ask:
+    """Wanted 0-based ranks of a numeric key among the rows where a condition holds; NULL and NaN do not count.
+
+    `wanted` is a list of ranks, or a function of the number of such rows.
+    """
 
-    `wanted` is a list of ranks, or a function of the non-null row count.
+    key: Column
+    wanted: object
+    where: Column | None = None
+
+
+def _cells_of(value: Column, spans: list[_Span]) -> tuple[Column, Column]:
+    """The open span a value lies in, if any, and its cell there."""
+    expr_span, expr_cell = None, None
+    for i, span in enumerate(spans):
+        inside = value.between(F.lit(span.low), F.lit(span.high))
+        cell = F.lit(0) if span.low == span.high else _cell(value, span)
+        expr_span = F.when(inside, i) if expr_span is None else expr_span.when(inside, i)
+        expr_cell = F.when(inside, cell) if expr_cell is None else expr_cell.when(inside, cell)
+    return expr_span, expr_cell
+
+
+def _narrow(spans: list[_Span], cells: list, found: dict[int, Located]) -> list[_Span]:
+    """Record the ranks that fell on a single value; return the cells that still hold several."""
+    narrower = []
+    for i, span in enumerate(spans):
+        below, left = span.below, list(span.ranks)
+        for row in sorted((r for r in cells if r["span"] == i), key=lambda r: r["cell"]):
+            here = [r for r in left if r < below + row["n"]]
+            if here:
+                left = left[len(here):]
+                if row["low"] == row["high"]:
+                    for r in here:
+                        found[r] = Located(row["low"], below, row["n"])
+                elif (row["low"], row["high"]) == (span.low, span.high):
+                    raise ValueError("values must be finite")
+                else:
+                    narrower.append(_Span(row["low"], row["high"], below, here))
+            below += row["n"]
+            if not left:
+                break
+    return narrower
+
+
+def locate_many(df: DataFrame, asks: list[Ask]) -> list[list[Located]]:
+    """Per ask, the values at its wanted ranks, in the order asked for. All asks share every pass over df.
+
+    The keys must have one type. One pass finds the ranges; each further one narrows all open ranges to a cell.
     """
-    values = df.select(key.alias("v")).where("v is not null")
-    if values.schema["v"].dataType.typeName() in ("double", "float"):
-        values = values.where(~F.isnan("v"))
-    low, high, total = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    ranks = list(wanted(total)) if callable(wanted) else list(wanted)
-    if any(r < 0 or r >= total for r in ranks):
-        raise ValueError(f"ranks {ranks} do not fit {total} rows")
-
-    found: dict[int, Located] = {}
-    spans = [_Span(low, high, 0, sorted(set(ranks)))] if ranks else []
+    if not asks:
+        return []
+    values = df.select(*[(a.key if a.where is None else F.when(a.where, a.key)).alias(f"v{i}") for i, a in enumerate(asks)])
+    kinds = {f.dataType.typeName() for f in values.schema}
+    if len(kinds) > 1:
+        raise TypeError(f"keys of different types: {sorted(kinds)}")
+    if kinds & {"double", "float"}:
+        values = values.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in values.columns])
+    ends = values.agg(*[f(c).alias(f"{n}{c}") for c in values.columns for n, f in (("l", F.min), ("h", F.max), ("n", F.count))]).first()
+    wanted, found, spans = [], [], {}
+    for i, ask in enumerate(asks):
+        total = ends[f"nv{i}"]
+        ranks = list(ask.wanted(total)) if callable(ask.wanted) else list(ask.wanted)
+        if any(r < 0 or r >= total for r in ranks):
+            raise ValueError(f"ranks {ranks} do not fit {total} rows")
+        wanted.append(ranks)
+        found.append({})
+        if ranks:
+            spans[i] = [_Span(ends[f"lv{i}"], ends[f"hv{i}"], 0, sorted(set(ranks)))]
     while spans:
-        expr_span, expr_cell = None, None
-        for i, span in enumerate(spans):
-            inside = F.col("v").between(F.lit(span.low), F.lit(span.high))
-            cell = F.lit(0) if span.low == span.high else _cell(F.col("v"), span)
-            expr_span = F.when(inside, i) if expr_span is None else expr_span.when(inside, i)
-            expr_cell = F.when(inside, cell) if expr_cell is None else expr_cell.when(inside, cell)
-        reach = F.col("v").between(F.lit(spans[0].low), F.lit(spans[-1].high))  # a plain range can reach the scan
+        reach = F.lit(False)  # plain ranges, which can reach the scan
+        places = []
+        for i, some in spans.items():
+            v = F.col(f"v{i}")
+            reach = reach | v.between(F.lit(some[0].low), F.lit(some[-1].high))
+            span, cell = _cells_of(v, some)
+            places.append(F.struct(F.lit(i).alias("ask"), span.alias("span"), cell.alias("cell"), v.alias("v")))
         cells = (
             values.where(reach)
-            .select("v", expr_span.alias("span"), expr_cell.alias("cell"))
+            .select(F.inline(F.array(*places)))
             .where("span is not null")
-            .groupBy("span", "cell")
+            .groupBy("ask", "span", "cell")
             .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
             .collect()
         )
-        narrower = []
-        for i, span in enumerate(spans):
-            below, left = span.below, list(span.ranks)
-            for row in sorted((r for r in cells if r["span"] == i), key=lambda r: r["cell"]):
-                here = [r for r in left if r < below + row["n"]]
-                if here:
-                    left = left[len(here):]
-                    if row["low"] == row["high"]:
-                        for r in here:
-                            found[r] = Located(row["low"], below, row["n"])
-                    elif (row["low"], row["high"]) == (span.low, span.high):
-                        raise ValueError("values must be finite")
-                    else:
-                        narrower.append(_Span(row["low"], row["high"], below, here))
-                below += row["n"]
-                if not left:
-                    break
-        spans = narrower
-    return [found[r] for r in ranks]
+        spans = {i: _narrow(some, [r for r in cells if r["ask"] == i], found[i]) for i, some in spans.items()}
+        spans = {i: some for i, some in spans.items() if some}
+    return [[f[r] for r in ranks] for f, ranks in zip(found, wanted)]
 
 
-def quantiles(df: DataFrame, key: Column | str, probabilities) -> list[float]:
-    """Exact quantiles with linear interpolation between the two nearest ranks."""
-    value = (F.col(key) if isinstance(key, str) else key).cast("double")
-    points: list[float] = []
+def locate_ranks(df: DataFrame, key: Column, wanted) -> list[Located]:
+    """Values at the wanted 0-based ranks of one numeric key, in the order asked for."""
+    return locate_many(df, [Ask(key, wanted)])[0]
+
+
+def quantiles_many(df: DataFrame, keys: list[Column | str], probabilities) -> list[list[float]]:
+    """Exact quantiles with linear interpolation between the two nearest ranks, per key, from shared passes."""
+    points: list[list[float]] = [[] for _ in keys]
 
-    def ranks(total: int) -> list[int]:
-        points.extend(p * (total - 1) for p in probabilities)
-        return [r for x in points for r in (math.floor(x), math.ceil(x))]
+    def ranks(i: int):
+        def of(total: int) -> list[int]:
+            points[i].extend(p * (total - 1) for p in probabilities)
+            return [r for x in points[i] for r in (math.floor(x), math.ceil(x))]
 
-    at = locate_ranks(df, value, ranks)
+        return of
+
+    values = [(F.col(k) if isinstance(k, str) else k).cast("double") for k in keys]
+    at = locate_many(df, [Ask(v, ranks(i)) for i, v in enumerate(values)])
     return [
-        lo.value + (hi.value - lo.value) * (x - math.floor(x))
-        for x, lo, hi in zip(points, at[0::2], at[1::2])
+        [lo.value + (hi.value - lo.value) * (x - math.floor(x)) for x, lo, hi in zip(points[i], at[i][0::2], at[i][1::2])]
+        for i in range(len(keys))
     ]
 
 
+def quantiles(df: DataFrame, key: Column | str, probabilities) -> list[float]:
+    return quantiles_many(df, [key], probabilities)[0]
+
+
+def first_rows_of_each(df: DataFrame, strata: list[Column], keys: list[Column], takes: list[int]) -> list[Column]:
+    """Per stratum, the predicate that holds for its first `take` rows in key order (see `first_rows`), from shared passes."""
+    chosen, tied, left = [F.lit(False) for _ in strata], list(strata), list(takes)
+    open_ = [i for i, take in enumerate(takes) if take > 0]
+    for key in keys:
+        located = locate_many(df, [Ask(key, [left[i] - 1], tied[i]) for i in open_])
+        still = []
+        for i, (at,) in zip(open_, located):
+            if at.below + at.equal == left[i]:
+                chosen[i] = chosen[i] | (tied[i] & (key <= F.lit(at.value)))
+                continue
+            chosen[i] = chosen[i] | (tied[i] & (key < F.lit(at.value)))
+            tied[i] = tied[i] & (key == F.lit(at.value))
+            left[i] -= at.below
+            still.append(i)
+        open_ = still
+        if not open_:
+            return chosen
+    raise ValueError("the last key is not unique among tied rows")
+
+
 def first_rows(df: DataFrame, keys: list[Column], take) -> Column:
     """Predicate that holds for exactly the first `take` rows in key order.
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as V
 from ..functions.scalar import month_index, spread_hash
 from ..session import stable
-from .order_stats import first_rows
+from .order_stats import first_rows, first_rows_of_each
 
 
 MOST_LABELS = 100
@@ -58,11 +58,12 @@ def mark_stratified(
     sizes = {r[label]: r["count"] for r in df.groupBy(label).count().limit(MOST_LABELS + 1).collect()}
     if len(sizes) > MOST_LABELS:
         raise ValueError(f"{label} has more than {MOST_LABELS} values")
+    values = sorted(sizes, key=lambda v: (v is None, v)) if labels is None else list(labels)
+    strata = [F.col(label).eqNullSafe(F.lit(v)) for v in values]
+    quotas = [int(sizes.get(v, 0) * fraction + 0.5) for v in values]
     test: Column = F.lit(False)
-    for value in sorted(sizes, key=lambda v: (v is None, v)) if labels is None else labels:
-        stratum = F.col(label).eqNullSafe(F.lit(value))
-        quota = int(sizes.get(value, 0) * fraction + 0.5)
-        test = test | (stratum & first_rows(df.where(stratum), keys, quota))
+    for stratum, first in zip(strata, first_rows_of_each(df, strata, keys, quotas)):
+        test = test | (stratum & first)
     return df.withColumn("is_test", test)
 
 

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
 from .metrics import prf_from_counts, ranking_metrics
-from .order_stats import quantiles
+from .order_stats import quantiles_many
 
 
-def candidates(df: DataFrame, feature: str, percents=tuple(V.THRESHOLD_PERCENTS)) -> list[float]:
-    return quantiles(df, feature, [p / 100 for p in percents])
+def candidates(df: DataFrame, features: list[str], percents=tuple(V.THRESHOLD_PERCENTS)) -> dict[str, list[float]]:
+    """Percentiles per feature; the features share the passes."""
+    return dict(zip(features, quantiles_many(df, list(features), [p / 100 for p in percents])))
 
 
 def _reached(value: Column, cuts: list[float]) -> Column:
@@ -75,7 +76,7 @@ def best(scored: DataFrame) -> DataFrame:
 
 def search(train: DataFrame, test: DataFrame, features=tuple(V.RAIN_SUMS), label: str = "label") -> DataFrame:
     """Pick each feature's threshold on train, score it once on test."""
-    picked = best(score_candidates(train, {f: candidates(train, f) for f in features}, label)).collect()  # a row per feature
+    picked = best(score_candidates(train, candidates(train, list(features)), label)).collect()  # a row per feature
     pairs = F.array(
         *[
             F.struct(

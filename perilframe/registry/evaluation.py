@@ -89,9 +89,7 @@ _RAIN_TABLE = with_(INC, RAIN, KEYRAIN, INCRAIN, NEGATIVES_SQL, LEADLAG_SQL)
 )
 def threshold_candidates(spark, sf):
     rows = stable(leadlag(spark, sf))
-    found = [
-        (f, p, t) for f in V.RAIN_SUMS for p, t in zip(V.THRESHOLD_PERCENTS, thresholds.candidates(rows, f))
-    ]
+    found = [(f, p, t) for f, cuts in thresholds.candidates(rows, V.RAIN_SUMS).items() for p, t in zip(V.THRESHOLD_PERCENTS, cuts)]
     return spark.createDataFrame(found, "feature string, percent int, threshold double").withColumn(
         "threshold", rounded("threshold")
     )
