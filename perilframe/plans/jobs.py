@@ -1,6 +1,7 @@
 """The recurring jobs, each one call: intake with checks, district rain, retraining, scoring, anomalies.
 
-Models travel through the run log: training saves a pipeline, scoring loads the newest.
+Models travel through the run log: training saves a pipeline, scoring loads the newest. Retraining deletes the
+intermediate tables of the fit.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import fixed_values as V, schema
 from ..operators import grids, quality, rain, splits
 from ..operators.upsert import upsert
-from ..session import stable
+from ..session import owned_scratch, stable
 from ..sources import landed
 from ..streaming import intake
 from . import anomaly, models, requests, runlog
@@ -58,13 +59,15 @@ def _log(spark: SparkSession, name: str, run: models.Run, params: dict, split: s
 
 def retrain_counts(panel: DataFrame, log_path: str, model_root: str, params: dict | None = None) -> models.Run:
     params = params or V.RF_COUNTS
-    run, _ = models.fit_counts(panel, params)
+    with owned_scratch(panel.sparkSession):
+        run, _ = models.fit_counts(panel, params)
     return _log(panel.sparkSession, COUNTS_MODEL, run, params, "last_periods", log_path, model_root)
 
 
 def retrain_leadlag(training: DataFrame, log_path: str, model_root: str, params: dict | None = None) -> models.Run:
     params = params or V.GBT_LEADLAG
-    run = models.fit_leadlag(training, params)
+    with owned_scratch(training.sparkSession):
+        run = models.fit_leadlag(training, params)
     return _log(training.sparkSession, LEADLAG_MODEL, run, params, "most_recent_share_of_dates", log_path, model_root)
 
 
@@ -73,21 +76,24 @@ def retrain_severity(
 ) -> list[models.Run]:
     """The casualty models: hazard alone, all features, all features without near-certain hazards."""
     params = params or V.GBT_SEVERITY
-    runs = models.fit_severity(dataset, params, tautology_rate)
     spark = dataset.sparkSession
+    with owned_scratch(spark):
+        runs = models.fit_severity(dataset, params, tautology_rate)
     return [_log(spark, f"{SEVERITY_MODEL}-{r.name}", r, params, "most_recent_rows", log_path, model_root) for r in runs]
 
 
 def retrain_loss(dataset: DataFrame, log_path: str, model_root: str, params: dict | None = None) -> list[models.Run]:
     params = params or V.GBT_LOSS
-    runs = models.fit_loss(dataset, params)
     spark = dataset.sparkSession
+    with owned_scratch(spark):
+        runs = models.fit_loss(dataset, params)
     return [_log(spark, f"{LOSS_MODEL}-{r.name}", r, params, "most_recent_rows", log_path, model_root) for r in runs]
 
 
 def retrain_tiers(dataset: DataFrame, log_path: str, model_root: str, params: dict | None = None) -> models.Run:
     params = params or V.GBT_LOSS
-    run = models.fit_tiers(dataset, params)
+    with owned_scratch(dataset.sparkSession):
+        run = models.fit_tiers(dataset, params)
     return _log(dataset.sparkSession, TIER_MODEL, run, params, "most_recent_rows", log_path, model_root)
 
 

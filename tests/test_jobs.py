@@ -37,3 +37,17 @@ def test_update_district_rain_rewrites_target_days(spark):
     got = {(r["district_id"], r["sample_date"].day): (r["rain_1d"], r["rain_7d"], r["ingested_at"]) for r in done.collect()}
     assert got == {(1, 3): (2, 3, at), (1, 9): (None, None, None), (2, 3): (3, 5, at)}
     assert done.schema["rain_1d"].dataType.simpleString() == "decimal(10,4)"
+
+
+def test_scratch_of_a_finished_job_is_deleted(spark):
+    import os
+
+    from perilframe.session import owned_scratch, shared_folder, stable
+
+    folder = shared_folder(spark).removeprefix("file:")
+    kept = stable(spark.range(3))
+    before = set(os.listdir(folder))
+    with owned_scratch(spark):
+        assert stable(spark.range(5)).count() == 5
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before and kept.count() == 3

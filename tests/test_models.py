@@ -104,7 +104,7 @@ def test_every_code_can_be_split(spark, values, column):
     data = spark.createDataFrame(rows, f"row_id bigint, {column} int, label double")
     settings = {**V.GBT_SEVERITY, "maxIter": 20, "maxDepth": 5}
     run = models.classify("codes", data.where("row_id % 3 > 0"), data.where("row_id % 3 = 0"), [column], "label", settings)
-    assert run.values["roc_auc"] == 1.0 and run.values["accuracy"] >= 0.99
+    assert run.values["roc_auc"] == 1.0 and run.values["recall"] >= 0.99
     assert all(s["maxBins"] >= 77 for s in (V.RF_COUNTS, V.GBT_LEADLAG, V.GBT_SEVERITY, V.GBT_LOSS, V.GBT_DEFAULT))
 
 
