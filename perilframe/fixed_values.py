@@ -58,6 +58,10 @@ GBT_LEADLAG = {"maxIter": 150, "maxDepth": 5, "stepSize": 0.2, "minInstancesPerN
 GBT_SEVERITY = {"maxIter": 150, "maxDepth": 5, "stepSize": 0.1, "minInstancesPerNode": 30, "subsamplingRate": 0.85, "maxBins": MAX_BINS}
 GBT_LOSS = {"maxIter": 150, "maxDepth": 4, "stepSize": 0.1, "minInstancesPerNode": 20, "subsamplingRate": 0.85, "maxBins": MAX_BINS}
 GBT_DEFAULT = {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1, "maxBins": MAX_BINS}
+# Names that runs and their metrics are logged under.
+BASELINE_RUN, FULL_RUN, HARD_RUN, TIER_RUN = "hazard_only_baseline", "full_features", "full_features_hard_subset", "tier_classification"
+LOSS_METRICS = ("r2_log_scale", "mae_log_scale", "mae_real")
+
 LOGISTIC_MAX_ITER = 1000
 SEARCH_SPACE = {
     "maxIter": [100, 150, 200, 300],

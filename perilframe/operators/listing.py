@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .. import fixed_values as V
-
-HAZARD_FIELDS = ["id", "title", "title_ne", "type", "color"]
+from .. import fixed_values as V, schema
 
 
 def incident_list(incidents: DataFrame, hazards: DataFrame, page: int | None = 1, size: int = V.PAGE_SIZE) -> DataFrame:
@@ -15,11 +13,10 @@ def incident_list(incidents: DataFrame, hazards: DataFrame, page: int | None = 1
     With a page number: that page, cut by a distributed top-k before the hazard join. Without: every row.
     """
     order = [F.desc_nulls_first("incident_on"), F.asc("id")]
-    fields = ["id", "title", "title_ne", "hazard_id", "incident_on", "reported_on", "verified", "approved", "lat", "lon"]
-    rows = incidents.select(*fields)
+    rows = incidents.select(*schema.LIST_FIELDS)
     if page is not None:
         rows = rows.orderBy(*order).offset(size * (page - 1)).limit(size)
-    nested = hazards.select(F.col("id").alias("hazard_id"), F.struct(*HAZARD_FIELDS).alias("hazard"))
+    nested = hazards.select(F.col("id").alias("hazard_id"), F.struct(*schema.HAZARD_FIELDS).alias("hazard"))
     return (
         rows.join(nested, "hazard_id", "left")
         .select(
@@ -49,7 +46,7 @@ def total(df: DataFrame) -> DataFrame:
 
 
 def hazard_list(hazards: DataFrame) -> DataFrame:
-    return hazards.select(*HAZARD_FIELDS).orderBy("title", "id")
+    return hazards.select(*schema.HAZARD_FIELDS).orderBy("title", "id")
 
 
 def district_list(districts: DataFrame) -> DataFrame:

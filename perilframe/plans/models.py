@@ -216,9 +216,9 @@ def fit_severity(dataset: DataFrame, params=None, tautology_rate: float = V.TAUT
     sure = profile.tautological(marked if rate_from == "all" else train, train, "hazard_id", "casualty", tautology_rate)
     hard_train, hard_test = (profile.drop_groups(d, sure, "hazard_id") for d in (train, test))
     return [
-        classify("hazard_only_baseline", train, test, ["hazard_id"], "casualty", params),
-        classify("full_features", train, test, V.SEVERITY_FEATURES, "casualty", params),
-        classify("full_features_hard_subset", hard_train, hard_test, V.SEVERITY_FEATURES, "casualty", params),
+        classify(V.BASELINE_RUN, train, test, ["hazard_id"], "casualty", params),
+        classify(V.FULL_RUN, train, test, V.SEVERITY_FEATURES, "casualty", params),
+        classify(V.HARD_RUN, hard_train, hard_test, V.SEVERITY_FEATURES, "casualty", params),
     ]
 
 
@@ -235,15 +235,15 @@ def _regress(name, train, test, features, params) -> Run:
     scored = stable(model.transform(test).select("estimated_loss", F.col("log_loss").alias("actual"), F.col("prediction").alias("predicted")))
     flat = metrics.regression_metrics(scored).first()
     real = metrics.back_transformed_mae(scored, "estimated_loss", "predicted").first()
-    return Run(name, model, features, {"r2_log_scale": flat["r2"], "mae_log_scale": flat["mae"], "mae_real": real["mae_real"]})
+    return Run(name, model, features, dict(zip(V.LOSS_METRICS, (flat["r2"], flat["mae"], real["mae_real"]))))
 
 
 def fit_loss(dataset: DataFrame, params=None) -> list[Run]:
     params = params or V.GBT_LOSS
     train, test = _loss_halves(dataset)
     return [
-        _regress("hazard_only_baseline", train, test, ["hazard_id"], params),
-        _regress("full_features", train, test, V.SEVERITY_FEATURES, params),
+        _regress(V.BASELINE_RUN, train, test, ["hazard_id"], params),
+        _regress(V.FULL_RUN, train, test, V.SEVERITY_FEATURES, params),
     ]
 
 
@@ -258,6 +258,6 @@ def fit_tiers(dataset: DataFrame, params=None) -> Run:
     ).fit(stable(train, ["incident_id"]))
     scored = stable(model.transform(test).select(F.col("tier").alias("actual"), F.col("prediction").alias("predicted")))
     flat = metrics.multiclass_metrics(scored).first()
-    return Run("tier_classification", model, V.SEVERITY_FEATURES, {
+    return Run(V.TIER_RUN, model, V.SEVERITY_FEATURES, {
         "accuracy": flat["accuracy"], "f1_macro": flat["f1_macro"], "edge_low": edges[0], "edge_high": edges[1],
     })

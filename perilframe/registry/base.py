@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .. import fixed_values as V
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -44,11 +46,11 @@ INC = """inc AS (
          c_nationkey AS district_id, n_name AS district, o_orderdate AS incident_on,
          o_orderdate + INTERVAL 6 HOUR AS reported_on,
          o_orderstatus = 'F' AS verified, o_orderstatus <> 'P' AS approved,
-         CASE WHEN o_orderstatus = 'O' THEN 'field_desk' ELSE 'drr_api' END AS data_source,
+         CASE WHEN o_orderstatus = 'O' THEN 'field_desk' ELSE '{FEED}' END AS data_source,
          (c_nationkey % 5) + 0.25e0 + (o_orderkey % 2) * 0.5e0 AS lon,
          floor(c_nationkey / 5.0e0) + 0.5e0 AS lat,
          o_orderstatus AS status, o_totalprice AS price, o_custkey AS custkey
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""".replace("{FEED}", V.FEED_NAME)
 
 COUNTS = """counts AS (
   SELECT district, hazard, CAST(year(incident_on) AS INTEGER) AS year, CAST(month(incident_on) AS INTEGER) AS month,

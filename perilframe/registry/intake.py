@@ -40,8 +40,8 @@ def paged_cutoff(spark, sf):
 
 @query(
     "trailing_window",
-    with_(INC) + """SELECT id, strftime(incident_on, '%Y-%m-%d') AS incident_on, data_source FROM inc
-    WHERE data_source = 'drr_api' AND incident_on > TIMESTAMP '2001-07-02' AND incident_on < TIMESTAMP '2001-08-01'""",
+    with_(INC) + f"""SELECT id, strftime(incident_on, '%Y-%m-%d') AS incident_on, data_source FROM inc
+    WHERE data_source = '{V.FEED_NAME}' AND incident_on > TIMESTAMP '2001-07-02' AND incident_on < TIMESTAMP '2001-08-01'""",
 )
 def trailing_window(spark, sf):
     rows = landed.trailing_window(star.incidents(spark, sf), AS_OF, V.INTAKE_DAYS)

@@ -141,7 +141,7 @@ def severity_model(spark, sf):
 @query("lift_table")
 def lift_table(spark, sf):
     results = models.result_table(spark, _severity_runs(spark, sf))
-    return runlog.lift(results, "hazard_only_baseline", "roc_auc")
+    return runlog.lift(results, V.BASELINE_RUN, "roc_auc")
 
 
 @query("severity_importance")
@@ -161,7 +161,7 @@ def loss_model(spark, sf):
 
 @query("loss_lift")
 def loss_lift(spark, sf):
-    return runlog.lift(models.result_table(spark, _loss_runs(spark, sf)), "hazard_only_baseline", "r2_log_scale")
+    return runlog.lift(models.result_table(spark, _loss_runs(spark, sf)), V.BASELINE_RUN, V.LOSS_METRICS[0])
 
 
 @query("loss_importance")

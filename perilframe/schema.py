@@ -37,6 +37,10 @@ REPORT = (
 )
 PAGE = ("results array<string>, next string, _broken string")
 
+# Columns of the incident list, and of the hazard nested in it.
+LIST_FIELDS = ["id", "title", "title_ne", "hazard_id", "incident_on", "reported_on", "verified", "approved", "lat", "lon"]
+HAZARD_FIELDS = ["id", "title", "title_ne", "type", "color"]
+
 # Write rules per table: identity, columns kept from first sight, columns the newest row overwrites.
 UPSERT_RULES = {
     "incidents": (["id"], ["title", "verified", "approved", "modified_on", "raw_data"]),
