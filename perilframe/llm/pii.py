@@ -23,6 +23,13 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 # Spans the method adds.
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Characters of an IBAN by country.
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in countries.split()}
 NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -56,6 +63,22 @@ def _runs(pattern: re.Pattern) -> Callable[[str], Iterator[Match]]:
     return lambda text: (m.span() for m in pattern.finditer(text))
 
 
+def _iban(text: str) -> Iterator[Match]:
+    """A candidate may run into the words after it: its longest prefix of whole groups that is an account number counts.
+
+    The search goes on right after that prefix, or in the candidate's second group if there is none. Candidates are
+    at most 44 characters long, so each place is looked at a bounded number of times.
+    """
+    at = 0
+    while found := IBAN.search(text, at):
+        start, end = found.span()
+        ends = [end, *(i for i in range(end - 1, start, -1) if text[i] == " ")]
+        stop = next((e for e in ends if account(text[start:e])), None)
+        if stop:
+            yield start, stop
+        at = stop or start + 1
+
+
 def _small_parts(text: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in text.split("."))
 
@@ -73,6 +96,11 @@ def mod97(text: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def account(text: str) -> bool:
+    """An account number of its country's length, where that is known, with a right check."""
+    return IBAN_LENGTHS.get(text[:2], len(text) - text.count(" ")) == len(text) - text.count(" ") and mod97(text)
+
+
 def _phone_digits(text: str) -> bool:
     return 9 <= sum(c.isdigit() for c in text) <= 15
 
@@ -94,7 +122,7 @@ DETECTORS = (
     Detector("ip", _runs(IP), _small_parts),
     Detector("card", _runs(CARD), luhn),
     Detector("phone", _runs(PHONE), _phone_digits),
-    Detector("iban", _runs(IBAN), mod97),
+    Detector("iban", _iban, account),
     Detector("national_id", _runs(NATIONAL), _issued),
 )
 

@@ -150,6 +150,23 @@ def test_pii_adds_confirmed_spans_by_context():
     assert pii.find("a clean text of words, 12 of them, 2024-05-06") == []
 
 
+@pytest.mark.parametrize("number", [
+    "BE68539007547034", "BE68 5390 0754 7034", "AT611904300234573201", "AT61 1904 3002 3457 3201", "ES9121000418450200051332",
+    "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S",
+])
+@pytest.mark.parametrize("after", ["", " BIC CAIXESBB", " VISA 4111", " X", " AB12 CDEF GH", ", DE"])
+def test_pii_ibans_before_upper_case_words(number, after):
+    text = f"IBAN {number}{after}"
+    assert [x[:3] for x in pii.find(text) if x[0] == "iban"] == [("iban", 5, 5 + len(number))]
+
+
+def test_pii_ibans_in_rows():
+    numbers = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034"]
+    text = "AB12 ABCD EFGH " + " ".join(numbers)
+    assert [text[s:e] for k, s, e, _ in pii.find(text) if k == "iban"] == numbers
+    assert not [x for x in pii.find("BE69 5390 0754 7034 VISA " + "AB12 " * 50_000) if x[0] == "iban"]
+
+
 def test_pii_is_linear_in_long_runs():
     text = "a" * 300_000 + " " + "1" * 300_000 + " " + "1.1," * 50_000 + "+" * 100_000
     assert pii.find(text) == []
