@@ -38,8 +38,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _scans_once(df: DataFrame) -> bool:
+    """Whether df is one table scan, each row at most once: Spark hands _metadata through explodes and joins too."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if not plan.nodeName().startswith("LogicalRelation"):
+        return False
+    relation = plan.relation()
+    if not relation.getClass().getSimpleName() == "HadoopFsRelation":
+        return False
+    paths = relation.location().rootPaths()
+    return paths.distinct().size() == paths.size()
+
+
 def filed(df: DataFrame) -> DataFrame:
-    """df if its rows can be told by their files; else df written to a table."""
+    """df if it is a scan of files, whose rows can be told by them; else df written to a table."""
+    if not _scans_once(df):
+        return stable(df)
     try:
         df.select(df.metadataColumn("_metadata").getField("row_index"))
         return df

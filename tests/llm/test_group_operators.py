@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import fixtures
-from perilframe.llm import embed_dedup, exact_dedup, langid, mixing, packing, simhash
+from perilframe.llm import common, embed_dedup, exact_dedup, langid, mixing, packing, simhash
 from perilframe.llm.common import components, prepare
 
 RANKS = tokenizers_files.path("byte_bpe_50k.tiktoken")
@@ -51,6 +51,41 @@ def test_drop_copies_keeps_one_of_each(docs, rows):
     assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("derive", ["explode", "join", "twice"])
+def test_rows_of_derived_frames_are_told_apart(spark, tmp_path, derive):
+    """Explodes and joins hand on the file's row number, once per row made of it."""
+    one, two, three = (fixtures.words(i, 40, base) for i, base in enumerate((fixtures.ENGLISH, fixtures.FRENCH, fixtures.GERMAN)))
+    lines = [(1, [one, two], "a"), (2, [two, three], "a"), (3, [two, one], "b")]
+    spark.createDataFrame(lines, "doc_id long, lines array<string>, source string").coalesce(1).write.parquet(f"{tmp_path}/lines")
+    table = spark.read.parquet(f"{tmp_path}/lines")
+    if derive == "explode":
+        docs = table.select("doc_id", "source", F.explode("lines").alias("text"))
+    elif derive == "join":
+        at = spark.createDataFrame([(0,), (1,)], "at int")
+        docs = table.join(at, at["at"] < F.size("lines")).select("doc_id", "source", F.col("lines")[F.col("at")].alias("text"))
+    else:
+        ends = [table.select("doc_id", "source", F.col("lines")[i].alias("text")) for i in (0, 1)]
+        docs = ends[0].unionByName(ends[1])
+    assert {r["text"] for r in exact_dedup.drop_copies(docs).collect()} == {one, two, three}
+    assert exact_dedup.drop_copies(docs).count() == 3
+    prints = [fixtures.fingerprint(r["text"]) for r in docs.collect()]
+    assert simhash.drop_near_duplicates(docs).count() == len(set(fixtures.near_groups(prints, 4)))
+    assert mixing.mix(docs).select("row").distinct().count() == 6
+    got = Counter((r["doc_id"], r["source"], r["text"]) for r in mixing.mixed_documents(docs).collect())
+    whole = {(r["doc_id"], r["source"], r["text"]) for r in docs.collect()}
+    assert set(got) <= whole and max(got.values()) <= 2
+
+
+def test_plain_scans_are_not_written(spark, tmp_path, monkeypatch):
+    spark.range(5).write.parquet(f"{tmp_path}/plain")
+    table = spark.read.parquet(f"{tmp_path}/plain")
+    monkeypatch.setattr(common, "stable", lambda df: None)
+    assert common.filed(table) is table and common.filed(table.where("id > 1").select("id")) is not None
+    assert common.filed(table.select("id", F.explode(F.array(F.lit(1), F.lit(2))))) is None
+    assert common.filed(spark.read.parquet(f"{tmp_path}/plain", f"{tmp_path}/plain")) is None
+    assert common.filed(table.where(F.rand() < 0.5)) is None
+
+
 def test_colliding_hashes_are_told_apart(docs, rows, monkeypatch):
     """With a hash of two bits nearly every group mixes different texts."""
     monkeypatch.setattr(exact_dedup, "_hash", lambda sha: F.unhex(F.translate(F.substring(sha, 1, 1), "0123456789abcdef", "0000111122223333")))
