@@ -77,6 +77,22 @@ def keyed(df: DataFrame, **named: Column | str) -> DataFrame:
     return df.select(row.alias("row"), *columns)
 
 
+CROWD = 32  # equal rows that may share a hash
+
+
+def spread_marks(rows: DataFrame) -> DataFrame:
+    """Set `mark`, a hash of a row's id and text, to one with the row's place where more than CROWD rows have it.
+
+    So many equal rows don't fall together, and the marks of all others don't depend on how the table was written. The
+    place is `row` without the folder and the id of the write. `rows` is a written table.
+    """
+    crowded = rows.groupBy("mark").agg(F.count("*").alias("_n")).where(F.col("_n") > CROWD)
+    write = "-[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+    name = F.regexp_replace(F.substring_index("row.file", "/", -1), write, "")
+    own = F.when(F.col("_n").isNull(), F.col("mark")).otherwise(F.xxhash64("mark", name, "row.at"))
+    return rows.join(stable(crowded), "mark", "left").select(*[c for c in rows.columns if c != "mark"], own.alias("mark"))
+
+
 def plain_names(df: DataFrame) -> dict[str, str]:
     """Names c0, c1, ... for the columns of df, so that no helper column can clash with them."""
     return {f"c{i}": c for i, c in enumerate(df.columns)}

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stable
-from .common import filed, keyed, plain_names, prepare, restore
+from .common import filed, keyed, plain_names, prepare, restore, spread_marks
 
 # A token of the mix, the weights that sources take in turn, the mix's size and the most of a source.
 TOKEN = "[^\\x20\\x09-\\x0D]+"
@@ -93,13 +93,15 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK) -> DataFrame:
     shard, documents stand in seeded order and are cut into blocks; the quota takes blocks from the
     front and starts over at the end, so no document is taken more than `most` times. The same rows and
     seed give the same mix. Null or wordless texts have size 0 and nothing taken; a source without tokens has target
-    0; the null source is one source. Repeated rows are taken one by one; their order is by file and row.
+    0; the null source is one source. Repeated rows are taken one by one; their order is by file and row, and so is the
+    shard of very many equal ones.
 
     A source's documents are spread over shards of a few hundred, as many as it needs, so a source with a third
     of all rows is ordered by many tasks. Shards and regions, not documents, meet in the apportionment.
     """
     prepare(docs.sparkSession)
-    rows = stable(keyed(docs, doc_id="doc_id", source="source", size=token_count("text")))
+    mark = F.xxhash64("doc_id", "text")
+    rows = stable(spread_marks(stable(keyed(docs, doc_id="doc_id", source="source", size=token_count("text"), mark=mark))))
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     aimed = targets(stable(per_source))
     seats = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
@@ -114,9 +116,9 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK) -> DataFrame:
 
     spread = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).select(
         "row", "doc_id", rows["source"], "size", "source_size", "target", "_blocks",
-        F.xxhash64(F.lit(seed), "doc_id").alias("_order"), "_shards",
+        F.xxhash64(F.lit(seed), "mark").alias("_order"), "_shards", "mark",
     )
-    spread = spread.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), "_shards"))
+    spread = spread.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "mark"), "_shards")).drop("mark")
     spread = spread.withColumn("_region", F.floor(F.col("_shard") / REGION_SHARDS))
     shards = stable(
         spread.groupBy("source", "_region", "_shard").agg(

@@ -10,7 +10,8 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_texts, prepare
+from ..session import stable
+from .common import filed, keyed, map_texts, prepare, spread_marks
 
 SAMPLE_DOCS = 4000  # bound of the documents that the scorer is fitted on
 BUCKETS = 1 << 14
@@ -169,7 +170,7 @@ class LinearScorer:
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[WeakLabels, LinearScorer]:
     """Labeller accuracies from the votes on all documents, and a scorer from a sample's posteriors.
 
-    The sample is the documents with the smallest hashes of their ids, `sample` of them in the mean. At most
+    The sample is the `sample` rows, of those with a text, with the smallest hashes (see `spread_marks`). At most
     3 ** labellers pattern counts and the sample's hashed features reach the driver.
     """
 
@@ -188,9 +189,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[WeakLabels, LinearS
 
         return batch
 
-    share = min(1.0, sample / max(1, sum(n for _, n in counts)))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    picked = docs.where((place < int(share * (1 << 32))) & F.col("text").isNotNull()).select("text")
+    docs = filed(docs)
+    texts = docs.where(F.col("text").isNotNull())
+    marked = stable(keyed(texts, mark=F.xxhash64("doc_id", "text")))
+    # Twice the share is sure to hold the smallest ones, and keeps the rows that are sorted in one place few.
+    share = min(1.0, 2 * sample / max(1, marked.count()))
+    place = F.pmod(F.xxhash64("mark"), F.lit(1 << 32))
+    least = spread_marks(marked).withColumn("place", place).where(F.col("place") < int(share * (1 << 32)))
+    chosen = stable(least.orderBy("place", "row").limit(sample).select("row"))
+    picked = keyed(texts, text="text").join(chosen, "row", "left_semi").select("text")
     rows = map_texts(picked, "pattern int, bucket array<int>, value array<double>", work, ()).collect()
     rows.sort(key=lambda r: (r["bucket"], r["value"]))
     target = labels.posterior(np.array([r["pattern"] for r in rows], dtype=np.int64).reshape(-1))

@@ -203,6 +203,15 @@ def test_mix_over_many_shards(spark, monkeypatch):
         assert abs(taken[s] - aim[s]) <= 0.02 * aim[s] + 2 * mixing.BLOCK
 
 
+def test_null_and_repeated_ids_are_spread_over_marks(spark):
+    texts = [fixtures.words(i, 20, fixtures.ENGLISH) for i in range(300)]
+    made = [(None, t) for t in texts] + [(7, t) for t in texts] + [(None, "one text")] * 300 + [(8, "few")] * 5
+    df = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    rows = common.stable(common.keyed(df, doc_id="doc_id", mark=F.xxhash64("doc_id", "text")))
+    got = Counter(r["mark"] for r in common.spread_marks(rows).collect())
+    assert sorted(got.values()) == [1] * 900 + [5]
+
+
 def test_apportion_is_sainte_lague(spark):
     rng = random.Random(3)
     made, want = [], {}

@@ -185,6 +185,18 @@ def test_quality_tells_junk_from_prose(spark):
     assert quality.classify(made.limit(0)).count() == 0
 
 
+def test_quality_sample_is_bounded_and_spread(spark, monkeypatch):
+    """Null and repeated ids, also with one text, neither fill the sample nor pass its bound."""
+    sizes = []
+    scorer = quality.LinearScorer
+    monkeypatch.setattr(quality, "LinearScorer", lambda rows, target: sizes.append(len(rows)) or scorer(rows, target, 1))
+    texts = [fixtures.words(i, 20, fixtures.ENGLISH) for i in range(600)]
+    same = [(None, "the same text again")] * 200 + [(7, "another text again")] * 200
+    mixed = [(i, t) for i, t in enumerate(texts[:200])] + [(None, t) for t in texts[200:400]] + [(7, t) for t in texts[400:]]
+    quality.fit(spark.createDataFrame(same + mixed, "doc_id long, text string"), 100)
+    assert sizes == [100]
+
+
 def test_quality_on_labelled_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
