@@ -203,7 +203,7 @@ def _whole_picks(placed: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """The rows of the mix with all columns of docs, whole documents only (see `_whole_picks`).
 
-    A source's words miss its target by less than half of its shortest left-out document per shard.
+    Beside the rounding to blocks, a shard misses its quota by at most half of its shortest left-out document.
     """
     docs = filed(docs)
     names = plain_names(docs)

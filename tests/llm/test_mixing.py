@@ -59,7 +59,7 @@ def test_whole_documents_fill_the_place_of_a_long_one(spark):
         times[r["doc_id"]] += 1
     assert max(times.values()) <= 2
     for s, t in aim.items():
-        assert abs(words[s] - t) <= 5, (s, words[s], t)
+        assert abs(words[s] - t) <= mixing.BLOCK + 5, (s, words[s], t)
 
 
 def test_pipeline_on_the_tables(spark, sf):
