@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from ..registry.base import Query
-from . import embed_dedup, exact_dedup, langid, mixing, packing, pii, quality, secret_scan, simhash, token_counts
+from . import conversations, decontaminate, embed_dedup, exact_dedup, hard_negatives, langid, mixing, packing, pii, quality, secret_scan, simhash, token_counts
 from .common import table
 
 QUERIES: dict[str, Query] = {}
@@ -70,3 +71,22 @@ def op9_token_counts(spark, sf):
 @query("op10_secrets")
 def op10_secrets(spark, sf):
     return secret_scan.scan(table(spark, sf, "documents"))
+
+
+@query("op11_decontamination", decontaminate.ORACLE_SQL)
+def op11_decontamination(spark, sf):
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_hard_negatives", hard_negatives.ORACLE_SQL)
+def op12_hard_negatives(spark, sf):
+    vec_id = F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf, "embeddings").select("vec_id", label.alias("label"), hard_negatives.quantised("embedding").alias("v"))
+    return hard_negatives.mine(vectors, vec_id % 100 == 0)
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, sf):
+    rows = table(spark, sf, "conversations")
+    return conversations.repair(conversations.damaged(rows), rows)
