@@ -10,9 +10,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import map_texts, plain_names, prepare, restore
 
-# Bounds of the sample that a model is learned from, per language.
+# Bounds of the sample that a model is learned from: languages (those with most labelled documents), and per language.
+SAMPLE_LANGUAGES = 256
 SAMPLE_DOCS = 120
-SAMPLE_CHARS = 500  # of each sampled document
+SAMPLE_CHARS = 500  # of each sampled document, in pieces from all over its text
+PIECES = 5
+
+LONG_WORD = 64  # characters; longer words are not kept
+PART = 256  # letters that are parsed in one go
 
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
@@ -24,8 +29,16 @@ def plain_words(text: str) -> list[str]:
     return [f" {w} " for w in NOT_LETTERS.sub(" ", text.lower()).split()]
 
 
+def parts_of(word: str) -> list[str]:
+    """A word in parts of at most PART characters."""
+    return [word[i : i + PART] for i in range(0, len(word), PART)]
+
+
 class SuffixAutomaton:
-    """The substrings of a text, as a table of transitions over numbered letters; 0 means none, state 1 is the start."""
+    """The substrings of a text, as sorted transitions (state, numbered letter) -> state; state 1 is the start.
+
+    There are at most three transitions a character, however many letters the languages have together.
+    """
 
     def __init__(self, text: str, letters: dict[str, int]):
         follow: list[dict[int, int]] = [{}, {}]
@@ -55,12 +68,18 @@ class SuffixAutomaton:
                         follow[p][code] = copy
                         p = link[p]
             last = current
-        width = len(letters) + 1
-        self.next = np.zeros(len(follow) * width, dtype=np.int32)
-        for state, edges in enumerate(follow):
-            for code, target in edges.items():
-                self.next[state * width + code] = target
-        self.width = width
+        self.width = len(letters) + 1
+        edges = sorted((state * self.width + code, to) for state, ways in enumerate(follow) for code, to in ways.items())
+        self.keys = np.array([k for k, _ in edges], dtype=np.int64)
+        self.targets = np.array([to for _, to in edges], dtype=np.int32)
+
+    def next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states reached, 0 where there is no transition."""
+        if not len(self.keys):
+            return np.zeros(len(code), dtype=np.int64)
+        key = state * self.width + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.targets[at], 0).astype(np.int64)
 
     def phrases(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """How many longest matches each row of codes parses into; a letter without a match is a phrase."""
@@ -71,14 +90,14 @@ class SuffixAutomaton:
             if not len(live):
                 break
             code = codes[live, at].astype(np.int64)
-            after = self.next[state[live] * self.width + code]
+            after = self.next(state[live], code)
             broken = after == 0
-            count[live] += broken
-            again = self.next[self.width + code]
+            count[live] += broken & (state[live] != 1)
+            again = self.next(np.ones(len(code), dtype=np.int64), code)
             state[live] = np.where(broken, np.where(again == 0, 1, again), after)
-            # A letter unknown to the language is a phrase of its own.
+            # A letter unknown to the language is a phrase of its own, and the next one starts anew.
             count[live[broken & (again == 0)]] += 1
-        return count + 1
+        return count + (state != 1)
 
 
 class Languages:
@@ -90,7 +109,28 @@ class Languages:
         self.letters = {c: i + 1 for i, c in enumerate(alphabet)}
         self.automata = [SuffixAutomaton(samples[n], self.letters) for n in self.names]
         self.scale = [max(1.0, np.log2(max(2, len(samples[n])))) for n in self.names]
-        self.limit, self.words, self.table = limit, {}, np.zeros((0, len(self.names) + 1))
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.names) + 1))
+
+    def plain(self) -> tuple:
+        """All that was learned in plain values, for workers that know no class of this library."""
+        return self.names, self.letters, self.scale, self.limit, [(a.keys, a.targets, a.width) for a in self.automata]
+
+    @classmethod
+    def of(cls, plain: tuple) -> Languages:
+        made = cls.__new__(cls)
+        made.names, made.letters, made.scale, made.limit, tables = plain
+        made.automata = []
+        for keys, targets, width in tables:
+            automaton = SuffixAutomaton.__new__(SuffixAutomaton)
+            automaton.keys, automaton.targets, automaton.width = keys, targets, width
+            made.automata.append(automaton)
+        made._forget()
+        return made
 
     def _measure(self, words: list[str]) -> np.ndarray:
         """Per word: normalised phrases under each language, and letters.
@@ -99,8 +139,7 @@ class Languages:
         win by its length.
         """
         rows = np.zeros((len(words), len(self.names) + 1))
-        plain = [plain_words(w) for w in words]
-        parts = [(i, p) for i, ps in enumerate(plain) for p in ps]
+        parts = [(i, p) for i, w in enumerate(words) for plain in plain_words(w) for p in parts_of(plain)]
         parts.sort(key=lambda x: len(x[1]))
         for at in range(0, len(parts), 4096):
             some = parts[at : at + 4096]
@@ -112,17 +151,22 @@ class Languages:
             owner = np.array([i for i, _ in some])
             for k, automaton in enumerate(self.automata):
                 np.add.at(rows[:, k], owner, automaton.phrases(codes, lengths) * self.scale[k])
-            np.add.at(rows[:, -1], owner, lengths - 2)
+            np.add.at(rows[:, -1], owner, [len(p) - p.count(" ") for _, p in some])
         return rows
 
     def batch(self, texts: list) -> tuple[list[str], list[float], list[float]]:
         """Language, score, and letters per phrase, by text."""
         if len(self.words) > self.limit:
-            self.words, self.table = {}, self.table[:0]
-        found = []
-        for text in texts:
-            # Words as white space parts them; a very long one is its own entry like any other.
+            self._forget()
+        found, long_words, owners = [], [], []
+        for i, text in enumerate(texts):
+            # Words as white space parts them; very long ones are measured anew each time.
             split = (text or "").split()
+            if len(max(split, key=len, default="")) > LONG_WORD:
+                some = [w for w in split if len(w) > LONG_WORD]
+                long_words += some
+                owners += [i] * len(some)
+                split = [w for w in split if len(w) <= LONG_WORD]
             number = self.words
             for w in set(split).difference(number):
                 number[w] = len(number)
@@ -130,9 +174,11 @@ class Languages:
         new = list(islice(self.words, len(self.table), None))
         if new:
             self.table = np.concatenate((self.table, self._measure(new)))
+        totals = np.array([self.table[at].sum(axis=0) for at in found]).reshape(len(found), len(self.names) + 1)
+        if long_words:
+            np.add.at(totals, owners, self._measure(long_words))
         names, scores, lengths = [], [], []
-        for at in found:
-            total = self.table[at].sum(axis=0)
+        for total in totals:
             if not total[-1] or not self.names:
                 names.append(UNKNOWN)
                 scores.append(0.0)
@@ -150,19 +196,44 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def sample_words(pieces: list[tuple[str, bool, bool]]) -> list[str]:
+    """Words of pieces (text, cut at its start, cut at its end); a word that a cut goes through is left out, unless it is all
+    there is, as in a script without spaces."""
+    out = []
+    for text, starts_cut, ends_cut in pieces:
+        words = plain_words(text)
+        first = 1 if starts_cut and words and not NOT_LETTERS.match(text) else 0
+        last = len(words) - (1 if ends_cut and words and not NOT_LETTERS.match(text[-1]) else 0)
+        out += words[first:last] if first < last else words
+    return out
+
+
 def learn(docs: DataFrame, docs_each: int = SAMPLE_DOCS, chars_each: int = SAMPLE_CHARS) -> dict[str, str]:
-    """language -> sample of its labelled text, from at most docs_each documents and chars_each characters of each.
+    """language -> sample of its labelled text, from at most docs_each documents and about chars_each characters of each.
 
     Held-out documents and null labels take no part. Documents come by a hash of their id; the rank limit is
-    applied before rows are shuffled.
+    applied before rows are shuffled. A longer text gives pieces of equal length, each from a seeded place in its own
+    part of the text. Of more than SAMPLE_LANGUAGES labels, those with most documents are learned.
     """
-    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(SAMPLE_LANGUAGES + 1).collect()
+    if len(top) > SAMPLE_LANGUAGES:
+        labelled = labelled.where(F.col("lang").isin([r["lang"] for r in top[:-1]]))
+    size, each = F.char_length("text"), chars_each // PIECES
+    pieces = []
+    for i in range(PIECES):
+        low, high = F.floor(size * i / PIECES), F.floor(size * (i + 1) / PIECES)
+        at = (low + F.pmod(F.xxhash64("doc_id", F.lit(i)), F.greatest(F.lit(1), high - low - each))).cast("int")
+        pieces.append(F.struct(F.substring("text", at + 1, F.lit(each)).alias("text"), (at > 0).alias("a"), (at + each < size).alias("b")))
+    whole = F.array(F.struct(F.col("text"), F.lit(False).alias("a"), F.lit(False).alias("b")))
+    sample = labelled.where(size > 0).select(
+        "lang", "doc_id", F.when(size <= chars_each, whole).otherwise(F.array(*pieces)).alias("sample")
+    )
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "sample")
-    sample = labelled.select("lang", "doc_id", F.substring("text", 1, chars_each).alias("sample"))
     rows = sample.withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_each)
     texts: dict[str, list[str]] = {}
-    for lang, text in sorted((r["lang"], r["sample"]) for r in rows.select("lang", "sample").collect()):
-        texts.setdefault(lang, []).extend(plain_words(text)[:-1])  # the last word may be cut
+    for lang, drawn in sorted((r["lang"], [tuple(p) for p in r["sample"]]) for r in rows.select("lang", "sample").collect()):
+        texts.setdefault(lang, []).extend(sample_words(drawn))
     return {lang: "".join(words) for lang, words in texts.items() if words}
 
 
@@ -173,13 +244,15 @@ def identify(
 
     The language that parses the text's words into the fewest normalised phrases wins; the score is how much
     fewer than the next one's, the phrase length says how well it fits at all. A null text or one without letters is `und` with score 0, as is everything
-    if there is no labelled text. Ties go to the first language by name. Labels, sources and ids are no inputs.
+    if there is no labelled text. Ties go to the first language by name. Labels, sources and ids are no inputs. Repeated
+    rows are told alike, an empty table gives no rows, and very long texts and words are parsed whole, words of over PART
+    characters part by part.
     """
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(Languages(learn(docs) if model is None else model))
+    shared = spark.sparkContext.broadcast(Languages(learn(docs) if model is None else model).plain())
 
     def work():
-        languages = shared.value
+        languages = Languages.of(shared.value)
 
         def batch(texts: list) -> dict[str, list]:
             return dict(zip(("lang_pred", "score", "phrase"), languages.batch(texts)))

@@ -5,13 +5,15 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ..session import stable
-from .common import filed, keyed, map_texts, prepare, spread_marks
+from .common import keyed, map_texts, prepare, spread_marks
 
 SAMPLE_DOCS = 4000  # bound of the documents that the scorer is fitted on
 BUCKETS = 1 << 14
@@ -131,15 +133,22 @@ def _token_buckets(word: str) -> tuple[int, int]:
     return zlib.crc32(f"s{shape}".encode()) % BUCKETS, zlib.crc32(f"e{word[-2:]}".encode()) % BUCKETS
 
 
-def features(text: str, seen: Seen) -> tuple[list[int], list[float]]:
-    """Hashed features of a text and their weights: token features by their share, and how repetitive it is."""
-    counted = Counter(text.split())
+def bucket_counts(text: str, known: dict[str, tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Hash buckets of a text's words and how many words fall into each; `known` keeps the buckets of words met before."""
     totals: Counter = Counter()
-    for word, n in counted.items():
-        for bucket in _token_buckets(word):
+    for word, n in Counter(text.split()).items():
+        found = known.get(word)
+        if found is None:
+            found = known[word] = _token_buckets(word)
+        for bucket in found:
             totals[bucket] += n
-    buckets, n = sorted(totals), max(1, counted.total())
-    return [*buckets, BUCKETS], [*[totals[b] / n for b in buckets], REPEATED * (1 - seen.pairs)]
+    buckets = sorted(totals)
+    return buckets, [totals[b] for b in buckets]
+
+
+def features(buckets: list[int], counts: list[int], words: int, pairs: float) -> tuple[list[int], list[float]]:
+    """Hashed features and their weights: buckets by their share of the words, and how repetitive the text is."""
+    return [*buckets, BUCKETS], [*[n / max(1, words) for n in counts], REPEATED * (1 - pairs)]
 
 
 class LinearScorer:
@@ -163,81 +172,100 @@ class LinearScorer:
             self.weight -= 0.5 * gradient / (np.sqrt(size) + 1e-8)
             self.bias -= 0.5 * float(error.mean())
 
-    def probability(self, score: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(score + self.bias, -30, 30))))
+SEEN = "mark bigint, empty boolean, pattern int, words bigint, pairs double, bucket array<int>, n array<int>"
+
+
+def look(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A written table of what fitting and scoring need of each row, so that texts are read once: keep columns k0, k1, ...,
+    a hash of id and text, the vote pattern, and bucket counts."""
+
+    def work():
+        known: dict[str, tuple[int, int]] = {}
+
+        def batch(texts: list) -> dict[str, list]:
+            if len(known) > 100_000:
+                known.clear()
+            out: dict[str, list] = {c: [] for c in ("empty", "pattern", "words", "pairs", "bucket", "n")}
+            for t in texts:
+                seen, (bucket, n) = Seen(t or ""), bucket_counts(t or "", known)
+                # Words as the labellers part them differ from those that are hashed for a few control characters.
+                made = (t is None, pattern_of(seen), len((t or "").split()), seen.pairs, bucket, n)
+                for column, value in zip(out.values(), made):
+                    column.append(value)
+            return out
+
+        return batch
+
+    named = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*named, "text", F.xxhash64("doc_id", "text").alias("mark"))
+    kept = tuple(f"k{i}" for i in range(len(keep)))
+    types = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in kept)
+    return stable(map_texts(rows, types + SEEN, work, (*kept, "mark")))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE_DOCS) -> tuple[WeakLabels, LinearScorer]:
-    """Labeller accuracies from the votes on all documents, and a scorer from a sample's posteriors.
+    """Labeller accuracies from the votes on all documents, and a scorer from a sample's posteriors."""
+    return fit_seen(look(docs), sample)
 
-    The sample is the `sample` rows, of those with a text, with the smallest hashes (see `spread_marks`). At most
-    3 ** labellers pattern counts and the sample's hashed features reach the driver.
-    """
 
-    def votes():
-        return lambda texts: {"pattern": [pattern_of(Seen(t or "")) for t in texts]}
+def fit_seen(seen: DataFrame, sample: int) -> tuple[WeakLabels, LinearScorer]:
+    """See `fit`; from the table of `look`.
 
-    counts = sorted(tuple(r) for r in map_texts(docs, "pattern int", votes, ()).groupBy("pattern").count().collect())
+    The sample is the `sample` rows, of those with a text, with the smallest hashes (see `spread_marks`). At most
+    3 ** labellers pattern counts and the sample's bucket counts reach the driver.
+    """
+    counts = sorted(tuple(r) for r in seen.groupBy("pattern").count().collect())
     patterns = np.array([p for p, _ in counts], dtype=np.int64)
     labels = WeakLabels(patterns, np.array([n for _, n in counts], dtype=float))
 
-    def work():
-        def batch(texts: list) -> dict[str, list]:
-            seen = [Seen(t) for t in texts]
-            made = [features(t, s) for t, s in zip(texts, seen)]
-            return {"pattern": [pattern_of(s) for s in seen], "bucket": [b for b, _ in made], "value": [v for _, v in made]}
-
-        return batch
-
-    docs = filed(docs)
-    texts = docs.where(F.col("text").isNotNull())
-    marked = stable(keyed(texts, mark=F.xxhash64("doc_id", "text")))
+    texts = seen.where(~F.col("empty"))
+    marked = stable(keyed(texts, mark="mark"))
     # Twice the share is sure to hold the smallest ones, and keeps the rows that are sorted in one place few.
     share = min(1.0, 2 * sample / max(1, marked.count()))
     place = F.pmod(F.xxhash64("mark"), F.lit(1 << 32))
     least = spread_marks(marked).withColumn("place", place).where(F.col("place") < int(share * (1 << 32)))
     chosen = stable(least.orderBy("place", "row").limit(sample).select("row"))
-    picked = keyed(texts, text="text").join(chosen, "row", "left_semi").select("text")
-    rows = map_texts(picked, "pattern int, bucket array<int>, value array<double>", work, ()).collect()
-    rows.sort(key=lambda r: (r["bucket"], r["value"]))
-    target = labels.posterior(np.array([r["pattern"] for r in rows], dtype=np.int64).reshape(-1))
-    return labels, LinearScorer([(r["bucket"], r["value"]) for r in rows], target)
+    drawn = keyed(texts, pattern="pattern", words="words", pairs="pairs", bucket="bucket", n="n").join(chosen, "row", "left_semi")
+    rows = sorted(tuple(r) for r in drawn.select("bucket", "n", "words", "pairs", "pattern").collect())
+    target = labels.posterior(np.array([r[-1] for r in rows], dtype=np.int64).reshape(-1))
+    return labels, LinearScorer([features(*r[:4]) for r in rows], target)
 
 
 def classify(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), sample: int = SAMPLE_DOCS) -> DataFrame:
     """keep columns, weak_label (posterior of the votes), quality (the scorer's probability) and kept, per row.
 
     Null text counts as empty and is never kept, nor is a text without words. Repeated rows and null ids
-    are judged like others; extra columns are left out. With no documents the result is empty.
+    are judged like others, rows that tie in the sample's order go by their place; extra columns are left out. Very long
+    texts are read whole, by one task each. With no documents the result is empty.
     """
-    spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(fit(docs, sample))
-
-    def work():
-        labels, scorer = shared.value
-        known: dict[str, float] = {}
-        posteriors: dict[int, float] = {}
-
-        def batch(texts: list) -> dict[str, list]:
-            weak, quality, kept = [], [], []
-            for text in texts:
-                text = text or ""
-                seen = Seen(text)
-                pattern = pattern_of(seen)
-                if pattern not in posteriors:
-                    posteriors[pattern] = float(labels.posterior(np.array([pattern]))[0])
-                words = text.split()
-                if len(known) > 400_000:
-                    known.clear()
-                for word in set(words).difference(known):
-                    known[word] = float(sum(scorer.weight[b] for b in _token_buckets(word)))
-                score = sum(map(known.__getitem__, words)) / max(1, len(words)) + scorer.weight[BUCKETS] * REPEATED * (1 - seen.pairs)
-                weak.append(posteriors[pattern])
-                quality.append(scorer.probability(score) if words else 0.0)
-                kept.append(bool(words) and quality[-1] >= KEEP)
-            return {"weak_label": weak, "quality": quality, "kept": kept}
-
-        return batch
-
-    kept = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return map_texts(docs, f"{kept}, weak_label double, quality double, kept boolean", work, keep)
+    prepare(docs.sparkSession)
+    seen = look(docs, keep)
+    labels, scorer = fit_seen(seen, sample)
+    patterns = [r[0] for r in seen.select("pattern").distinct().collect()]
+    weak = dict(zip(patterns, labels.posterior(np.array(patterns, dtype=np.int64).reshape(-1)).tolist()))
+    # Plain values only: workers know no class of this library.
+    shared = seen.sparkSession.sparkContext.broadcast((weak, scorer.weight, scorer.bias))
+    kept = [f"k{i}" for i in range(len(keep))]
+    types = "".join(f"{k} {seen.schema[k].dataType.simpleString()}, " for k in kept)
+    fields = StructType.fromDDL(types + "weak_label double, quality double, kept boolean")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    out = to_arrow_schema(fields)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weak, weight, bias = shared.value
+        for batch in batches:
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            words, lists = column("words"), batch.column("bucket")
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            value = batch.column("n").flatten().to_numpy() / np.maximum(words, 1)[owner]
+            score = np.bincount(owner, value * weight[lists.flatten().to_numpy()], len(lists))
+            score += weight[BUCKETS] * REPEATED * (1 - column("pairs")) + bias
+            quality = np.where(words > 0, 1 / (1 + np.exp(-np.clip(score, -30, 30))), 0.0)
+            yield pa.RecordBatch.from_pydict({
+                **{k: batch.column(k) for k in kept}, "weak_label": [weak[p] for p in column("pattern").tolist()],
+                "quality": quality, "kept": (words > 0) & (quality >= KEEP),
+            }, schema=out)
+
+    judged = seen.select(*kept, "pattern", "words", "pairs", "bucket", "n").mapInArrow(judge, fields)
+    return judged.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], "weak_label", "quality", "kept")

@@ -371,3 +371,22 @@ def test_pipeline_stages(spark, docs, rows):
             path = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/stage-{name}"
             made.write.mode("overwrite").parquet(path)
             frame = spark.read.parquet(path)
+
+
+def test_links_at_the_threshold(spark, small_blocks):
+    """0/1 vectors with a cosine of exactly 9/10 link, whatever the other rows are; and so they do at any length."""
+    rng = np.random.default_rng(12)
+    made = []
+    for i in range(200):
+        a = np.zeros(64)
+        on = rng.permutation(64)
+        a[on[:10]] = 1
+        b = a.copy()
+        b[on[9]], b[on[10]] = 0, 1
+        made += [(2 * i, a * (i + 1)), (2 * i + 1, b * 2.0**-100 if i % 2 else b)]
+    others = [(10_000 + i, rng.normal(size=64)) for i in range(50)]
+    rows = [(i, v.tolist()) for i, v in made + others]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got = {r["vec_id"]: r["n_links"] for r in embed_dedup.link_vectors(df).collect()}
+        assert all(got[i] >= 1 for i, _ in made)
