@@ -9,22 +9,26 @@ def collapse(batch: DataFrame, keys: list[str], mutable: list[str], order: Colum
     """One row per key: mutable columns from the last row, the rest from the first.
 
     Structs keep NULLs, so a NULL in the last row is a value like any other, and a row
-    whose `order` is NULL counts as the oldest. Rows that tie in `order` follow their arrival: the batch's
-    `arrival` column if it has one, else the order in which Spark reads the batch.
+    whose `order` is NULL counts as the oldest. Rows that tie in `order` follow their arrival, the batch's
+    `arrival` column if it has one; those that still tie go by their values, so that any run gives the same. With neither
+    an order nor an arrival, a key with rows that differ stops the job: nothing says which is the last.
     Partial aggregation shrinks a hot key before the shuffle.
     """
-    if order is None:
-        order = F.lit(0)
-    order = F.col(order) if isinstance(order, str) else order
-    arrival = F.col("arrival") if "arrival" in batch.columns else F.monotonically_increasing_id()
-    order = F.struct(order.isNotNull().alias("known"), order.alias("order"), arrival.alias("arrival"))
+    told = order is not None or "arrival" in batch.columns
+    order = F.lit(0) if order is None else F.col(order) if isinstance(order, str) else order
+    arrival = F.col("arrival") if "arrival" in batch.columns else F.lit(0)
+    columns = [c for c in batch.columns if c != "arrival"]
+    values = F.struct(*[c for c in columns if c not in keys])
+    order = F.struct(order.isNotNull().alias("known"), order.alias("order"), arrival.alias("arrival"), values.alias("values"))
     batch = batch.withColumn("_order", order).drop("arrival")
-    columns = [c for c in batch.columns if c != "_order"]
     first = [c for c in columns if c not in keys and c not in mutable]
-    aggregates = [F.max_by(F.struct(*mutable), "_order").alias("_last")]
+    aggregates = [F.max_by(F.struct(*mutable), "_order").alias("_last"), F.min("_order").alias("_a"), F.max("_order").alias("_b")]
     if first:
         aggregates.append(F.min_by(F.struct(*first), "_order").alias("_first"))
-    folded = batch.groupBy(*keys).agg(*aggregates)
+    folded = batch.groupBy(*keys).agg(*(aggregates if not told else [a for i, a in enumerate(aggregates) if i not in (1, 2)]))
+    if not told:
+        text = F.concat(F.lit(f"rows of a batch with the same {', '.join(keys)} differ, and there is no order or arrival: "), F.to_json(F.struct(*keys)))
+        folded = folded.where(F.when(F.col("_a") == F.col("_b"), F.lit(True)).otherwise(F.raise_error(text).isNull()))
     return folded.select(
         *[
             F.col(c) if c in keys else F.col(f"_last.{c}") if c in mutable else F.col(f"_first.{c}")

@@ -10,9 +10,9 @@ from .. import fixed_values as V, schema
 from ..functions.scalar import polymorphic_id
 from ..operators import quality, rain, upsert as writes
 from ..plans import star
-from ..session import stable
-from ..sources import landed
-from .base import INC, INCRAIN, KEYRAIN, RAIN, day_text, query, time_text, with_
+from ..session import scratch_path, stable
+from ..sources import landed, versions
+from .base import INC, INCRAIN, KEYRAIN, RAIN, SQL, day_text, query, time_text, with_
 
 AS_OF = dt.datetime(2001, 8, 1)
 
@@ -86,6 +86,11 @@ def json_loss_fields(spark, sf):
     )
 
 
+def _later(first, second):
+    """Two parts of a batch, the second one arriving after the first."""
+    return first.withColumn("arrival", F.lit(0)).unionByName(second.withColumn("arrival", F.lit(1)))
+
+
 _DEFECTS = [
     ',"hazard":"abc"', ',"hazard":99999999999', ',"loss":{"id":"zz"}', ',"point":"nope"', ',"point":{"coordinates":["a","b"]}',
     ',"point":{"coordinates":[82.6]}', ',"hazard":{"title":"x"},"loss":{},"point":{"coordinates":[]}', "",
@@ -136,7 +141,7 @@ def upsert_hazards(spark, sf):
     )
     batch = edits.unionByName(edits.withColumn("id", F.col("id") + 10))
     stale = batch.withColumn("title", F.lit("stale"))
-    return writes.upsert(stored, stale.unionByName(batch), *schema.UPSERT_RULES["hazards"])
+    return writes.upsert(stored, _later(stale, batch), *schema.UPSERT_RULES["hazards"])
 
 
 @query(
@@ -178,7 +183,7 @@ def upsert_municipalities(spark, sf):
         F.lit(0).alias("district_id"),
     )
     stale = renamed.withColumn("title", F.lit("stale"))
-    return writes.upsert(star.municipalities(spark, sf), stale.unionByName(renamed), *schema.UPSERT_RULES["municipalities"])
+    return writes.upsert(star.municipalities(spark, sf), _later(stale, renamed), *schema.UPSERT_RULES["municipalities"])
 
 
 @query(
@@ -196,7 +201,19 @@ def upsert_incidents(spark, sf):
 
     The oldest versions, and a part of the F reports, have no modification time.
     """
-    keep = ["id", "title", "verified", "approved", "hazard_id", "modified_on", "raw_data"]
+    stored, batch = _stored_and_batch(spark, sf)
+    return _told(writes.upsert(stored, batch, *schema.UPSERT_RULES["incidents"], order="modified_on"))
+
+
+_KEPT = ["id", "title", "verified", "approved", "hazard_id", "modified_on", "raw_data"]
+
+
+def _told(rows):
+    return rows.select(*_KEPT[:5], time_text("modified_on").alias("modified_on"))
+
+
+def _stored_and_batch(spark, sf):
+    keep = _KEPT
     rows = star.with_raw(star.incidents(spark, sf)).withColumn("modified_on", F.col("reported_on"))
     stored = rows.select(*keep)
 
@@ -215,8 +232,18 @@ def upsert_incidents(spark, sf):
     batch = version(2, again, null).unionByName(version(1, rows.where("status <> 'O'"), F.lit(True)))
     batch = batch.unionByName(version(2, fresh, null)).unionByName(version(1, fresh, F.lit(True)))
     batch = batch.unionByName(version(0, again, F.lit(False))).unionByName(version(0, fresh, F.lit(False)))
-    done = writes.upsert(stored, batch, *schema.UPSERT_RULES["incidents"], order="modified_on")
-    return done.select(*keep[:5], time_text("modified_on").alias("modified_on"))
+    return stored, batch
+
+
+@query("upsert_versioned", SQL["upsert_incidents"])
+def upsert_versioned(spark, sf):
+    """The same write into a versioned table of hash buckets, in two steps: new versions of stored reports, then new reports."""
+    stored, batch = _stored_and_batch(spark, sf)
+    path, mutable = scratch_path(spark, "incidents"), schema.UPSERT_RULES["incidents"][1]
+    versions.create(stored, path, ["id"], versions.by_hash(["id"], 16))
+    for part in (batch.where("id >= 0"), batch.where("id < 0")):
+        versions.merge(spark, path, part, mutable, "modified_on")
+    return _told(versions.read(spark, path))
 
 
 _ORDER_RAIN = """q AS (SELECT l_orderkey, sum(l_quantity) AS s, max(l_quantity) AS m FROM lineitem GROUP BY 1)"""
@@ -242,7 +269,7 @@ def upsert_incident_rain(spark, sf):
     ).withColumns({"incident_date": F.lit(None).cast("date"), "rain_peak_7d": F.lit(None).cast("double")})
     known = fetched.join(stored.select("incident_id"), "incident_id", "left_semi")
     stale = known.withColumns({c: F.lit(-1.0) for c in V.RAIN_SUMS})
-    done = writes.upsert(stored, stale.unionByName(known), *schema.UPSERT_RULES["incident_rain"])
+    done = writes.upsert(stored, _later(stale, known), *schema.UPSERT_RULES["incident_rain"])
     return done.select("incident_id", day_text("incident_date").alias("incident_date"), *V.RAIN_ALL)
 
 
@@ -275,7 +302,7 @@ def upsert_daily_rain(spark, sf):
         "district_id", "sample_date", *[(F.col(c) * 2).cast("decimal(12,4)").alias(c) for c in V.RAIN_ALL], F.lit(1).alias("ingested_at")
     )
     batch = edits.unionByName(edits.withColumn("district_id", F.col("district_id") + 1000))
-    batch = batch.withColumns({c: F.lit(-1).cast("decimal(12,4)") for c in V.RAIN_ALL}).unionByName(batch)
+    batch = _later(batch.withColumns({c: F.lit(-1).cast("decimal(12,4)") for c in V.RAIN_ALL}), batch)
     done = writes.upsert(stored, batch, *schema.UPSERT_RULES["district_daily_rain"])
     return done.select(
         "district_id", day_text("sample_date").alias("sample_date"), *[F.col(c).cast("double").alias(c) for c in V.RAIN_ALL]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from . import folded
+
 COUNTS = "day timestamp, kind string, n bigint, total double, batch_id bigint"
 
 
@@ -33,18 +35,19 @@ def start_daily(
 
 
 def read_log(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(COUNTS).parquet(out)
+    """The newest base and the batches after it."""
+    return folded.read(spark, out, COUNTS)
 
 
 def latest(spark: SparkSession, out: str) -> DataFrame:
     """The count and total of every (day, kind) over all batches."""
-    return read_log(spark, out).groupBy("day", "kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return _added(read_log(spark, out))
+
+
+def _added(log: DataFrame) -> DataFrame:
+    return log.groupBy("day", "kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-def compact(spark: SparkSession, out: str, target: str) -> DataFrame:
-    """Fold the whole log into one batch folder of a new log, numbered as the newest batch it holds."""
-    newest = read_log(spark, out).agg(F.max("batch_id")).first()[0]
-    if newest is None:
-        raise ValueError(f"nothing in {out}")
-    latest(spark, out).write.parquet(f"{target}/batch_id={newest}")
-    return read_log(spark, target)
+def compact(spark: SparkSession, out: str, progress: str) -> int:
+    """Fold all batches that the stream has committed into a base; the number of the last one (see `folded`)."""
+    return folded.fold(spark, out, progress, COUNTS, _added)

@@ -2,7 +2,7 @@
 
 Each micro-batch writes one folder named by its batch id, replacing whatever an
 interrupted attempt left there, so a replay changes nothing. The stored table is never
-rewritten by a batch; `compact` folds the log when reads get long.
+rewritten by a batch; `compact` folds what is committed when reads get long.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema
 from ..operators.upsert import collapse, upsert
-from ..sources import landed
+from ..sources import landed, versions
+from . import folded
 
 KEYS, MUTABLE = schema.UPSERT_RULES["incidents"]
 LOG_SCHEMA = f"{schema.INCIDENTS}, changed_at timestamp, batch_id bigint"
@@ -49,7 +50,8 @@ def start(
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(log_path)
+    """The newest base and the batches after it."""
+    return folded.read(spark, log_path, LOG_SCHEMA)
 
 
 def current(log: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -66,11 +68,29 @@ def current(log: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return upsert(base, rows.where(F.col("batch_id") > oldest), KEYS, [*MUTABLE, *keep], order="batch_id")
 
 
-def compact(spark: SparkSession, log_path: str, target: str) -> DataFrame:
-    """Fold the whole log into one batch folder of a new log, numbered as the newest batch it holds."""
-    log = read_log(spark, log_path)
-    newest = log.agg(F.max("batch_id")).first()[0]
-    if newest is None:
-        raise ValueError(f"nothing in {log_path}")
-    current(log, keep=["changed_at"]).write.parquet(f"{target}/batch_id={newest}")
-    return read_log(spark, target)
+def compact(spark: SparkSession, log_path: str, progress: str) -> int:
+    """Fold all batches that the stream has committed into a base; the number of the last one (see `folded`)."""
+    return folded.fold(spark, log_path, progress, LOG_SCHEMA, lambda log: current(log, keep=["changed_at"]))
+
+
+def start_store(
+    spark: SparkSession, landing: str, store: str, progress: str, files_per_batch: int = 1000, stream: str = "intake"
+) -> StreamingQuery:
+    """As `start`, into a versioned table of incidents (`sources.versions`): a batch rewrites the buckets it touches.
+
+    The version carries the batch's number, so a batch that was published but not committed is not written twice.
+    """
+    lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_batch).text(landing)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        judged = landed.with_reason(batch.withColumnRenamed("value", "record"))
+        good = landed.flatten(judged.where("reason is null"))
+        changed = F.coalesce("modified_on", "created_on", F.lit("1970-01-01").cast("timestamp"))
+        versions.merge(spark, store, good, MUTABLE, F.struct(changed, F.col("raw_data")), stream, batch_id)
+
+    return (
+        lines.writeStream.foreachBatch(write)
+        .option("checkpointLocation", progress)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -1,8 +1,12 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from perilframe.streaming import counts, intake
+from perilframe import schema
+from perilframe.operators.upsert import upsert
+from perilframe.sources import versions
+from perilframe.streaming import counts, folded, intake
 
 
 def land(folder, name, *objects):
@@ -35,9 +39,9 @@ def test_intake_folds_rejects_and_replays(spark, tmp_path):
     batch = spark.read.text(str(landing / "b.json"))
     intake._write_batch(str(log), None)(batch, 1)
     assert state(spark, str(log)) == expected
-    folded = intake.compact(spark, str(log), str(tmp_path / "compact"))
-    assert folded.count() == 2
-    assert {r["id"]: r["title"] for r in intake.current(folded).collect()} == {1: "uno", 2: "late"}
+    assert intake.compact(spark, str(log), str(progress)) == 1
+    assert intake.read_log(spark, str(log)).count() == 2
+    assert state(spark, str(log)) == expected
 
 
 def test_daily_counts_across_batches(spark, tmp_path):
@@ -58,6 +62,112 @@ def test_daily_counts_across_batches(spark, tmp_path):
     late = {(r["day"].month, r["n"], r["total"]) for r in counts.latest(spark, out).where("day < '2024-01-01'").collect()}
     assert late == {(7, 1, 4.0)}
     whole = sorted(map(tuple, counts.latest(spark, out).collect()))
-    folded = str(tmp_path / "folded")
-    assert counts.compact(spark, out, folded).select("batch_id").distinct().count() == 1
-    assert sorted(map(tuple, counts.latest(spark, folded).collect())) == whole
+    assert counts.compact(spark, out, progress) == 2
+    assert counts.read_log(spark, out).select("batch_id").distinct().count() == 1
+    assert sorted(map(tuple, counts.latest(spark, out).collect())) == whole
+
+
+def uncommit(progress, number):
+    """The stream as it stands if it died after batch `number` was written and before it was committed."""
+    for name in (str(number), f".{number}.crc"):
+        (progress / "commits" / name).unlink(missing_ok=True)
+
+
+def test_compaction_survives_a_replayed_count(spark, tmp_path):
+    src, out, progress = (str(tmp_path / n) for n in ("src", "out", "progress"))
+    ddl = "ts timestamp, kind string, value double"
+
+    def run():
+        counts.start_daily(spark.readStream.schema(ddl).parquet(src), out, progress, "ts", "kind", "value").awaitTermination()
+        return sum(r["n"] for r in counts.latest(spark, out).collect())
+
+    for day in (1, 2):
+        rows = [(f"2024-01-0{day} 01:00:00", "a", 1.0)] * 10
+        spark.createDataFrame(rows, "ts string, kind string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(
+            1).write.mode("append").parquet(src)
+        assert run() == 10 * day
+    uncommit(tmp_path / "progress", 1)
+    assert counts.compact(spark, out, progress) == 0
+    assert sum(r["n"] for r in counts.latest(spark, out).collect()) == 20
+    assert run() == 20  # batch 1 runs again
+    assert counts.compact(spark, out, progress) == 1
+    assert folded.drop_folded(spark, out) == 1  # batch 0, which the base before holds
+    assert sum(r["n"] for r in counts.latest(spark, out).collect()) == 20 and run() == 20
+
+
+def report(i, day, title="t"):
+    return {"id": i, "title": f"{title}{i}", "hazard": 17, "modifiedOn": f"2024-01-0{day}T00:00:00+00:00"}
+
+
+def test_compaction_survives_a_replayed_intake(spark, tmp_path):
+    landing, log, progress = (tmp_path / n for n in ("landing", "log", "progress"))
+    for day, ids in ((1, range(10)), (2, range(5, 15))):
+        land(landing, f"{day}.json", *[report(i, day, f"d{day} ") for i in ids])
+        intake.start(spark, str(landing), str(log), str(progress)).awaitTermination()
+    want = {i: ("d1 " if i < 5 else "d2 ") + str(i) for i in range(15)}
+    uncommit(progress, 1)
+    assert intake.compact(spark, str(log), str(progress)) == 0
+    assert {k: v[0] for k, v in state(spark, str(log)).items()} == want
+    intake.start(spark, str(landing), str(log), str(progress)).awaitTermination()
+    assert {k: v[0] for k, v in state(spark, str(log)).items()} == want
+    assert intake.compact(spark, str(log), str(progress)) == 1
+    assert {k: v[0] for k, v in state(spark, str(log)).items()} == want
+
+
+def test_intake_into_a_versioned_table_is_replayed_once(spark, tmp_path):
+    landing, store, progress = tmp_path / "landing", str(tmp_path / "store"), tmp_path / "progress"
+    versions.create(spark.createDataFrame([], schema.INCIDENTS), store, ["id"], versions.by_hash(["id"], 4))
+    for day, ids in ((1, range(10)), (2, range(5, 15))):
+        land(landing, f"{day}.json", *[report(i, day, f"d{day} ") for i in ids])
+        intake.start_store(spark, str(landing), store, str(progress)).awaitTermination()
+    titles = lambda: {r["id"]: r["title"] for r in versions.read(spark, store).collect()}
+    want = {i: ("d1 " if i < 5 else "d2 ") + str(i) for i in range(15)}
+    assert titles() == want and versions.versions(spark, store) == [0, 1, 2]
+    uncommit(progress, 1)
+    intake.start_store(spark, str(landing), store, str(progress)).awaitTermination()
+    assert titles() == want and versions.versions(spark, store) == [0, 1, 2]
+
+
+def test_a_write_that_dies_leaves_the_version_before(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    ddl = "id long, title string, first string"
+    versions.create(spark.createDataFrame([(i, f"a{i}", "x") for i in range(20)], ddl), store, ["id"], versions.by_hash(["id"], 8))
+    before = sorted(map(tuple, versions.read(spark, store).collect()))
+    batch = spark.createDataFrame([(3, "b3", "y"), (99, "b99", "y")], ddl)
+
+    def dies(*_):
+        raise OSError("the writer is gone")
+
+    with monkeypatch.context() as m:
+        m.setattr(versions, "_publish", dies)
+        with pytest.raises(OSError):
+            versions.merge(spark, store, batch, ["title"])
+    assert sorted(map(tuple, versions.read(spark, store).collect())) == before
+    old = versions.manifest(spark, store)
+    assert versions.merge(spark, store, batch, ["title"]) == 1
+    new = versions.manifest(spark, store)
+    assert sum(old.folders.get(b) != f for b, f in new.folders.items()) <= 2  # only the buckets of 3 and 99
+    want = sorted([(i, "b3" if i == 3 else f"a{i}", "x") for i in range(20)] + [(99, "b99", "y")])
+    assert sorted(map(tuple, versions.read(spark, store).collect())) == want
+    assert sorted(map(tuple, versions.read(spark, store, 0).collect())) == before
+    # A second writer that started from the same version does not win over the first.
+    with pytest.raises(versions.Conflict):
+        versions._publish(spark, store, new)
+    assert versions.patch(spark, store, spark.createDataFrame([(5, "p5", "z")], ddl), spark.createDataFrame([(7, "", ""), (8, "", "")], ddl)) == 2
+    told = {r["id"]: r["title"] for r in versions.read(spark, store).collect()}
+    assert 7 not in told and 8 not in told and told[5] == "p5" and len(told) == 19
+    assert versions.vacuum(spark, store, keep=1, older_than_s=-60) >= 1
+    assert versions.versions(spark, store) == [2] and versions.read(spark, store).count() == 19
+
+
+def test_batches_without_an_order_are_not_guessed(spark):
+    ddl = "id long, title string"
+    stored = spark.createDataFrame([(1, "a")], ddl)
+    twice = spark.createDataFrame([(1, "b"), (1, "c")], ddl)
+    with pytest.raises(Exception, match="differ, and there is no order"):
+        upsert(stored, twice, ["id"], ["title"]).collect()
+    same = spark.createDataFrame([(1, "b"), (1, "b"), (2, "n")], ddl)
+    assert sorted(map(tuple, upsert(stored, same, ["id"], ["title"]).collect())) == [(1, "b"), (2, "n")]
+    ordered = spark.createDataFrame([(1, "z", 0), (1, "c", 1), (1, "d", 1)], "id long, title string, at int")
+    for df in (ordered, ordered.repartition(3)):
+        assert upsert(stored, df, ["id"], ["title"], order="at").collect()[0]["title"] == "d"
