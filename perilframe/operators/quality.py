@@ -99,6 +99,11 @@ def _evaluated(rule: Rule) -> Column:
 
 def report(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per rule: rule, column, evaluated, unexpected, fraction, success."""
+    return judged(totals(df, rules))
+
+
+def totals(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row per rule: rule, column, mostly, evaluated, unexpected."""
     plain = [r for r in rules if r.kind != "unique"]
     parts = []
     if plain:
@@ -131,12 +136,17 @@ def report(df: DataFrame, rules: list[Rule]) -> DataFrame:
                 "unexpected",
             )
         )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def judged(counts: DataFrame) -> DataFrame:
+    """The report of counted rules (see `totals`)."""
     fraction = F.when(F.col("evaluated") > 0, F.col("unexpected") / F.col("evaluated")).otherwise(F.lit(0.0))
     passed = F.when(
         F.col("evaluated") > 0,
         (F.col("evaluated") - F.col("unexpected")) / F.col("evaluated") >= F.col("mostly"),
     ).otherwise(F.lit(True))
-    return reduce(DataFrame.unionByName, parts).select(
+    return counts.select(
         "rule", "column", "evaluated", "unexpected", fraction.alias("fraction"), passed.alias("success")
     )
 

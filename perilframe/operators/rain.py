@@ -68,21 +68,27 @@ def covered(samples: DataFrame, grid: DataFrame, day: str, window: int) -> DataF
 
 
 def at_points(
-    samples: DataFrame, grid: DataFrame, geometry: Geometry, day: str, lon: str, lat: str, gate: int = 1
+    samples: DataFrame, grid: DataFrame, geometry: Geometry, day: str, lon: str, lat: str, gate: int = 1,
+    images: DataFrame | None = None,
 ) -> DataFrame:
     """Samples with rain_1d/3d/7d/peak of the pixel they fall in.
 
     Samples whose `gate`-day window has no grid day are dropped; samples over a
     missing pixel stay with NULLs. Samples first collapse to distinct (cell, day) keys,
     so thousands of reports from one place cost one lookup, and the range
-    join becomes an equi join on (cell, day). Only grid days the samples can reach are read.
+    join becomes an equi join on (cell, day). Only grid days the samples can reach are read, of a grid that is
+    partitioned by year only such years. `images`, the grid's days as a table of their own, spares the gate a look at the grid.
     """
     samples = samples.where(F.col(day).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull())
     first = samples.agg(F.date_sub(F.min(day), V.PEAK_WINDOW)).scalar()
     last = samples.agg(F.max(day)).scalar()
-    grid = grid.where((F.col("date") >= first) & (F.col("date") < last))
+    inside = (F.col("date") >= first) & (F.col("date") < last)
+    images = (grid if images is None else images).where(inside)
+    if "year" in grid.columns:
+        inside = inside & F.col("year").between(F.year(first), F.year(last))
+    grid = grid.where(inside)
     located = samples.select("*", *geometry.cells(lon, lat))
-    keys = covered(located.select(*CELL, day).distinct(), grid, day, gate)
+    keys = covered(located.select(*CELL, day).distinct(), images, day, gate)
     return located.join(key_windows(keys, grid, day), [*CELL, day]).drop(*CELL)
 
 

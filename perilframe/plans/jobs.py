@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V, schema
-from ..operators import grids, quality, rain, splits
+from ..operators import grids, late_rain, quality, rain, splits
 from ..operators.upsert import upsert
 from ..session import owned_scratch, stable
 from ..sources import landed
@@ -21,6 +21,10 @@ LEADLAG_MODEL = "hazard-leadlag"
 SEVERITY_MODEL = "incident-severity"
 LOSS_MODEL = "incident-loss"
 TIER_MODEL = "incident-loss-tiers"
+SEARCH_MODEL = "hazard-leadlag-search"
+
+# What the loss models predict, as logged.
+LOSS_TARGET, TIER_TARGET = "log1p(estimatedLoss)", "log_loss tercile (low/medium/high)"
 
 
 def daily_intake(
@@ -71,6 +75,36 @@ def retrain_leadlag(training: DataFrame, log_path: str, model_root: str, params:
     return _log(training.sparkSession, LEADLAG_MODEL, run, params, "most_recent_share_of_dates", log_path, model_root)
 
 
+def retrain_search(
+    training: DataFrame, log_path: str, model_root: str, draws: int = V.SEARCH_DRAWS, space: dict | None = None, folds: int = V.CV_FOLDS
+) -> models.Run:
+    """The randomised search; the winner's settings and cross-validated score are logged with its test metrics."""
+    spark = training.sparkSession
+    with owned_scratch(spark):
+        run = models.search_boosting(training, draws, space, folds)
+    chosen = {k.removeprefix("param_"): v for k, v in run.values.items() if k.startswith("param_")}
+    run.values = {k: v for k, v in run.values.items() if not k.startswith("param_")}
+    return _log(spark, SEARCH_MODEL, run, {**chosen, "draws": draws, "folds": folds}, "stratified_random", log_path, model_root)
+
+
+def refresh_late_rain(
+    incident_rain: DataFrame, daily_rain: DataFrame, samples: DataFrame, points: DataFrame, target_days: DataFrame,
+    grid: DataFrame, arrived: DataFrame, geometry: rain.Geometry, at,
+) -> tuple[DataFrame, DataFrame, DataFrame, dict[str, int]]:
+    """(grid, rain per incident, rain per district and day, counts) after late or corrected pixels.
+
+    Only keys whose windows hold a changed pixel are looked up again; the counts say how many.
+    """
+    landing = late_rain.land(grid, arrived)
+    by_incident, incident_keys = late_rain.refresh_incident_rain(incident_rain, samples, landing, geometry, at)
+    by_district, district_keys = late_rain.refresh_daily_rain(daily_rain, points, target_days, landing, geometry, at)
+    counts = {
+        "changed_pixels": landing.changed.count(), "opened_days": landing.opened.count(),
+        "incident_keys": incident_keys.count(), "district_keys": district_keys.count(),
+    }
+    return landing.grid, by_incident, by_district, counts
+
+
 def retrain_severity(
     dataset: DataFrame, log_path: str, model_root: str, params: dict | None = None, tautology_rate: float = V.TAUTOLOGY_RATE
 ) -> list[models.Run]:
@@ -87,6 +121,7 @@ def retrain_loss(dataset: DataFrame, log_path: str, model_root: str, params: dic
     spark = dataset.sparkSession
     with owned_scratch(spark):
         runs = models.fit_loss(dataset, params)
+    params = {**params, "target": LOSS_TARGET}
     return [_log(spark, f"{LOSS_MODEL}-{r.name}", r, params, "most_recent_rows", log_path, model_root) for r in runs]
 
 
@@ -94,6 +129,7 @@ def retrain_tiers(dataset: DataFrame, log_path: str, model_root: str, params: di
     params = params or V.GBT_LOSS
     with owned_scratch(dataset.sparkSession):
         run = models.fit_tiers(dataset, params)
+    params = {**params, "target": TIER_TARGET}
     return _log(dataset.sparkSession, TIER_MODEL, run, params, "most_recent_rows", log_path, model_root)
 
 

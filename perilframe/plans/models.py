@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, OneVsRest, OneVsRestModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V
@@ -53,9 +54,10 @@ def importance_table(spark: SparkSession, run: Run) -> DataFrame:
     )
 
 
-def zero_missing_rain(df: DataFrame) -> DataFrame:
-    """Tree models take no NULL; a caller that keeps such rows says so by calling this."""
-    return df.fillna(0.0, subset=V.RAIN_ALL)
+def with_rain(df: DataFrame) -> tuple[DataFrame, int]:
+    """(rows with all four rain values, how many rows lack one). Trees take no NULL, and a missing pixel is no dry day."""
+    missing = df.agg(F.count_if(F.greatest(*[F.col(c).isNull() for c in V.RAIN_ALL]))).first()[0]
+    return df.dropna(subset=V.RAIN_ALL), missing
 
 
 def _vector(features: list[str]) -> VectorAssembler:
@@ -178,28 +180,66 @@ def fit_logistic(name: str, dataset: DataFrame, rain: bool, district: bool, max_
     return Run(name, model, inputs, values)
 
 
+def prefixes(model: GBTClassificationModel, rounds: list[int]) -> list[GBTClassificationModel]:
+    """The boosted model as it was after fewer rounds: its first trees with their weights.
+
+    A round's trees depend on the rounds before it and on the seed, not on how many follow.
+    """
+    whole, sc = model._java_obj, SparkSession.active().sparkContext
+    jvm, gateway = sc._jvm, sc._gateway
+    out = []
+    for k in rounds:
+        trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, k)
+        weights = gateway.new_array(jvm.double, k)
+        for i, (tree, weight) in enumerate(zip(whole.trees()[:k], whole.treeWeights()[:k])):
+            trees[i], weights[i] = tree, float(weight)
+        made = jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{k}", trees, weights, whole.numFeatures(), 2)
+        out.append(GBTClassificationModel(made))
+    return out
+
+
+def _drawn(space: dict, draws: int, seed: int) -> list[dict]:
+    combos = list(itertools.product(*space.values()))
+    return [dict(zip(space, c)) for c in random.Random(seed).sample(combos, min(draws, len(combos)))]
+
+
+def staged_scores(train: DataFrame, picked: list[dict], folds: int, seed: int, parallelism: int) -> list[float]:
+    """Mean ROC-AUC over the folds per setting. Settings that differ in their rounds alone share one fit a fold, at the most
+    rounds among them: the shorter ones are scored as its prefixes. `train` has features, label and fold."""
+    groups: dict[tuple, list[int]] = {}
+    for i, setting in enumerate(picked):
+        groups.setdefault(tuple(sorted((k, v) for k, v in setting.items() if k != "maxIter")), []).append(i)
+    area = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
+
+    def run(job: tuple) -> list[tuple[int, float]]:
+        (rest, members), fold = job
+        rounds = [picked[i]["maxIter"] for i in members]
+        trees = GBTClassifier(
+            labelCol="label", featuresCol="features", featureSubsetStrategy="all", seed=seed, maxBins=V.MAX_BINS,
+            maxIter=max(rounds), **dict(rest),
+        )
+        model, held = trees.fit(train.where(F.col("fold") != fold)), train.where(F.col("fold") == fold)
+        return [(i, area.evaluate(part.transform(held))) for i, part in zip(members, prefixes(model, rounds))]
+
+    jobs = [(group, fold) for group in groups.items() for fold in range(folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        scored = [pair for pairs in pool.map(inheritable_thread_target(run), jobs) for pair in pairs]
+    return [sum(s for i, s in scored if i == k) / folds for k in range(len(picked))]
+
+
 def search_boosting(
     training: DataFrame, draws: int = V.SEARCH_DRAWS, space=None, folds: int = V.CV_FOLDS, seed: int = V.SEED, parallelism: int = 4
 ) -> Run:
     """Randomised search on the train half by cross-validated ROC-AUC; the winner meets the test half once."""
     space = space or V.SEARCH_SPACE
     train, test = _halves(stable(splits.mark_stratified(training, "label", "row_id"), ["row_id", "label"]))
-    train = stable(_vector(V.LEADLAG_FEATURES).transform(splits.with_fold(train, "row_id", folds)), ["row_id", "label"])
-    trees = GBTClassifier(
-        labelCol="label", featuresCol="features", featureSubsetStrategy="all", seed=seed, maxBins=V.MAX_BINS
-    )
-    combos = list(itertools.product(*space.values()))
-    picked = random.Random(seed).sample(combos, min(draws, len(combos)))
-    grid = [{trees.getParam(k): v for k, v in zip(space, combo)} for combo in picked]
-    area = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
-    search = CrossValidator(
-        estimator=trees, estimatorParamMaps=grid, evaluator=area, numFolds=folds, foldCol="fold", parallelism=parallelism
-    ).fit(train)
-    best = max(range(len(grid)), key=lambda i: search.avgMetrics[i])
-    scored = stable(_scored(search.bestModel, _vector(V.LEADLAG_FEATURES).transform(test), "label"))
-    values = {"cv_roc_auc": search.avgMetrics[best], **metrics.classification_metrics(scored)}
-    values.update({f"param_{k}": float(v) for k, v in zip(space, picked[best])})
-    return Run("gbt_search", search.bestModel, V.LEADLAG_FEATURES, values)
+    ready = stable(_vector(V.LEADLAG_FEATURES).transform(splits.with_fold(train, "row_id", folds)), ["row_id", "label"])
+    picked = _drawn(space, draws, seed)
+    scores = staged_scores(ready, picked, folds, seed, parallelism)
+    best = max(range(len(picked)), key=lambda i: scores[i])
+    run = classify("gbt_search", train, test, V.LEADLAG_FEATURES, "label", {**picked[best], "maxBins": V.MAX_BINS}, seed)
+    run.values = {"cv_roc_auc": scores[best], **run.values, **{f"param_{k}": float(v) for k, v in picked[best].items()}}
+    return run
 
 
 # --- severity ------------------------------------------------------------
@@ -214,11 +254,17 @@ def fit_severity(dataset: DataFrame, params=None, tautology_rate: float = V.TAUT
     marked = stable(splits.mark_recent_rows(stable(dataset), "incident_on", "incident_id"), ["incident_id"])
     train, test = _halves(marked)
     sure = profile.tautological(marked if rate_from == "all" else train, train, "hazard_id", "casualty", tautology_rate)
-    hard_train, hard_test = (profile.drop_groups(d, sure, "hazard_id") for d in (train, test))
+    hard_train, hard_test = (stable(profile.drop_groups(d, sure, "hazard_id")) for d in (train, test))
+    hard = classify(V.HARD_RUN, hard_train, hard_test, V.SEVERITY_FEATURES, "casualty", params)
+    rows = [d.agg(F.count("*").alias("n"), F.avg("casualty").alias("rate")).first() for d in (train, test, hard_train, hard_test)]
+    hard.values.update({
+        "removed_train": float(rows[0]["n"] - rows[2]["n"]), "removed_test": float(rows[1]["n"] - rows[3]["n"]),
+        "test_positive_rate": rows[3]["rate"],
+    })
     return [
         classify(V.BASELINE_RUN, train, test, ["hazard_id"], "casualty", params),
         classify(V.FULL_RUN, train, test, V.SEVERITY_FEATURES, "casualty", params),
-        classify(V.HARD_RUN, hard_train, hard_test, V.SEVERITY_FEATURES, "casualty", params),
+        hard,
     ]
 
 
@@ -247,6 +293,14 @@ def fit_loss(dataset: DataFrame, params=None) -> list[Run]:
     ]
 
 
+def tier_table(marked: DataFrame, edges: list[float]) -> DataFrame:
+    """half, tier, rows, and the tier's upper edge on the log scale (null for the top one)."""
+    half = F.when(F.coalesce("is_test", F.lit(False)), "test").otherwise("train").alias("half")
+    upper = F.element_at(F.array(*[F.lit(float(e)) for e in edges], F.lit(None).cast("double")), F.col("tier") + 1)
+    counted = marked.groupBy(half, S.tier("log_loss", edges).cast("int").alias("tier")).agg(F.count("*").alias("rows"))
+    return counted.withColumn("upper_edge", upper)
+
+
 def fit_tiers(dataset: DataFrame, params=None) -> Run:
     """Low / medium / high loss: tercile edges from train, one boosted model per class against the rest."""
     train, test = _loss_halves(dataset)

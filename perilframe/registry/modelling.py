@@ -1,6 +1,6 @@
 """Model runs, with the settings of `fixed_values`.
 
-The randomised search is not registered: 30 draws by 5 folds at full rounds run for hours on one machine.
+The randomised search is a job (`jobs.retrain_search`) and not registered: 30 draws by 5 folds at full rounds run for hours on one machine.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..operators import grids, profile, rain, splits
+from ..operators import grids, order_stats, profile, rain, splits
 from ..plans import anomaly, datasets, jobs, models, runlog, star
 from ..session import scratch_path, stable
 from .base import INC, INCRAIN, KEYRAIN, RAIN, day_text, query, with_
@@ -124,13 +124,27 @@ def lr_district(spark, sf):
 CERTAIN = 0.17
 
 
+def _told(runs, dropped):
+    """Runs that say how many rows were dropped for want of a rain value."""
+    for run in runs:
+        run.values["dropped_missing_rain"] = float(dropped)
+    return runs
+
+
 def _severity_runs(spark, sf):
-    data = lambda: models.zero_missing_rain(severity(spark, sf))
-    return _once("severity", spark, sf, lambda: models.fit_severity(data(), tautology_rate=CERTAIN))
+    def fit():
+        data, dropped = models.with_rain(stable(severity(spark, sf)))
+        return _told(models.fit_severity(data, tautology_rate=CERTAIN), dropped)
+
+    return _once("severity", spark, sf, fit)
 
 
 def _loss_runs(spark, sf):
-    return _once("loss", spark, sf, lambda: models.fit_loss(models.zero_missing_rain(losses(spark, sf))))
+    def fit():
+        data, dropped = models.with_rain(stable(losses(spark, sf)))
+        return _told(models.fit_loss(data), dropped)
+
+    return _once("loss", spark, sf, fit)
 
 
 @query("severity_model")
@@ -171,7 +185,8 @@ def loss_importance(spark, sf):
 
 @query("tier_model")
 def tier_model(spark, sf):
-    return models.result_table(spark, [models.fit_tiers(models.zero_missing_rain(losses(spark, sf)))])
+    data, dropped = models.with_rain(stable(losses(spark, sf)))
+    return models.result_table(spark, _told([models.fit_tiers(data)], dropped))
 
 
 @query(
@@ -186,7 +201,7 @@ def tier_model(spark, sf):
       avg(casualty) OVER (PARTITION BY hazard_id) AS rate FROM severity) GROUP BY 1""",
 )
 def severity_summary(spark, sf):
-    """What a casualty evaluation prints about its halves; rows with missing rain are those that `zero_missing_rain` fills."""
+    """What a casualty evaluation prints about its halves; rows with missing rain are those that training drops."""
     marked = stable(splits.mark_recent_rows(stable(severity(spark, sf)), "incident_on", "incident_id"))
     train, _ = splits.halves(marked)
     sure = profile.tautological(marked, train, "hazard_id", "casualty", CERTAIN)
@@ -208,3 +223,60 @@ def leadlag_kept(spark, sf):
         F.count("*").alias("rows"), F.count_if(F.col("district_id").isNull()).alias("without_district"),
         F.count_if(F.col("label") == 1).alias("positives"),
     )
+
+
+_LOSS_HALF = """, split AS (SELECT *, ln(1 + estimated_loss) AS log_loss, CASE WHEN row_number() OVER (ORDER BY incident_on DESC, incident_id DESC)
+        <= greatest(1, CAST(floor(count(*) OVER () * 0.2e0) AS BIGINT)) THEN 'test' ELSE 'train' END AS half
+      FROM severity WHERE estimated_loss IS NOT NULL)"""
+
+
+def _loss_marked(spark, sf):
+    return stable(splits.mark_recent_rows(stable(losses(spark, sf)), "incident_on", "incident_id"))
+
+
+@query(
+    "loss_summary",
+    with_(INC, RAIN, KEYRAIN, INCRAIN, SEVERITY_SQL) + _LOSS_HALF
+    + """SELECT half, count(*) AS "rows", strftime(min(incident_on), '%Y-%m-%d') AS first_day, strftime(max(incident_on), '%Y-%m-%d') AS last_day,
+      round(avg(log_loss), 6) AS mean_log_loss,
+      count(*) FILTER (rain_1d IS NULL OR rain_3d IS NULL OR rain_7d IS NULL OR rain_peak_7d IS NULL) AS missing_input
+    FROM split GROUP BY 1""",
+)
+def loss_summary(spark, sf):
+    """What a loss evaluation prints about its halves."""
+    summary = profile.split_summary(_loss_marked(spark, sf), "incident_on", "log_loss", V.RAIN_ALL).drop("near_certain")
+    return summary.withColumnRenamed("positive_rate", "mean_log_loss").withColumns({
+        "first_day": day_text("first_day"), "last_day": day_text("last_day"), "mean_log_loss": F.round("mean_log_loss", 6),
+    })
+
+
+@query(
+    "leadlag_summary",
+    with_(INC, RAIN, KEYRAIN, INCRAIN, NEGATIVES_SQL, LEADLAG_SQL)
+    + """, days AS (SELECT sample_date, row_number() OVER (ORDER BY sample_date DESC) AS place, count(*) OVER () AS n
+      FROM (SELECT DISTINCT sample_date FROM leadlag WHERE district_id IS NOT NULL))
+    SELECT CASE WHEN place <= greatest(1, CAST(floor(n * 0.2e0) AS BIGINT)) THEN 'test' ELSE 'train' END AS half, count(*) AS "rows",
+      strftime(min(sample_date), '%Y-%m-%d') AS first_day, strftime(max(sample_date), '%Y-%m-%d') AS last_day, round(avg(label), 6) AS positive_rate
+    FROM leadlag JOIN days USING (sample_date) WHERE district_id IS NOT NULL GROUP BY 1""".replace("days AS", "dates AS").replace("JOIN days", "JOIN dates"),
+)
+def leadlag_summary(spark, sf):
+    """What a lead-lag evaluation prints about its halves: rows, days and the share of incidents."""
+    marked = stable(splits.mark_recent_dates(_training(spark, sf), "sample_date"))
+    summary = profile.split_summary(marked, "sample_date", "label", V.RAIN_ALL).drop("missing_input", "near_certain")
+    return summary.withColumns({
+        "first_day": day_text("first_day"), "last_day": day_text("last_day"), "positive_rate": F.round("positive_rate", 6),
+    })
+
+
+@query(
+    "tier_distribution",
+    with_(INC, RAIN, KEYRAIN, INCRAIN, SEVERITY_SQL) + _LOSS_HALF
+    + """, edge AS (SELECT quantile_cont(log_loss, 1 / 3e0) AS a, quantile_cont(log_loss, 2 / 3e0) AS b FROM split WHERE half = 'train')
+    SELECT half, tier, count(*) AS "rows", round(CASE tier WHEN 0 THEN any_value(a) WHEN 1 THEN any_value(b) END, 6) AS upper_edge
+    FROM (SELECT half, a, b, CASE WHEN log_loss <= a THEN 0 WHEN log_loss <= b THEN 1 ELSE 2 END AS tier FROM split, edge) GROUP BY 1, 2""",
+)
+def tier_distribution(spark, sf):
+    """Rows of each loss tier in both halves, with the edges that the train half gives."""
+    marked = _loss_marked(spark, sf)
+    edges = order_stats.quantiles(splits.halves(marked)[0], "log_loss", [1 / 3, 2 / 3])
+    return models.tier_table(marked, edges).withColumn("upper_edge", F.round("upper_edge", 6))

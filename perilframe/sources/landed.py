@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V, schema
 from ..functions.scalar import polymorphic_id
+from ..session import stable
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -20,12 +21,14 @@ def _pages_of_feed(pages: DataFrame) -> DataFrame:
     """Pages up to the end of the feed, parsed as `p`, with `broken` for those that did not parse.
 
     The feed ends before the first page without results, whatever its `next` says, and after the first page
-    without `next`. A page that does not parse says nothing about the end.
+    without `next`. A page that does not parse says nothing about the end. Every body is parsed once: the parse is
+    written, and the end is looked up there.
     """
     parse = F.from_json("body", schema.PAGE, {"columnNameOfCorruptRecord": "_broken"})
-    parsed = pages.select("page", "body", parse.alias("p")).withColumn(
-        "broken", F.col("p").isNull() | F.col("p._broken").isNotNull()
-    )
+    # The one-element explode keeps the optimizer from copying the parse into what is made of it.
+    parsed = pages.select("page", "body", F.explode(F.array(parse)).alias("p"))
+    broken = F.col("p").isNull() | F.col("p._broken").isNotNull()
+    parsed = stable(parsed.select("page", F.when(broken, F.col("body")).alias("body"), F.struct("p.results", "p.next").alias("p"), broken.alias("broken")))
     empty = F.coalesce(F.size("p.results"), F.lit(0)) <= 0
     ends_at = F.when(F.col("broken"), None).when(empty, F.col("page") - 1).when(F.col("p.next").isNull(), F.col("page"))
     last = parsed.agg(F.min(ends_at).alias("last")).scalar()
@@ -104,6 +107,27 @@ def flatten(records: DataFrame, text: str = "record") -> DataFrame:
     )
 
 
+REPORT_VARIANT = "report"
+
+
+def with_variant(records: DataFrame, text: str = "record") -> DataFrame:
+    """Add the report as a VARIANT column, parsed once at intake; text that is no JSON gives null.
+
+    Later reads take their paths from the stored binary form (`from_variant`) and never parse the text again.
+    """
+    return records.withColumn(REPORT_VARIANT, F.try_parse_json(text))
+
+
+def from_variant(path: str, kind: str, column: str = REPORT_VARIANT) -> Column:
+    """The value at a path, null where it is absent or does not convert."""
+    return F.try_variant_get(column, path, kind)
+
+
+def variant_id(field: str, column: str = REPORT_VARIANT) -> Column:
+    """Id of a field that is absent, a bare id, or an object with an `id`."""
+    return F.coalesce(from_variant(f"$.{field}.id", "int", column), from_variant(f"$.{field}", "int", column))
+
+
 def with_reason(records: DataFrame, text: str = "record") -> DataFrame:
     """Parsed records with `reason`: why a record cannot be stored; null for a good one."""
     r = F.col("_r")

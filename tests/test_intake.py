@@ -177,8 +177,10 @@ def test_a_truncated_page_costs_only_itself(spark):
 
 def test_repeated_keys_without_an_order_keep_the_last_arrival(spark):
     stored = spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "id int, title string, type string")
-    batch = spark.createDataFrame([(1, "c", "y"), (1, "d", "z"), (9, "e", "first"), (9, "f", "second"), (None, "g", "h")], stored.schema)
-    done = writes.upsert(stored, batch.coalesce(1), ["id"], ["title"])
+    rows = [(1, "c", "y"), (1, "d", "z"), (9, "e", "first"), (9, "f", "second"), (None, "g", "h")]
+    batch = spark.createDataFrame(rows, stored.schema)
+    numbered = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "id int, title string, type string, arrival int")
+    done = writes.upsert(stored, numbered.repartition(3), ["id"], ["title"])
     assert sorted(map(tuple, done.collect())) == [(1, "d", "x"), (2, "b", "x"), (9, "f", "first")]
     assert [r["title"] for r in writes.unkeyed(batch, ["id"]).collect()] == ["g"]
     arrived = batch.where("id = 9").withColumn("arrival", F.when(F.col("title") == "e", 2).otherwise(1))

@@ -46,6 +46,42 @@ def test_search_reports_the_winner(training):
     assert run.values["cv_roc_auc"] > 0.7 and run.values["param_maxIter"] in (2.0, 3.0)
 
 
+def test_prefixes_equal_separate_fits(training):
+    """Settings that differ in their rounds share a fit; the scores are those of fits of their own."""
+    import random as rnd
+
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    ready = models._vector(V.LEADLAG_FEATURES).transform(models.splits.with_fold(training, "row_id", 2))
+    ready = models.stable(ready, ["row_id"])
+    rest = {"maxDepth": 3, "stepSize": 0.2, "minInstancesPerNode": 5, "subsamplingRate": 0.85}
+    picked = [{"maxIter": n, **rest} for n in (2, 5, 3)] + [{"maxIter": 2, **rest, "maxDepth": 2}]
+    got = models.staged_scores(ready, picked, 2, 7, 2)
+    area = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC", numBins=0)
+    for setting, score in zip(picked, got):
+        trees = GBTClassifier(labelCol="label", featuresCol="features", featureSubsetStrategy="all", seed=7, maxBins=V.MAX_BINS, **setting)
+        alone = [area.evaluate(trees.fit(ready.where(F.col("fold") != f)).transform(ready.where(F.col("fold") == f))) for f in (0, 1)]
+        assert score == pytest.approx(sum(alone) / 2, abs=1e-12)
+    drawn = models._drawn(V.SEARCH_SPACE, 30, 42)
+    assert len(drawn) == 30 and drawn == models._drawn(V.SEARCH_SPACE, 30, 42) and rnd.Random(42).random() != drawn
+
+
+def test_search_is_logged(spark, training, tmp_path):
+    space = {"maxIter": [2, 3], "maxDepth": [2], "stepSize": [0.3], "minInstancesPerNode": [5], "subsamplingRate": [1.0]}
+    log = str(tmp_path / "runs")
+    run = jobs.retrain_search(training, log, str(tmp_path / "models"), 2, space, 2)
+    kept = {(r["kind"], r["key"]): r["value"] for r in runlog.read(spark, log).collect()}
+    assert kept["param", "maxIter"] in ("2.0", "3.0") and float(kept["metric", "cv_roc_auc"]) == run.values["cv_roc_auc"]
+    assert runlog.load_latest(spark, jobs.SEARCH_MODEL, log).transform(training).count() == 1500
+
+
+def test_rows_without_rain_are_dropped_and_counted(spark, training):
+    holed = training.withColumn("rain_3d", F.when(F.col("row_id") % 10 != 0, F.col("rain_3d")))
+    kept, dropped = models.with_rain(holed)
+    assert dropped == 150 and kept.count() == 1350 and kept.where("rain_3d is null").count() == 0
+
+
 def test_search_space_is_the_full_one():
     n = 1
     for values in V.SEARCH_SPACE.values():
@@ -93,6 +129,10 @@ def test_severity_loss_and_tiers(spark, training, tmp_path):
     }
     kept = {(r["key"], r["value"]) for r in logged.where("name = 'incident-loss-tiers'").collect()}
     assert ("features", ",".join(V.SEVERITY_FEATURES)) in kept and ("split_method", "most_recent_rows") in kept
+    assert ("target", jobs.TIER_TARGET) in kept
+    assert {r["value"] for r in logged.where("key = 'target' and name like 'incident-loss-f%'").collect()} == {jobs.LOSS_TARGET}
+    hard = runs["full_features_hard_subset"].values
+    assert hard["removed_train"] + hard["removed_test"] == 375 and 0 < hard["test_positive_rate"] < 1
 
 
 @pytest.mark.parametrize("values, column", [(47, "hazard_id"), (77, "district_id")])
