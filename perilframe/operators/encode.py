@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import PipelineModel, Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .order_stats import running_totals
 
@@ -22,6 +22,19 @@ def label_codes(df: DataFrame, column: str, large: bool = False) -> DataFrame:
     return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
 
 
+MOST_VALUES = 10_000
+
+
+def label_positions(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """Per column the expression of its code (see `label_codes`), for dimensions of up to MOST_VALUES values: one pass finds all
+    vocabularies, and the codes are literals, so no row is joined."""
+    found = df.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
+    for c in columns:
+        if len(found[c]) > MOST_VALUES:
+            raise ValueError(f"{c} has more than {MOST_VALUES} values; use label_codes with large=True")
+    return {c: (F.array_position(F.array(*[F.lit(v) for v in found[c]]), F.col(c)) - 1).cast("int") for c in columns}
+
+
 def label_indexer(inputs: list[str], outputs: list[str]) -> StringIndexer:
     """Same codes as label_codes, as a pipeline stage; unknown values raise."""
     return StringIndexer(inputCols=inputs, outputCols=outputs, stringOrderType="alphabetAsc", handleInvalid="error")

@@ -3,7 +3,8 @@
 Two tools:
 * histogram refinement finds the value at a rank. Every pass groups by a cell
   number, so a pass returns at most CELLS rows per wanted rank no matter how
-  many rows the table has, and hot values collapse in the map-side combine.
+  many rows the table has, and hot values collapse in the map-side combine. The
+  first pass has cells by magnitude, which need no range; once FEW rows are left, their values come back.
 * running totals over distinct keys are taken per written key range; only the
   per-range sums meet in one place.
 """
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import stable
 
 CELLS = 4096
+FEW = 65_536  # values that are fetched as they are
 
 
 @dataclass(frozen=True)
@@ -35,6 +37,14 @@ class _Span:
     high: object
     below: int
     ranks: list[int]
+    rows: int = 0
+
+
+def _magnitude(value: Column) -> Column:
+    """A cell number that rises with the value: a sixteenth of a power of two, by sign; some 70,000 cells at the very most."""
+    v = value.cast("double")
+    size = F.floor(F.log2(F.abs(v)) * 16).cast("int") + F.lit(1 << 15)
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
 
 
 def _cell(value: Column, span: _Span) -> Column:
@@ -76,7 +86,7 @@ def _narrow(spans: list[_Span], cells: list, found: dict[int, Located]) -> list[
     narrower = []
     for i, span in enumerate(spans):
         below, left = span.below, list(span.ranks)
-        for row in sorted((r for r in cells if r["span"] == i), key=lambda r: r["cell"]):
+        for row in sorted((r for r in cells if r["span"] == i), key=lambda r: (r["cell"], r["low"])):
             here = [r for r in left if r < below + row["n"]]
             if here:
                 left = left[len(here):]
@@ -86,7 +96,7 @@ def _narrow(spans: list[_Span], cells: list, found: dict[int, Located]) -> list[
                 elif (row["low"], row["high"]) == (span.low, span.high):
                     raise ValueError("values must be finite")
                 else:
-                    narrower.append(_Span(row["low"], row["high"], below, here))
+                    narrower.append(_Span(row["low"], row["high"], below, here, row["n"]))
             below += row["n"]
             if not left:
                 break
@@ -96,7 +106,7 @@ def _narrow(spans: list[_Span], cells: list, found: dict[int, Located]) -> list[
 def locate_many(df: DataFrame, asks: list[Ask]) -> list[list[Located]]:
     """Per ask, the values at its wanted ranks, in the order asked for. All asks share every pass over df.
 
-    The keys must have one type. One pass finds the ranges; each further one narrows all open ranges to a cell.
+    The keys must have one type. One pass counts by magnitude; each further one narrows all open ranges to a cell.
     """
     if not asks:
         return []
@@ -106,38 +116,42 @@ def locate_many(df: DataFrame, asks: list[Ask]) -> list[list[Located]]:
         raise TypeError(f"keys of different types: {sorted(kinds)}")
     if kinds & {"double", "float"}:
         values = values.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in values.columns])
-    ends = values.agg(*[f(c).alias(f"{n}{c}") for c in values.columns for n, f in (("l", F.min), ("h", F.max), ("n", F.count))]).first()
+    cells = _counted(values, [F.struct(F.lit(i).alias("ask"), F.lit(0).alias("span"), _magnitude(F.col(f"v{i}")).alias("cell"), F.col(f"v{i}").alias("v")) for i in range(len(asks))])
     wanted, found, spans = [], [], {}
     for i, ask in enumerate(asks):
-        total = ends[f"nv{i}"]
+        here = [r for r in cells if r["ask"] == i]
+        total = sum(r["n"] for r in here)
+        if any(isinstance(r["high"], float) and (math.isinf(r["low"]) or math.isinf(r["high"])) for r in here):
+            raise ValueError("values must be finite")
         ranks = list(ask.wanted(total)) if callable(ask.wanted) else list(ask.wanted)
         if any(r < 0 or r >= total for r in ranks):
             raise ValueError(f"ranks {ranks} do not fit {total} rows")
         wanted.append(ranks)
         found.append({})
         if ranks:
-            spans[i] = [_Span(ends[f"lv{i}"], ends[f"hv{i}"], 0, sorted(set(ranks)))]
+            spans[i] = _narrow([_Span(None, None, 0, sorted(set(ranks)), total)], here, found[i])
+    spans = {i: some for i, some in spans.items() if some}
     while spans:
         reach = F.lit(False)  # plain ranges, which can reach the scan
+        few = sum(s.rows for some in spans.values() for s in some) <= FEW
         places = []
         for i, some in spans.items():
             v = F.col(f"v{i}")
             reach = reach | v.between(F.lit(some[0].low), F.lit(some[-1].high))
             span, cell = _cells_of(v, some)
-            places.append(F.struct(F.lit(i).alias("ask"), span.alias("span"), cell.alias("cell"), v.alias("v")))
-        cells = (
-            values.where(reach)
-            .select(F.inline(F.array(*places)))
-            .where("span is not null")
-            .groupBy("ask", "span", "cell")
-            .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-            .collect()
-        )
+            places.append(F.struct(F.lit(i).alias("ask"), span.alias("span"), (F.lit(0) if few else cell).alias("cell"), v.alias("v")))
+        cells = _counted(values.where(reach), places, ["v"] if few else [])
         spans = {i: _narrow(some, [r for r in cells if r["ask"] == i], found[i]) for i, some in spans.items()}
         spans = {i: some for i, some in spans.items() if some}
     return [[f[r] for r in ranks] for f, ranks in zip(found, wanted)]
 
 
+def _counted(values: DataFrame, places: list[Column], by: list[str] = []) -> list:  # noqa: B006
+    """Rows, lowest and highest value per (ask, span, cell), and per value if `by` says so."""
+    inside = values.select(F.inline(F.array(*places))).where("span is not null and v is not null")
+    return inside.groupBy("ask", "span", "cell", *by).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+
+
 def locate_ranks(df: DataFrame, key: Column, wanted) -> list[Located]:
     """Values at the wanted 0-based ranks of one numeric key, in the order asked for."""
     return locate_many(df, [Ask(key, wanted)])[0]

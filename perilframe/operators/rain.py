@@ -76,16 +76,15 @@ def at_points(
     Samples whose `gate`-day window has no grid day are dropped; samples over a
     missing pixel stay with NULLs. Samples first collapse to distinct (cell, day) keys,
     so thousands of reports from one place cost one lookup, and the range
-    join becomes an equi join on (cell, day). Only grid days the samples can reach are read, of a grid that is
-    partitioned by year only such years. `images`, the grid's days as a table of their own, spares the gate a look at the grid.
+    join becomes an equi join on (cell, day). One look at the samples gives the grid days they can reach; only those are
+    read, of a grid that is partitioned by year only such years. `images`, the grid's days as a table of their own, spares the gate a look at the grid.
     """
     samples = samples.where(F.col(day).isNotNull() & F.col(lon).isNotNull() & F.col(lat).isNotNull())
-    first = samples.agg(F.date_sub(F.min(day), V.PEAK_WINDOW)).scalar()
-    last = samples.agg(F.max(day)).scalar()
-    inside = (F.col("date") >= first) & (F.col("date") < last)
+    first, last = samples.agg(F.date_sub(F.min(day), V.PEAK_WINDOW), F.max(day)).first()
+    inside = (F.col("date") >= F.lit(first).cast("date")) & (F.col("date") < F.lit(last).cast("date"))
     images = (grid if images is None else images).where(inside)
-    if "year" in grid.columns:
-        inside = inside & F.col("year").between(F.year(first), F.year(last))
+    if "year" in grid.columns and first is not None:
+        inside = inside & F.col("year").between(first.year, last.year)
     grid = grid.where(inside)
     located = samples.select("*", *geometry.cells(lon, lat))
     keys = covered(located.select(*CELL, day).distinct(), images, day, gate)

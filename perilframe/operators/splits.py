@@ -102,9 +102,14 @@ def negative_samples(
     )
     number = F.col(group).cast("bigint") * 1_000_000 + F.unix_date(day)
     keys = [spread_hash(number, seed), number]
-    wanted, there = ratio * span["n"], free.count()
-    if there < wanted and not allow_fewer:
-        raise ValueError(f"{wanted} negatives asked for, {there} free ({group}, {day}) pairs; pass allow_fewer to take these")
-    taken = min(wanted, there)
-    chosen = free if taken == there else free.where(first_rows(free, keys, taken))
+    wanted, taken = ratio * span["n"], 0
+
+    def take(there: int) -> int:
+        nonlocal taken
+        if there < wanted and not allow_fewer:
+            raise ValueError(f"{wanted} negatives asked for, {there} free ({group}, {day}) pairs; pass allow_fewer to take these")
+        taken = min(wanted, there)
+        return taken
+
+    chosen = free.where(first_rows(free, keys, take))  # counts the free pairs on its way
     return chosen.withColumn("achieved_ratio", F.lit(taken / span["n"]))

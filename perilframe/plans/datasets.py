@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.scalar import casualty_flag, monday_zero
+from ..operators import rain
 
 LOSS_REPORT = "loss struct<peopleDeathCount:string,peopleInjuredCount:string,estimatedLoss:string>"
 LEADLAG = ["row_id", "district_id", "sample_date", *V.RAIN_ALL, "label"]
@@ -28,6 +29,12 @@ def leadlag_dataset(incident_rain: DataFrame, incidents: DataFrame, negatives: D
     return positives.select(*LEADLAG).unionByName(rest.select(*LEADLAG))
 
 
+def leadlag_at(samples: DataFrame, grid: DataFrame, geometry: rain.Geometry) -> DataFrame:
+    """The same set straight from the grid: samples with row_id, district_id, sample_date, lon, lat and label share one lookup."""
+    found = rain.at_points(samples, grid, geometry, "sample_date", "lon", "lat", gate=1)
+    return found.dropna(subset=V.RAIN_ALL).select(*LEADLAG)
+
+
 def leadlag_training(dataset: DataFrame) -> DataFrame:
     """Rows with a district, plus the month."""
     return dataset.dropna(subset=["district_id"]).withColumn("month", F.month("sample_date"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from .. import fixed_values as V
 from ..operators.rain import Geometry
@@ -11,8 +12,15 @@ from ..session import configure
 GEOMETRY = Geometry(lon0=0.0, lat0=0.0, size=1.0)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; its schema is looked up once a process, as every look is a job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return configure(spark).read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def hazard_number(priority: str = "o_orderpriority"):
@@ -28,6 +36,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Incident "), F.col("o_orderkey").cast("string")).alias("title"),
         F.concat(F.lit("Ne "), F.col("o_orderkey").cast("string")).alias("title_ne"),
         hazard_number().alias("hazard_id"),
+        F.col("o_orderpriority").alias("hazard"),
         F.col("c_nationkey").alias("district_id"),
         F.col("o_orderdate").cast("timestamp").alias("incident_on"),
         (F.col("o_orderdate").cast("timestamp") + F.expr("interval 6 hours")).alias("reported_on"),

@@ -206,11 +206,9 @@ def tautological_filter(spark, sf):
 )
 def label_encode(spark, sf):
     names = star.districts(spark, sf).select(F.col("id").alias("district_id"), F.col("title").alias("district"))
-    kinds = star.hazards(spark, sf).select(F.col("id").alias("hazard_id"), F.col("title").alias("hazard"))
-    rows = star.incidents(spark, sf).join(names, "district_id").join(kinds, "hazard_id").select("id", "district", "hazard")
-    districts = encode.label_codes(rows, "district").select(F.col("value").alias("district"), F.col("code").alias("district_encoded"))
-    hazards = encode.label_codes(rows, "hazard").select(F.col("value").alias("hazard"), F.col("code").alias("hazard_encoded"))
-    return rows.join(districts, "district").join(hazards, "hazard")
+    rows = stable(star.incidents(spark, sf).join(names, "district_id").select("id", "district", F.col("hazard").alias("hazard")))
+    codes = encode.label_positions(rows, ["district", "hazard"])
+    return rows.withColumns({f"{c}_encoded": code for c, code in codes.items()})
 
 
 @query(

@@ -274,13 +274,13 @@ neg AS (SELECT number AS id, district_id, d FROM (SELECT *, row_number() OVER
   WHERE rn <= 2 * (SELECT count(*) FROM inc))"""
 
 
-def negatives(spark, sf):
+def negatives(spark, sf, rows=None):
     """Drawn non-event days with an id, at the district's point."""
-    rows = star.incidents(spark, sf)
-    points = stable(rain.centroids(rows, "district_id", "lon", "lat", "id"))
+    rows = stable(star.incidents(spark, sf).select("id", "district_id", "incident_on", "lon", "lat")) if rows is None else rows
+    points = rain.centroids(rows, "district_id", "lon", "lat", "id")
     positives = rows.select("district_id", F.to_date("incident_on").alias("sample_date"))
     # On the large tables events are so dense that too few (district, day) pairs are free; the ratio says how few.
-    drawn = splits.negative_samples(stable(positives), points, "district_id", "sample_date", allow_fewer=True)
+    drawn = splits.negative_samples(positives, points, "district_id", "sample_date", allow_fewer=True)
     number = F.col("district_id").cast("bigint") * 1_000_000 + F.unix_date("sample_date")
     return drawn.select(number.alias("id"), "district_id", "sample_date", "lon", "lat", "achieved_ratio")
 
@@ -295,10 +295,12 @@ def negatives_with_rain(spark, sf, grid=None):
 
 
 def leadlag(spark, sf):
-    grid = stable(star.rain_grid(spark, sf))
-    return datasets.leadlag_dataset(
-        rain_at_incidents(spark, sf, grid=grid), star.incidents(spark, sf), negatives_with_rain(spark, sf, grid)
-    )
+    """Incidents and drawn days are looked up in the grid together."""
+    rows = stable(star.incidents(spark, sf).select("id", "district_id", "incident_on", "lon", "lat"))
+    drawn = negatives(spark, sf, rows).select("id", "district_id", "sample_date", "lon", "lat", F.lit(0).alias("label"))
+    events = rows.select("id", "district_id", F.to_date("incident_on").alias("sample_date"), "lon", "lat", F.lit(1).alias("label"))
+    samples = stable(events.unionByName(drawn).withColumnRenamed("id", "row_id"))
+    return datasets.leadlag_at(samples, stable(star.rain_grid(spark, sf)), star.GEOMETRY)
 
 
 @query(
