@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType
 
 from ..session import stable
 from .common import components, prepare
@@ -15,16 +15,37 @@ from .common import components, prepare
 LEAST = 0.9
 LEADING = 6  # principal dimensions of the grid
 BLOCK = 2048  # vectors of a sequence interval at the lowest level
+STRIPE = (16, 64)  # blocks of a stripe, at least and at most
 TILE = 512
-SLACK = 1e-9  # for rounding in bounds; the verdict itself is the exact comparison
+SLACK = 1e-9  # for rounding in bounds and in scores of unit vectors
+BORDER = 1 << 15  # pairs near the threshold that are settled at once
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, which changes no cosine, so that no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length 1, scaled first so that no square overflows or vanishes."""
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    """Rows of length 1."""
+    x = _scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _links(ux: np.ndarray, uy: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of x and y have a cosine of at least `least`: by their unit vectors ux, uy, and where those are too close
+    to call, by dot / sqrt(x2 * y2) of the vectors themselves, which other rows have no part in."""
+    score = ux @ uy.T
+    near = score >= least
+    a, b = np.nonzero(np.abs(score - least) <= SLACK)
+    for start in range(0, len(a), BORDER):
+        i, j = a[start : start + BORDER], b[start : start + BORDER]
+        p, q = _scaled(x[i]), _scaled(y[j])
+        squares = np.einsum("ij,ij->i", p, p) * np.einsum("ij,ij->i", q, q)
+        near[i, j] = np.einsum("ij,ij->i", p, q) / np.sqrt(squares) >= least
+    return near
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
 
@@ -34,10 +55,20 @@ def _usable(vectors: DataFrame) -> DataFrame:
     v = F.col("v")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(v.isNotNull() & (F.size(v) > 0)).where(fine & F.exists(v, lambda x: x != 0))
-    plain = F.transform(v, lambda x: x + F.lit(0.0))  # -0.0 and 0.0 are the same number
+    plain = _no_minus_zero(vectors)
     return rows.select("vec_id", plain.alias("v")).groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"))
 
 
+def _no_minus_zero(vectors: DataFrame):
+    """v with 0.0 for -0.0, which is the same number."""
+    zero = F.lit(0.0).cast(vectors.schema["v"].dataType.elementType)
+    return F.transform("v", lambda x: x + zero)
+
+
+def _kind(classes: DataFrame) -> str:
+    return "<f4" if classes.schema["v"].dataType.elementType == FloatType() else "<f8"
+
+
 def _axes(classes: DataFrame, dims: int) -> np.ndarray:
     """Principal axes from second moments of the unit vectors, the leading one first.
 
@@ -60,12 +91,13 @@ def _axes(classes: DataFrame, dims: int) -> np.ndarray:
 
 
 def _blocks(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
-    """Classes in epsilon grid order, cut into blocks: block, members, their coordinates, and the bounds of all.
+    """Classes in epsilon grid order, cut into blocks: block, members, their vectors, and the bounds of all.
 
     The order is by grid cell on the leading principal dimensions, first dimension first; range partitions of it
-    are cut into intervals of at most BLOCK. Coordinates are the unit vectors in principal axes.
+    are cut into intervals of at most BLOCK. Order and bounds are those of the unit vectors in principal axes; `points`
+    are the vectors themselves.
     """
-    spark, dims = classes.sparkSession, len(axes)
+    spark, dims, kind = classes.sparkSession, len(axes), _kind(classes)
     leading = min(LEADING, dims)
     shared = spark.sparkContext.broadcast(axes)
 
@@ -76,7 +108,8 @@ def _blocks(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "first": batch.column("first"), "n": batch.column("n"),
                 "cells": pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), leading).cast(pa.list_(pa.int32())),
-                "along": x[:, 0], "point": [row.tobytes() for row in x],
+                "along": x[:, 0],
+                "point": [row.tobytes() for row in _matrix(batch.column("v"), dims).astype(kind)],
             })
 
     turned = stable(classes.mapInArrow(turn, "first long, n long, cells array<int>, along double, point binary"))
@@ -91,10 +124,11 @@ def _blocks(classes: DataFrame, axes: np.ndarray, eps: float) -> DataFrame:
 
         def emit(rows: list) -> pa.RecordBatch:
             first, n, points = (list(x) for x in zip(*rows))
-            x = np.frombuffer(b"".join(points)).reshape(len(rows), dims)
+            data = b"".join(points)
+            x = _unit(np.frombuffer(data, kind).astype(np.float64).reshape(len(rows), dims)) @ shared.value
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int64()), "k": pa.array([k], pa.int64()), "first": [first], "n": [n],
-                "points": [x.tobytes()], "low": [x.min(axis=0)], "high": [x.max(axis=0)],
+                "points": [data], "low": [x.min(axis=0)], "high": [x.max(axis=0)],
             })
 
         for batch in batches:
@@ -139,50 +173,67 @@ def _near_blocks(blocks: DataFrame, eps: float) -> DataFrame:
     return pairs
 
 
-def _compare(blocks: DataFrame, pairs: DataFrame, dims: int, least: float) -> DataFrame:
+def _compare(blocks: DataFrame, pairs: DataFrame, dims: int, least: float, kind: str) -> DataFrame:
     """Per pair of blocks: for members with a link, how many vectors they link to, and edges that connect what links.
 
-    A pair of blocks gives at most one row per member, so no pairs of vectors leave a task.
+    Runs of neighbouring blocks are stripes. A task compares two stripes and gets each of their blocks once, if a pair
+    needs it: first its list of pairs, then block after block. So a block is sent as often as it has near stripes, not
+    near blocks. A pair of blocks gives at most one row per member, so no pairs of vectors leave a task.
     """
-    at = lambda side: blocks.select(
-        F.col("block").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("first", "n", "points")]
+    count = blocks.agg(F.max("block")).first()[0]
+    stripe = max(STRIPE[0], min(STRIPE[1], int(np.ceil(np.sqrt((count or 0) + 1)))))
+    cells = ((count or 0) // stripe + 1) * ((count or 0) // stripe + 2) // 2
+    striped = pairs.select(F.floor(F.col("i") / stripe).alias("s"), F.floor(F.col("j") / stripe).alias("t"), "i", "j")
+    lists = striped.groupBy("s", "t").agg(F.sort_array(F.collect_list(F.struct("i", "j"))).alias("pairs"))  # at most stripe ** 2
+    needed = striped.select("s", "t", F.explode(F.array("i", "j")).alias("block")).distinct()
+    fields = {"first": "array<bigint>", "n": "array<bigint>", "points": "binary"}
+    sent = needed.join(blocks.select("block", *fields), "block").select(
+        "s", "t", "block", *fields, F.lit(None).cast("array<struct<i:bigint,j:bigint>>").alias("pairs")
     )
-    work = pairs.join(at("i"), "i").join(at("j"), "j")
+    head = lists.select("s", "t", F.lit(-1).cast("bigint").alias("block"), *[F.lit(None).cast(k).alias(c) for c, k in fields.items()], "pairs")
+    work = sent.unionByName(head).repartition(min(cells, 4096), "s", "t").sortWithinPartitions("s", "t", "block")
+
+    def links_of(i: tuple, j: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+        (fx, nx, x, ux), (fy, ny, y, uy) = i, j
+        links = [np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)]
+        edges = []
+        for start in range(0, len(x), TILE):
+            near = _links(ux[start : start + TILE], uy, x[start : start + TILE], y, least)
+            if same:
+                r = np.arange(len(near))
+                near[r, start + r] = False
+            a, b = np.nonzero(near)
+            if not len(a):
+                continue
+            np.add.at(links[0], a + start, ny[b])
+            if not same:
+                np.add.at(links[1], b, nx[a + start])
+            edges.append(_spanning(a + start, b + (0 if same else len(x))))
+        if edges:
+            ids = np.concatenate((fx, fy))
+            a, b = _spanning(*np.concatenate(edges, axis=1))
+            yield pa.RecordBatch.from_pydict({"a": ids[a], "b": ids[b], "links": np.zeros(len(a), dtype=np.int64)})
+            for f, n in zip((fx, fy), links):
+                got = np.flatnonzero(n)
+                yield pa.RecordBatch.from_pydict({"a": f[got], "b": f[got], "links": n[got]})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}
+        wanted: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                x, y = (np.frombuffer(row[f"points_{s}"]).reshape(-1, dims) for s in "ij")
-                same = row["i"] == row["j"]
-                weight = [np.array(row[f"n_{s}"], dtype=np.int64) for s in "ij"]
-                first = [np.array(row[f"first_{s}"], dtype=np.int64) for s in "ij"]
-                links = [np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64)]
-                edges = []
-                for start in range(0, len(x), TILE):
-                    near = x[start : start + TILE] @ y.T >= least
-                    if same:
-                        r = np.arange(len(near))
-                        near[r, start + r] = False
-                    a, b = np.nonzero(near)
-                    if not len(a):
-                        continue
-                    np.add.at(links[0], a + start, weight[1][b])
-                    if not same:
-                        np.add.at(links[1], b, weight[0][a + start])
-                    edges.append(_spanning(a + start, b + (0 if same else len(x))))
-                ids = np.concatenate(first)
-                if edges:
-                    joined = np.concatenate(edges, axis=1)
-                    a, b = _spanning(*joined)
-                    yield pa.RecordBatch.from_pydict({
-                        "a": ids[a], "b": ids[b], "links": np.zeros(len(a), dtype=np.int64),
-                    })
-                    for f, n in zip(first, links):
-                        got = np.flatnonzero(n)
-                        yield pa.RecordBatch.from_pydict({"a": f[got], "b": f[got], "links": n[got]})
-
-    columns = ["i", "j", *[f"{c}_{s}" for s in "ij" for c in ("first", "n", "points")]]
-    return work.select(*columns).mapInArrow(compare, "a long, b long, links long")
+                if row["block"] < 0:
+                    held, wanted = {}, row["pairs"]
+                    continue
+                x = np.frombuffer(row["points"], kind).astype(np.float64).reshape(-1, dims)
+                new = row["block"]
+                held[new] = (np.array(row["first"], dtype=np.int64), np.array(row["n"], dtype=np.int64), x, _unit(x))
+                # Blocks come in order, so a pair is complete with its larger block.
+                for pair in wanted:
+                    if pair["j"] == new:
+                        yield from links_of(held[pair["i"]], held[new], pair["i"] == new)
+
+    return work.mapInArrow(compare, "a long, b long, links long")
 
 
 def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,7 +265,9 @@ def link_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     rows share is compared once. Vectors of different lengths never link. An empty table gives no rows.
     """
     spark = prepare(vectors.sparkSession)
-    rows = stable(vectors.select("vec_id", F.col("embedding").cast(ArrayType(DoubleType())).alias("v")))
+    given = vectors.schema["embedding"].dataType
+    exact = given if given == ArrayType(FloatType(), given.containsNull) else ArrayType(DoubleType())
+    rows = stable(vectors.select("vec_id", F.col("embedding").cast(exact).alias("v")))
     classes = stable(_usable(rows.where("vec_id is not null")))
     sizes = sorted(r[0] for r in classes.select(F.size("v")).distinct().collect())
     eps = float(np.sqrt(2 - 2 * least))
@@ -222,7 +275,7 @@ def link_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     for dims in sizes:
         same = classes.where(F.size("v") == dims)
         blocks = _blocks(same, _axes(same, dims), eps)
-        part = _compare(blocks, _near_blocks(blocks, eps), dims, least)
+        part = _compare(blocks, _near_blocks(blocks, eps), dims, least, _kind(same))
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "a long, b long, links long")
@@ -231,8 +284,7 @@ def link_vectors(vectors: DataFrame, least: float = LEAST) -> DataFrame:
     links = found.where("a = b").groupBy(F.col("a").alias("first")).agg(F.sum("links").alias("links"))
     told = classes.join(links, "first", "left").join(roots.withColumnRenamed("node", "first"), "first", "left")
     told = stable(told.select("v", "first", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "first").alias("root")))
-    plain = F.transform("v", lambda x: x + F.lit(0.0))
-    keyed_rows = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), plain).alias("v"))
+    keyed_rows = rows.select("vec_id", F.when(F.col("vec_id").isNotNull(), _no_minus_zero(rows)).alias("v"))
     joined = keyed_rows.join(told, "v", "left")
     return joined.select(
         "vec_id",
