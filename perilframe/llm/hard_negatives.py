@@ -15,10 +15,11 @@ from .common import keyed, prepare
 SAMPLE = 20_000  # vectors that the codebooks are fitted on, at most
 CODES = 128  # codewords of a half space, at most
 CELL_ROWS = 256  # vectors of a cell, about, while the codebooks may still grow
-PART_ROWS = 16_384  # vectors of the consecutive cells that one request asks for, about
+PART_ROWS = 4096  # vectors of the consecutive cells that one request asks for, about
 BLOCK = 4096  # vectors compared at once
 CHUNK = 256  # anchors compared at once, about
 PROBE = 4096  # vectors that an anchor looks at before it knows where to stop
+HELD = 50_000  # lists of best scores that a task keeps, before it hands them on
 
 
 def _ints(column: pa.Array, dims: int) -> np.ndarray:
@@ -209,8 +210,8 @@ def _ask(asking: DataFrame, cells: Cells, parts: np.ndarray, probing: bool, chun
 def _answer(blocks: DataFrame, asks: DataFrame, dims: int, take: int, same: bool) -> DataFrame:
     """(a, slot, score, vec_id): per anchor and window, the best `take` members of every block that were asked for.
 
-    Only the asks and the blocks are shuffled, by part; their pairs are compared where they meet. Scores are exact: in
-    doubles where no sum can leave their integers, else in long integers.
+    Only the asks and the blocks are shuffled, by part; their pairs are compared where they meet, and a task merges the
+    lists of its blocks. Scores are exact: in doubles where no sum can leave their integers, else in long integers.
     """
 
     def best(score: np.ndarray, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -219,7 +220,15 @@ def _answer(blocks: DataFrame, asks: DataFrame, dims: int, take: int, same: bool
             at = at[score[at] >= last]
         return at[np.lexsort((ids[at], -score[at]))[:take]]
 
+    def lists(held: dict[tuple, list]) -> pa.RecordBatch:
+        rows = [(a, slot, -score, i) for (a, slot), best in held.items() for score, i in sorted(best)[:take]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))],
+            names=["a", "slot", "score", "vec_id"],
+        )
+
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 x = np.frombuffer(row["points"], dtype="<i4").reshape(-1, dims)
@@ -230,20 +239,23 @@ def _answer(blocks: DataFrame, asks: DataFrame, dims: int, take: int, same: bool
                 ids, labels = np.array(row["ids"]), np.array(row["labels"])
                 names, cell = np.unique(np.array(row["cells"]), return_inverse=True)
                 own = np.array(row["owns"])
-                out: list[tuple] = []
                 for r, score in zip(row["asks"], scores):
                     seen = np.isin(names, r["cells"])[cell] & ((labels == r["label"]) == same)
                     if same:
                         me = np.flatnonzero(own & (ids == r["vec_id"]) & (labels == r["label"]))
                         seen[[i for i in me if x[i].tobytes() == r["point"]]] = False
                     for w in r["windows"]:
-                        for i in best(score, ids, np.flatnonzero(seen & (score >= w["least"]) & (score <= w["high"]))):
-                            out.append((r["a"], w["slot"], int(score[i]), int(ids[i])))
-                if out:
-                    a, slot, score, vec_id = (list(c) for c in zip(*out))
-                    yield pa.RecordBatch.from_pydict({
-                        "a": a, "slot": pa.array(slot, pa.int32()), "score": score, "vec_id": vec_id,
-                    })
+                        at = best(score, ids, np.flatnonzero(seen & (score >= w["least"]) & (score <= w["high"])))
+                        if len(at):
+                            some = held.setdefault((r["a"], w["slot"]), [])
+                            some.extend(zip((-score[at]).tolist(), ids[at].tolist()))
+                            if len(some) > 8 * take:
+                                some[:] = sorted(some)[:take]
+                if len(held) > HELD:
+                    yield lists(held)
+                    held = {}
+        if held:
+            yield lists(held)
 
     pairs = blocks.join(asks, "part").select("cells", "ids", "labels", "owns", "points", "asks")
     return pairs.mapInArrow(answer, "a long, slot int, score long, vec_id long")

@@ -140,6 +140,7 @@ def test_hard_negatives(spark):
 def test_hard_negatives_in_small_cells(spark, monkeypatch):
     for name, size in dict(CELL_ROWS=4, PART_ROWS=40, BLOCK=16, CHUNK=5, PROBE=20).items():
         monkeypatch.setattr(hard_negatives, name, size)
+    monkeypatch.setattr(hard_negatives, "HELD", 7)
     rows = vectors(2, 300, 7)
     got = hard_negatives.mine(frame(spark, rows), F.col("vec_id") % 10 == 0, 3, 4)
     assert fixtures.counted(got.collect()) == mined(rows, lambda i: i % 10 == 0, 3, 4)
