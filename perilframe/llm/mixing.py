@@ -208,5 +208,6 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     docs = filed(docs)
     names = plain_names(docs)
     times = stable(_whole_picks(_placed(docs, seed, BLOCK)))
-    held = keyed(docs, **{c: F.col(f"`{n}`") for c, n in names.items()}).join(times, "row")
+    # Most rows stay, so their keys are as many as the documents: never a side to broadcast.
+    held = keyed(docs, **{c: F.col(f"`{n}`") for c, n in names.items()}).join(times.hint("merge"), "row")
     return restore(held.select(*names, F.explode(F.sequence(F.lit(1), "times"))), names)
