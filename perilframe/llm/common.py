@@ -17,7 +17,7 @@ from ..session import configure, stable
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 BATCH_ROWS = 1024
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def prepare(spark: SparkSession) -> SparkSession:

@@ -68,18 +68,41 @@ class SuffixAutomaton:
                         follow[p][code] = copy
                         p = link[p]
             last = current
-        self.width = len(letters) + 1
-        edges = sorted((state * self.width + code, to) for state, ways in enumerate(follow) for code, to in ways.items())
-        self.keys = np.array([k for k, _ in edges], dtype=np.int64)
-        self.targets = np.array([to for _, to in edges], dtype=np.int32)
+        width = len(letters) + 1
+        edges = sorted((state * width + code, to) for state, ways in enumerate(follow) for code, to in ways.items())
+        self._set(np.array([k for k, _ in edges], dtype=np.int64), np.array([to for _, to in edges], dtype=np.int32), width, len(follow))
+
+    def _set(self, keys: np.ndarray, targets: np.ndarray, width: int, states: int) -> None:
+        self.keys, self.targets, self.width, self.states = keys, targets, width, states
+        # Where each state's transitions begin; most states have one, which needs no search.
+        self.begin = np.searchsorted(keys, np.arange(states + 1, dtype=np.int64) * width).astype(np.int32)
+        self.ways = np.diff(self.begin)
+        self.first = np.append(keys % width, -1).astype(np.int32)
+        self.leads = np.append(targets, 0).astype(np.int32)
+        self.root = np.zeros(width, dtype=np.int64)
+        here = slice(self.begin[1], self.begin[2])
+        self.root[keys[here] % width] = targets[here]
+
+    def plain(self) -> tuple:
+        return self.keys, self.targets, self.width, self.states
+
+    @classmethod
+    def of(cls, plain: tuple) -> SuffixAutomaton:
+        made = cls.__new__(cls)
+        made._set(*plain)
+        return made
 
     def next(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The states reached, 0 where there is no transition."""
-        if not len(self.keys):
-            return np.zeros(len(code), dtype=np.int64)
-        key = state * self.width + code
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.targets[at], 0).astype(np.int64)
+        at, ways = self.begin[state], self.ways[state]
+        hit = (self.first[at] == code) & (ways > 0)
+        out = np.where(hit, self.leads[at], 0).astype(np.int64)
+        more = np.flatnonzero(~hit & (ways > 1))
+        if len(more):
+            key = state[more] * self.width + code[more]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[more] = np.where(self.keys[place] == key, self.targets[place], 0)
+        return out
 
     def phrases(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """How many longest matches each row of codes parses into; a letter without a match is a phrase."""
@@ -93,7 +116,7 @@ class SuffixAutomaton:
             after = self.next(state[live], code)
             broken = after == 0
             count[live] += broken & (state[live] != 1)
-            again = self.next(np.ones(len(code), dtype=np.int64), code)
+            again = self.root[code]
             state[live] = np.where(broken, np.where(again == 0, 1, again), after)
             # A letter unknown to the language is a phrase of its own, and the next one starts anew.
             count[live[broken & (again == 0)]] += 1
@@ -118,17 +141,13 @@ class Languages:
 
     def plain(self) -> tuple:
         """All that was learned in plain values, for workers that know no class of this library."""
-        return self.names, self.letters, self.scale, self.limit, [(a.keys, a.targets, a.width) for a in self.automata]
+        return self.names, self.letters, self.scale, self.limit, [a.plain() for a in self.automata]
 
     @classmethod
     def of(cls, plain: tuple) -> Languages:
         made = cls.__new__(cls)
         made.names, made.letters, made.scale, made.limit, tables = plain
-        made.automata = []
-        for keys, targets, width in tables:
-            automaton = SuffixAutomaton.__new__(SuffixAutomaton)
-            automaton.keys, automaton.targets, automaton.width = keys, targets, width
-            made.automata.append(automaton)
+        made.automata = [SuffixAutomaton.of(t) for t in tables]
         made._forget()
         return made
 
