@@ -26,7 +26,8 @@ def classes(docs: DataFrame) -> DataFrame:
     Rows are grouped by a 128-bit content hash; of a group the row with the most code points stays, then the
     smallest doc_id (null last), then the first row. Members' bytes are compared with those of the
     row that stays; should some differ (a hash collision), these rows are grouped by their text itself, by
-    the same rule. Null text counts as empty. Repeated rows are equal texts; one of them stays.
+    the same rule. Null text counts as empty. Repeated rows are equal texts; one of them stays. A very long text is one
+    value like any other; an empty table gives no rows.
 
     The hash groups shuffle a few numbers per row, combined map-side. Texts are shuffled for groups of more than
     one row alone, and the joins read written tables, so AQE splits a group that holds a third of all rows.

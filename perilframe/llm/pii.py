@@ -157,7 +157,8 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep columns, n_email, n_ip, n_card, n_phone, base_sha256, spans and found (kind, start, end, score).
 
     Whole texts are searched, one row per input row; null text counts as empty. Repeated rows and null ids are
-    searched like others; extra columns are left out. Each pattern is linear in the text, however long.
+    searched like others; extra columns are left out, an empty table gives no rows. Spans that start together go by the
+    order of their kinds. Each pattern is linear in the text, however long.
     """
     prepare(docs.sparkSession)
 

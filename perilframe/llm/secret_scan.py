@@ -127,8 +127,8 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     Base spans are matches of the three patterns; linked spans are the weak parts of credentials that
     complementary parts near them or in their block of lines complete. Null text counts as empty: no spans. Repeated rows and rows with
-    null ids are scanned one by one; extra columns are left out. Texts are read once and do not move; only
-    matches are shuffled.
+    null ids are scanned one by one; extra columns are left out, an empty table gives no rows. Spans that start together go
+    by the order of their kinds. Texts, very long ones too, are read once and do not move; only matches are shuffled.
     """
     prepare(docs.sparkSession)
     found = _found(docs)

@@ -206,7 +206,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int, keep: tuple[s
 
     A null text counts as empty (0 bytes, 0 tokens). The vocabulary's special strings inside a text count as
     one token each. Repeated rows, ties, null ids and extra columns do not matter: every row is counted alone.
-    Long texts are taken block by block; nothing is truncated.
+    Long texts are taken block by block; nothing is truncated. An empty table gives no rows.
     """
 
     def work():
