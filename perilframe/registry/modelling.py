@@ -97,9 +97,18 @@ def score_hazard(spark, sf):
     return scored.withColumn("sample_date", F.col("sample_date").cast("string"))
 
 
+def _default(spark, sf):
+    return _once("default", spark, sf, lambda: models.fit_default_boosting(_training(spark, sf)))
+
+
 @query("gbt_default")
 def gbt_default(spark, sf):
-    return models.result_table(spark, [models.fit_default_boosting(_training(spark, sf))])
+    return models.result_table(spark, [_default(spark, sf)])
+
+
+@query("default_importance")
+def default_importance(spark, sf):
+    return models.importance_table(spark, _default(spark, sf))
 
 
 @query("lr_rain")
@@ -183,10 +192,23 @@ def loss_importance(spark, sf):
     return reduce(DataFrame.unionByName, [models.importance_table(spark, r) for r in _loss_runs(spark, sf)])
 
 
+def _tiers(spark, sf):
+    def fit():
+        data, dropped = models.with_rain(stable(losses(spark, sf)))
+        return _told([models.fit_tiers(data)], dropped)
+
+    return _once("tiers", spark, sf, fit)
+
+
 @query("tier_model")
 def tier_model(spark, sf):
-    data, dropped = models.with_rain(stable(losses(spark, sf)))
-    return models.result_table(spark, _told([models.fit_tiers(data)], dropped))
+    return models.result_table(spark, _tiers(spark, sf))
+
+
+@query("tier_importance")
+def tier_importance(spark, sf):
+    """The mean over the three one-against-the-rest models."""
+    return models.importance_table(spark, _tiers(spark, sf)[0])
 
 
 @query(
