@@ -165,8 +165,8 @@ def groups(docs: DataFrame, size: int = SHINGLE, most: int = MOST_BITS, dense_ce
 
     Rows with equal fingerprints are one fingerprint; fingerprints within `most` bits link, and everything
     reachable is a group, named by its smallest doc_id (null last) and that row. Texts without words (null, empty)
-    have fingerprint 0 and link like any other. Repeated rows fall into the same group. Only distinct
-    fingerprints are joined and connected.
+    have fingerprint 0 and link like any other. Repeated rows fall into the same group. Very long texts are hashed whole, by
+    one task each; an empty table gives no rows; extra columns are left out. Only distinct fingerprints are joined and connected.
     """
     prepare(docs.sparkSession)
     rows = stable(fingerprints(keyed(docs, doc_id="doc_id", text="text"), ("row", "doc_id"), size))
