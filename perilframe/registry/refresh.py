@@ -176,7 +176,7 @@ def sketch_distinct(spark, sf):
 def dq_incremental(spark, sf):
     """The incident checks over three batches, the second one replayed; ids repeat inside batches and between them."""
     rows, rules, path = stable(_dq_table(spark, sf)), quality.incident_rules(DQ_AS_OF), scratch_path(spark, "checks")
-    quality_state.start(rows, path, rules)
+    quality_state.start(rows, path, rules, buckets=8)
     for batch_id in (0, 1, 1, 2):
         quality_state.add(rows.where(F.pmod("event_id", F.lit(3)) == batch_id), path, rules, batch_id)
     return quality_state.report(spark, path).withColumn("fraction", F.round("fraction", 6))
