@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V, schema
 from ..session import stable
+from ..sources import versions
 from . import rain
 from .rain import CELL, Geometry
 from .upsert import collapse, update_only, upsert
@@ -69,8 +70,30 @@ class Landing:
 
 
 def land(grid: DataFrame, arrived: DataFrame) -> Landing:
+    """The landing upon a grid as it is read. The new grid is not written: a lookup reads the days it reaches, and patches them."""
     pixels = stable(newest_pixels(arrived))
-    return Landing(stable(merged_grid(grid, pixels)), stable(changed_pixels(grid, pixels)), stable(new_days(grid, pixels)))
+    return Landing(merged_grid(grid, pixels), stable(changed_pixels(grid, pixels)), stable(new_days(grid, pixels)))
+
+
+DAYS_OF_BUCKET = 32
+
+
+def store_grid(grid: DataFrame, path: str) -> None:
+    """The grid as a versioned table (`sources.versions`) in buckets of neighbouring days."""
+    days = f"cast(floor(unix_date(`date`) / {DAYS_OF_BUCKET}) as bigint)"
+    versions.create(grid.select(*PIXEL, "precip_mm"), path, PIXEL, days)
+
+
+def land_stored(spark: SparkSession, path: str, arrived: DataFrame) -> Landing:
+    """The landing upon a stored grid: only buckets with a landed day are read, and only those with a changed pixel are written.
+
+    A bucket holds whole days, so it also tells which landed days had no image.
+    """
+    pixels = stable(newest_pixels(arrived))
+    held = versions.read_buckets_of(spark, path, pixels.select(*PIXEL))
+    changed, opened = stable(changed_pixels(held, pixels)), stable(new_days(held, pixels))
+    versions.patch(spark, path, changed)
+    return Landing(versions.read(spark, path), changed, opened)
 
 
 def _touched_samples(samples: DataFrame, landing: Landing, geometry: Geometry, day: str, gate: int) -> tuple[DataFrame, DataFrame]:

@@ -59,11 +59,12 @@ def _first_rain(spark, sf, samples, grid):
       rain_1d, rain_3d, rain_7d, rain_peak_7d FROM incrain""",
 )
 def late_rain_refresh(spark, sf):
-    """Rain at incidents from a grid with holes and errors, refreshed when pixels land weeks late: as if they had been there."""
+    """Rain at incidents from a stored grid with holes and errors, refreshed when pixels land weeks late: as if they had been there."""
     grid, arrived = _landings(spark, sf)
-    samples = stable(star.samples(spark, sf))
+    samples, path = stable(star.samples(spark, sf)), scratch_path(spark, "grid")
+    late_rain.store_grid(grid, path)
     stored = stable(_first_rain(spark, sf, samples, grid))
-    done, _ = late_rain.refresh_incident_rain(stored, samples, late_rain.land(grid, arrived), star.GEOMETRY, AT)
+    done, _ = late_rain.refresh_incident_rain(stored, samples, late_rain.land_stored(spark, path, arrived), star.GEOMETRY, AT)
     return done.select("incident_id", day_text("incident_date").alias("incident_date"), *V.RAIN_ALL)
 
 

@@ -64,6 +64,24 @@ def test_late_pixels_reach_every_table(spark):
     assert 0 < len(touched) < len(keys)
 
 
+def test_a_landing_rewrites_only_its_days(spark, tmp_path):
+    path = str(tmp_path / "grid")
+    first = [(x, 0, d(n), 1.0) for x in range(3) for n in range(1, 200) if n != 150]
+    late_rain.store_grid(spark.createDataFrame(first, schema.RAIN_GRID), path)
+    before = versions.manifest(spark, path)
+    rows = [(0, 0, d(150), 4.0, 1), (1, 0, d(149), 2.0, 1), (1, 0, d(149), 3.0, 2), (2, 0, d(3), 1.0, 2), (2, 0, d(4), 9.0, None)]
+    arrived = spark.createDataFrame(rows, f"{schema.RAIN_GRID}, landed_at int")
+    landing = late_rain.land_stored(spark, path, arrived)
+    assert rows_of(landing.changed) == rows_of(spark.createDataFrame([(0, 0, d(150), 4.0), (1, 0, d(149), 3.0), (2, 0, d(4), 9.0)], schema.RAIN_GRID))
+    assert [r["date"] for r in landing.opened.collect()] == [d(150)]
+    want = {(*p[:3],): p[3] for p in first} | {(0, 0, d(150)): 4.0, (1, 0, d(149)): 3.0, (2, 0, d(4)): 9.0}
+    assert {(r["cell_x"], r["cell_y"], r["date"]): r["precip_mm"] for r in landing.grid.collect()} == want
+    after = versions.manifest(spark, path)
+    assert 0 < sum(after.folders[b] != before.folders.get(b) for b in after.folders) <= 3 < len(after.folders)
+    plain = late_rain.land(spark.createDataFrame(first, schema.RAIN_GRID), arrived)
+    assert rows_of(plain.grid) == rows_of(landing.grid.select(*plain.grid.columns)) and rows_of(plain.opened) == rows_of(landing.opened)
+
+
 def counts_frame(spark, cells):
     return spark.createDataFrame([(*k, n) for k, n in cells.items()], "district string, hazard string, year int, month int, incident_count bigint")
 
