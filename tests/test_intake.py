@@ -15,7 +15,7 @@ def records(spark, *objects):
 
 @pytest.mark.parametrize(
     "loss,expected",
-    [(None, None), (464323, 464323), ({"id": 464323, "deaths": 0}, 464323), ({"deaths": 0}, None)],
+    [(None, None), (70112, 70112), ({"id": 70112, "peopleInjuredCount": 4}, 70112), ({"peopleInjuredCount": 4}, None)],
 )
 def test_loss_id(spark, loss, expected):
     assert landed.flatten(records(spark, {"id": 1, "loss": loss})).first()["loss_id"] == expected
@@ -25,7 +25,7 @@ def test_loss_id_absent(spark):
     assert landed.flatten(records(spark, {"id": 1})).first()["loss_id"] is None
 
 
-@pytest.mark.parametrize("hazard,expected", [(17, 17), ({"id": 17, "title": "Landslide"}, 17), (None, None)])
+@pytest.mark.parametrize("hazard,expected", [(23, 23), ({"id": 23, "title": "Hailstorm"}, 23), (None, None)])
 def test_hazard_id(spark, hazard, expected):
     assert landed.flatten(records(spark, {"id": 1, "hazard": hazard})).first()["hazard_id"] == expected
 
@@ -55,10 +55,10 @@ def ids(df):
 
 def test_pages_stop_before_first_empty_page(spark):
     got = landed.page_records(pages(
-        spark, {"results": [{"id": 1}, {"id": 2}], "next": "page2"}, {"results": [{"id": 3}], "next": "page3"},
-        {"results": [], "next": "page4"}, {"results": [{"id": 9}], "next": "page5"},
+        spark, {"results": [{"id": 41}, {"id": 58}, {"id": 60}], "next": "b"}, {"results": [{"id": 77}], "next": "c"},
+        {"results": [], "next": "d"}, {"results": [{"id": 90}], "next": "e"},
     ))
-    assert ids(got) == [1, 2, 3]
+    assert ids(got) == [41, 58, 60, 77]
 
 
 def test_pages_stop_after_missing_next(spark):
