@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -70,8 +71,51 @@ def _halves(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return splits.halves(marked)
 
 
-def classify(name, train, test, features, label, params, seed=V.SEED) -> Run:
-    """Boosted trees with all features tried at each split."""
+# A train half of up to twice FEW_ROWS rows is fitted as it is; of a larger one, equal rows are folded into at least LEAST_PARTS rows with a weight.
+FEW_ROWS, LEAST_PARTS = 500_000, 8
+
+
+def folded(
+    train: DataFrame, features: list[str], label: str, row_id: str, params: dict, averaged: bool = False
+) -> tuple[DataFrame, dict]:
+    """(train half, tree settings) for the same trees from fewer rows, where rows with equal features and label are many.
+
+    Rain is known per pixel and day and the other features are codes, so a large half has far more rows than combinations. Such rows
+    follow the same path in every tree and have the same gradient: one row that weighs as much gives the same splits and leaves, and the fewest
+    rows of a leaf become the least weight. As boosting draws rows at random, a combination stays in several parts (by the hash of the row's id),
+    of which each round draws some; without drawing it is one part. With `averaged` (squared error) only the features need be equal: the label
+    is then the part's mean, as what labels vary inside it is the same for every split. A half whose rows a fold would not halve stays as it is.
+    """
+    rows = train.count()
+    least = params.get("minInstancesPerNode", 1)
+    if rows <= max(2 * FEW_ROWS, 2 * least):
+        return train, params
+    same = features if averaged else [*features, label]
+    combinations = train.select(*same).distinct().count()
+    parts = 1 if params.get("subsamplingRate", 1.0) == 1.0 else max(LEAST_PARTS, FEW_ROWS // combinations)
+    if 2 * combinations * parts > rows:
+        return train, params
+    # Summed as decimals, so that the mean does not depend on the order in which partial sums arrive; a missing label stays one.
+    total, n = F.sum(F.col(label).cast("decimal(20,15)")).cast("double"), F.count("*")
+    mean = [F.when(F.count(label) == n, total / n).alias(label)] if averaged else []
+    part = F.pmod(F.xxhash64(row_id), F.lit(parts)).alias("part")
+    weighed = train.groupBy(*same, part).agg(*mean, n.cast("double").alias("weight"))
+    settings = {**params, "weightCol": "weight", "minInstancesPerNode": 1}
+    if least > 1:  # weights are whole numbers: half a row less excludes no leaf of `least` rows by rounding
+        settings["minWeightFractionPerNode"] = (least - 0.5) / rows
+    return stable(weighed, [*same, "part"]).drop("part"), settings
+
+
+def _together(fits: list[Callable[[], Run]]) -> list[Run]:
+    """Independent fits side by side: a round of boosting is many short jobs, which leave cores idle."""
+    with ThreadPoolExecutor(len(fits)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(fit)) for fit in fits]]
+
+
+def classify(name, train, test, features, label, params, seed=V.SEED, row_id: str | None = None) -> Run:
+    """Boosted trees with all features tried at each split. With `row_id`, equal rows of a large train half are folded."""
+    if row_id is not None:
+        train, params = folded(train, features, label, row_id, params)
     trees = GBTClassifier(labelCol=label, featuresCol="features", featureSubsetStrategy="all", seed=seed, **params)
     model = Pipeline(stages=[_vector(features), trees]).fit(train)
     return Run(name, model, features, metrics.classification_metrics(stable(_scored(model, test, label))))
@@ -126,13 +170,13 @@ def score_counts(model: PipelineModel, features: DataFrame) -> DataFrame:
 def fit_leadlag(training: DataFrame, params=None) -> Run:
     """Boosting on rain, month and district; the most recent share of days is held out."""
     train, test = _halves(stable(splits.mark_recent_dates(training, "sample_date"), ["row_id", "label"]))
-    return classify("leadlag", train, test, V.LEADLAG_FEATURES, "label", params or V.GBT_LEADLAG)
+    return classify("leadlag", train, test, V.LEADLAG_FEATURES, "label", params or V.GBT_LEADLAG, row_id="row_id")
 
 
 def fit_default_boosting(training: DataFrame, params=None) -> Run:
     """Untuned boosting on the stratified random split."""
     train, test = _halves(stable(splits.mark_stratified(training, "label", "row_id"), ["row_id", "label"]))
-    return classify("gbt_default", train, test, V.LEADLAG_FEATURES, "label", params or V.GBT_DEFAULT)
+    return classify("gbt_default", train, test, V.LEADLAG_FEATURES, "label", params or V.GBT_DEFAULT, row_id="row_id")
 
 
 def score_hazard(model: PipelineModel, requests: DataFrame) -> DataFrame:
@@ -255,17 +299,18 @@ def fit_severity(dataset: DataFrame, params=None, tautology_rate: float = V.TAUT
     train, test = _halves(marked)
     sure = profile.tautological(marked if rate_from == "all" else train, train, "hazard_id", "casualty", tautology_rate)
     hard_train, hard_test = (stable(profile.drop_groups(d, sure, "hazard_id")) for d in (train, test))
-    hard = classify(V.HARD_RUN, hard_train, hard_test, V.SEVERITY_FEATURES, "casualty", params)
+    fit = lambda *of: lambda: classify(*of, "casualty", params, row_id="incident_id")
+    baseline, full, hard = _together([
+        fit(V.BASELINE_RUN, train, test, ["hazard_id"]),
+        fit(V.FULL_RUN, train, test, V.SEVERITY_FEATURES),
+        fit(V.HARD_RUN, hard_train, hard_test, V.SEVERITY_FEATURES),
+    ])
     rows = [d.agg(F.count("*").alias("n"), F.avg("casualty").alias("rate")).first() for d in (train, test, hard_train, hard_test)]
     hard.values.update({
         "removed_train": float(rows[0]["n"] - rows[2]["n"]), "removed_test": float(rows[1]["n"] - rows[3]["n"]),
         "test_positive_rate": rows[3]["rate"],
     })
-    return [
-        classify(V.BASELINE_RUN, train, test, ["hazard_id"], "casualty", params),
-        classify(V.FULL_RUN, train, test, V.SEVERITY_FEATURES, "casualty", params),
-        hard,
-    ]
+    return [baseline, full, hard]
 
 
 # --- loss ----------------------------------------------------------------
@@ -276,6 +321,7 @@ def _loss_halves(dataset: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _regress(name, train, test, features, params) -> Run:
+    train, params = folded(train, features, "log_loss", "incident_id", params, averaged=True)
     trees = GBTRegressor(labelCol="log_loss", featuresCol="features", featureSubsetStrategy="all", seed=V.SEED, **params)
     model = Pipeline(stages=[_vector(features), trees]).fit(train)
     scored = stable(model.transform(test).select("estimated_loss", F.col("log_loss").alias("actual"), F.col("prediction").alias("predicted")))
@@ -287,10 +333,8 @@ def _regress(name, train, test, features, params) -> Run:
 def fit_loss(dataset: DataFrame, params=None) -> list[Run]:
     params = params or V.GBT_LOSS
     train, test = _loss_halves(dataset)
-    return [
-        _regress(V.BASELINE_RUN, train, test, ["hazard_id"], params),
-        _regress(V.FULL_RUN, train, test, V.SEVERITY_FEATURES, params),
-    ]
+    fit = lambda *of: lambda: _regress(*of, params)
+    return _together([fit(V.BASELINE_RUN, train, test, ["hazard_id"]), fit(V.FULL_RUN, train, test, V.SEVERITY_FEATURES)])
 
 
 def tier_table(marked: DataFrame, edges: list[float]) -> DataFrame:
@@ -306,10 +350,11 @@ def fit_tiers(dataset: DataFrame, params=None) -> Run:
     train, test = _loss_halves(dataset)
     edges = order_stats.quantiles(train, "log_loss", [1 / 3, 2 / 3])
     train, test = (d.withColumn("tier", S.tier("log_loss", edges).cast("double")) for d in (train, test))
-    trees = GBTClassifier(featureSubsetStrategy="all", seed=V.SEED, **(params or V.GBT_LOSS))
-    model = Pipeline(
-        stages=[_vector(V.SEVERITY_FEATURES), OneVsRest(classifier=trees, labelCol="tier", featuresCol="features")]
-    ).fit(stable(train, ["incident_id"]))
+    train, params = folded(stable(train, ["incident_id"]), V.SEVERITY_FEATURES, "tier", "incident_id", params or V.GBT_LOSS)
+    trees = GBTClassifier(featureSubsetStrategy="all", seed=V.SEED, **params)
+    weight = {"weightCol": params["weightCol"]} if "weightCol" in params else {}
+    rest = OneVsRest(classifier=trees, labelCol="tier", featuresCol="features", parallelism=3, **weight)
+    model = Pipeline(stages=[_vector(V.SEVERITY_FEATURES), rest]).fit(train)
     scored = stable(model.transform(test).select(F.col("tier").alias("actual"), F.col("prediction").alias("predicted")))
     flat = metrics.multiclass_metrics(scored).first()
     return Run(V.TIER_RUN, model, V.SEVERITY_FEATURES, {

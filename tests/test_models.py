@@ -135,6 +135,54 @@ def test_severity_loss_and_tiers(spark, training, tmp_path):
     assert hard["removed_train"] + hard["removed_test"] == 375 and 0 < hard["test_positive_rate"] < 1
 
 
+def _many_equal(spark, n=6000):
+    rng = random.Random(5)
+    rows = []
+    for i in range(n):
+        a, b = rng.randrange(6), rng.randrange(4)
+        rows.append((i, float(a), b, int(rng.random() < (a + b) / 9), a * 1.5 + b + rng.random()))
+    return spark.createDataFrame(rows, "row_id bigint, a double, b int, label int, log_loss double")
+
+
+@pytest.mark.parametrize("least", [1, 40])
+def test_a_fold_of_equal_rows_gives_the_same_trees(spark, monkeypatch, least):
+    """24 combinations of features in 6,000 rows: the weighted rows are few, and their trees score as those of all rows."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    data = models.stable(_many_equal(spark), ["row_id"])
+    settings = {"maxIter": 8, "maxDepth": 4, "stepSize": 0.3, "minInstancesPerNode": least}
+    assert models.folded(data, ["a", "b"], "label", "row_id", settings)[0] is data  # not large
+    monkeypatch.setattr(models, "FEW_ROWS", 100)
+    for kind, label, averaged in ((GBTClassifier, "label", False), (GBTRegressor, "log_loss", True)):
+        few, weighed = models.folded(data, ["a", "b"], label, "row_id", settings, averaged)
+        assert few.count() <= 48 and few.agg(F.sum("weight")).first()[0] == 6000
+        ready = [models._vector(["a", "b"]).transform(d) for d in (data, few)]
+        said = []
+        for rows, of in zip(ready, (settings, weighed)):
+            model = kind(labelCol=label, featureSubsetStrategy="all", seed=1, **of).fit(rows)
+            column = models.vector_to_array("probability")[1] if label == "label" else F.col("prediction")
+            cells = model.transform(ready[0]).select("a", "b", column.alias("p")).distinct().collect()
+            said.append({(r["a"], r["b"]): r["p"] for r in cells})
+        assert said[0].keys() == said[1].keys()
+        assert all(said[0][k] == pytest.approx(said[1][k], abs=1e-9) for k in said[0])
+
+
+def test_a_fold_keeps_parts_to_draw_from(spark, monkeypatch):
+    """With drawing, a combination stays in parts; a half that a fold would not halve stays as it is; a missing label is not averaged away."""
+    data = models.stable(_many_equal(spark), ["row_id"])
+    monkeypatch.setattr(models, "FEW_ROWS", 300)
+    few, weighed = models.folded(data, ["a", "b"], "label", "row_id", TREES)
+    assert 24 * models.LEAST_PARTS <= few.count() <= 400 and weighed["weightCol"] == "weight"
+    assert few.agg(F.sum("weight")).first()[0] == 6000
+    assert models.folded(data, ["row_id"], "label", "row_id", TREES) == (data, TREES)
+    whole = models.classify("x", data, data, ["a", "b"], "label", TREES).values
+    parts = models.classify("x", data, data, ["a", "b"], "label", TREES, row_id="row_id").values
+    assert parts["roc_auc"] == pytest.approx(whole["roc_auc"], abs=0.02)
+    holed = data.withColumn("log_loss", F.when(F.col("row_id") != 7, F.col("log_loss")))
+    assert models.folded(holed, ["a", "b"], "log_loss", "row_id", TREES, True)[0].where("log_loss is null").count() == 1
+
+
 @pytest.mark.parametrize("values, column", [(47, "hazard_id"), (77, "district_id")])
 def test_every_code_can_be_split(spark, values, column):
     """A label that the code alone decides is learned exactly, however many codes there are."""
