@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V, schema
+from .order_stats import Ask, locate_many
 
 
 def incident_list(incidents: DataFrame, hazards: DataFrame, page: int | None = 1, size: int = V.PAGE_SIZE) -> DataFrame:
@@ -27,6 +31,26 @@ def incident_list(incidents: DataFrame, hazards: DataFrame, page: int | None = 1
     )
 
 
+UNDATED = -(1 << 62)  # sorts ahead of any time, newest first
+
+
+def positions(incidents: DataFrame, places: list[int]) -> list[tuple]:
+    """(incident_on, id) of the rows at the given places of the list, counted from 1, to go on from by `incidents_after`.
+
+    The rows are located by histogram passes, which return a bounded number of rows however deep a place is; a top-k would
+    send all rows ahead of a place to the driver.
+    """
+    newest = F.coalesce(-F.unix_micros(F.col("incident_on").cast("timestamp")), F.lit(UNDATED))
+    number = F.col("id").cast("bigint")
+    times = locate_many(incidents, [Ask(newest, [p - 1 for p in places])])[0]
+    ids = locate_many(incidents, [Ask(number, [p - 1 - t.below], newest == F.lit(t.value)) for p, t in zip(places, times)])
+    at = [(t.value, i.value) for t, (i,) in zip(times, ids)]
+    here = reduce(or_, [(newest == F.lit(t)) & (number == F.lit(i)) for t, i in at])
+    found = incidents.where(here).select(newest.alias("t"), "incident_on", "id").distinct().collect()  # one row per place
+    rows = {(r["t"], r["id"]): (r["incident_on"], r["id"]) for r in found}
+    return [rows[k] for k in at]
+
+
 def incidents_after(incidents: DataFrame, hazards: DataFrame, incident_on, row_id, size: int = V.PAGE_SIZE) -> DataFrame:
     """The page of the list that follows a (time, id) position: a filter, so deep pages cost as little as early ones.
 

@@ -443,12 +443,10 @@ def incident_page_after(spark, sf):
     rows = stable(_undated(star.incidents(spark, sf)))
     hazards = star.hazards(spark, sf)
     undated = rows.where("incident_on is null").agg(F.count("*")).first()[0]
-    order = [F.desc_nulls_first("incident_on"), F.asc("id")]
+    places = {"inside the undated": undated - 20, "last undated": undated, "dated": undated + 500}
     pages = []
-    for name, place in (("inside the undated", undated - 20), ("last undated", undated), ("dated", undated + 500)):
-        at = rows.select("incident_on", "id").orderBy(*order).offset(place - 1).limit(1).first()
-        page = listing.incidents_after(rows, hazards, at["incident_on"], at["id"])
-        pages.append(page.withColumn("position", F.lit(name)))
+    for name, at in zip(places, listing.positions(rows, list(places.values()))):
+        pages.append(listing.incidents_after(rows, hazards, *at).withColumn("position", F.lit(name)))
     return reduce(DataFrame.unionByName, pages).select(
         "position", "id", "title", F.col("hazard.id").alias("hazard_id"), F.col("hazard.title").alias("hazard"),
         day_text("incident_on").alias("incident_on"), "latitude",

@@ -151,10 +151,23 @@ def test_list_newest_first_unknown_time_on_top(spark):
     assert [r["id"] for r in listing.incidents_after(inc, haz, at + dt.timedelta(days=1), 3).collect()] == [1]
     assert [r["id"] for r in listing.incidents_after(inc, haz, None, 2, 1).collect()] == [3]
     assert [r["id"] for r in listing.incidents_after(inc, haz, None, 1).collect()] == [2, 3, 1]
+    assert listing.positions(inc, [3, 1, 2]) == [(at, 1), (None, 2), (at + dt.timedelta(days=1), 3)]
     assert listing.total(inc).first()["count"] == 3
     assert [r["title"] for r in listing.hazard_list(haz).collect()] == ["Landslide", "Snake Bite"]
 
 
+def test_positions_are_those_of_the_whole_order(spark):
+    """Undated rows ahead, many rows of one time, a repeated row: each place gives the row that the full order has there."""
+    at = dt.datetime(2026, 7, 15)
+    rows = [(i, None if i % 5 == 0 else at - dt.timedelta(days=i % 3)) for i in range(1, 400)] + [(7, at - dt.timedelta(days=1))]
+    inc = spark.createDataFrame(rows, "id bigint, incident_on timestamp").repartition(7)
+    whole = [tuple(r) for r in inc.orderBy(F.desc_nulls_first("incident_on"), "id").select("incident_on", "id").collect()]
+    places = [1, 60, 79, 80, 200, 213, 214, 400]
+    assert listing.positions(inc, places) == [whole[p - 1] for p in places]
+    with pytest.raises(ValueError):
+        listing.positions(inc, [401])
+
+
 def test_map_drops_zero_only_when_drawing(spark):
     inc = spark.createDataFrame([(1, 17, None, 0.0, 82.6), (2, 17, None, 28.0, 82.6), (3, 17, None, None, None)], "id int, hazard_id int, incident_on timestamp, lat double, lon double")
     haz = spark.createDataFrame([(17, "Landslide", "#1")], "id int, title string, color string")
