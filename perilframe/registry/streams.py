@@ -20,17 +20,16 @@ def stream_upsert(spark, sf):
     """All reports land, then every F and P report lands again revised; the second run reads only the new files."""
     rows = star.incidents(spark, sf)
     landing, log, progress = (scratch_path(spark, n) for n in ("landing", "log", "progress"))
-    star.raw_records(rows).select("record").write.text(landing)
+    star.raw_records(rows).select("record").write.text(landing, compression="gzip")
     intake.start(spark, landing, log, progress).awaitTermination()
     revised = F.concat(F.lit("revised "), F.col("id").cast("string"))
     again = star.raw_records(
         rows.where("status <> 'O'").withColumn("hazard_id", F.lit(40)), title=revised, modified="interval 5 days"
     )
-    again.select("record").write.mode("append").text(landing)
+    again.select("record").write.mode("append").text(landing, compression="gzip")
     intake.start(spark, landing, log, progress).awaitTermination()
-    return intake.current(intake.read_log(spark, log)).select(
-        "id", "title", "hazard_id", "verified", time_text("modified_on").alias("modified_on")
-    )
+    found = intake.current(intake.read_log(spark, log), columns=["id", "title", "hazard_id", "verified", "modified_on"])
+    return found.withColumn("modified_on", time_text("modified_on"))
 
 
 @query(

@@ -44,6 +44,32 @@ def test_intake_folds_rejects_and_replays(spark, tmp_path):
     assert state(spark, str(log)) == expected
 
 
+def test_intake_collapses_only_repeated_keys(spark, tmp_path, monkeypatch):
+    """A report whose key stands once in its batch is written as it is; the current table can be asked for some of its columns."""
+    seen, whole = [], intake.collapse
+
+    def collapse(batch, *args):
+        seen.append(sorted(r["id"] for r in batch.select("id").collect()))
+        return whole(batch, *args)
+
+    monkeypatch.setattr(intake, "collapse", collapse)
+    log, title = str(tmp_path / "log"), lambda t, day: {"title": t, "hazard": 5, "modifiedOn": f"2024-01-0{day}T00:00:00+00:00"}
+    land(tmp_path / "a", "a.json", {"id": 1, **title("one", 1)}, {"id": 2, **title("new", 3)}, {"id": 2, **title("old", 2)}, {"id": 3, "verified": True})
+    land(tmp_path / "b", "b.json", {"id": 3, **title("three", 4)}, {"id": 4, **title("four", 4)})
+    for i, name in enumerate(("a/a.json", "b/b.json")):
+        intake._write_batch(log, None)(spark.read.text(str(tmp_path / name)), i)
+    assert seen == [[2, 2], []]
+    rows = intake.read_log(spark, log)
+    full = intake.current(rows)
+    assert {r["id"]: (r["title"], r["hazard_id"], r["verified"]) for r in full.collect()} == {
+        1: ("one", 5, None), 2: ("new", 5, None), 3: ("three", None, None), 4: ("four", 5, None)}
+    few = intake.current(rows, columns=["verified", "id", "hazard_id", "modified_on"])
+    assert few.columns == ["verified", "id", "hazard_id", "modified_on"]
+    assert sorted(map(str, few.collect())) == sorted(map(str, full.select(few.columns).collect()))
+    plan = few._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "raw_data" in line and "Relation [" not in line]
+
+
 def test_daily_counts_across_batches(spark, tmp_path):
     src, out, progress = (str(tmp_path / n) for n in ("src", "out", "progress"))
     ddl = "ts timestamp, kind string, value double"
