@@ -65,13 +65,22 @@ def _vector(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
 
 
+def _laid_out(marked: DataFrame, order: list[str]) -> DataFrame:
+    """A marked table as the fits read it, given one whose mark is a comparison over written rows.
+
+    The rows of a small train half are drawn as they lie, so they are written by `order`; a large one is folded, whatever its layout.
+    """
+    return stable(marked, order) if splits.halves(marked)[0].count() <= 2 * FEW_ROWS else marked
+
+
 def _halves(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both halves of a marked table that is written once; the fit reads it many times."""
     shared_folder(marked.sparkSession)  # boosting checkpoints its running residuals there
     return splits.halves(marked)
 
 
-# A train half of up to twice FEW_ROWS rows is fitted as it is; of a larger one, equal rows are folded into at least LEAST_PARTS rows with a weight.
+# A train half of up to twice FEW_ROWS rows is fitted as it is. Of a larger one, equal rows are folded into some FEW_ROWS rows with a weight, or into
+# LEAST_PARTS a combination as long as these are no more than twice FEW_ROWS.
 FEW_ROWS, LEAST_PARTS = 500_000, 8
 
 
@@ -82,28 +91,52 @@ def folded(
 
     Rain is known per pixel and day and the other features are codes, so a large half has far more rows than combinations. Such rows
     follow the same path in every tree and have the same gradient: one row that weighs as much gives the same splits and leaves, and the fewest
-    rows of a leaf become the least weight. As boosting draws rows at random, a combination stays in several parts (by the hash of the row's id),
-    of which each round draws some; without drawing it is one part. With `averaged` (squared error) only the features need be equal: the label
-    is then the part's mean, as what labels vary inside it is the same for every split. A half whose rows a fold would not halve stays as it is.
+    rows of a leaf become the least weight. As boosting draws rows at random, a combination is cut into parts of about equal weight, of which each
+    round draws some: common ones into many, rare ones stay whole, so that no draw moves more than a sliver of the half, and the fit has no
+    more rows than twice FEW_ROWS and the combinations. Without drawing it is one part. With `averaged` (squared error) only the features need
+    be equal: the label is then their mean, as what labels vary inside it is the same for every split; rows without one stay apart. A half
+    with less than two rows a combination stays as it is.
     """
     rows = train.count()
     least = params.get("minInstancesPerNode", 1)
     if rows <= max(2 * FEW_ROWS, 2 * least):
         return train, params
     same = features if averaged else [*features, label]
-    combinations = train.select(*same).distinct().count()
-    parts = 1 if params.get("subsamplingRate", 1.0) == 1.0 else max(LEAST_PARTS, FEW_ROWS // combinations)
-    if 2 * combinations * parts > rows:
+    # Summed as decimals, so that the mean does not depend on the order in which partial sums arrive.
+    n, total = F.count("*").alias("n"), F.sum(F.col(label).cast("decimal(20,15)")).cast("double")
+    apart, mean = ([F.col(label).isNull().alias("missing")], [(total / F.count(label)).alias(label)]) if averaged else ([], [])
+    sizes = stable(train.groupBy(*same, *apart).agg(*mean, n))
+    combinations = sizes.count()
+    if 2 * combinations > rows:
         return train, params
-    # Summed as decimals, so that the mean does not depend on the order in which partial sums arrive; a missing label stays one.
-    total, n = F.sum(F.col(label).cast("decimal(20,15)")).cast("double"), F.count("*")
-    mean = [F.when(F.count(label) == n, total / n).alias(label)] if averaged else []
-    part = F.pmod(F.xxhash64(row_id), F.lit(parts)).alias("part")
-    weighed = train.groupBy(*same, part).agg(*mean, n.cast("double").alias("weight"))
+    wanted = max(FEW_ROWS, min(LEAST_PARTS * combinations, 2 * FEW_ROWS, rows // 2))
+    parts = F.lit(1) if params.get("subsamplingRate", 1.0) == 1.0 else F.greatest(F.lit(1), F.floor(F.col("n") * wanted / rows).cast("int"))
+    cut = sizes.withColumn("parts", parts).select("*", F.explode(F.sequence(F.lit(1), "parts")).alias("part"))
+    share = F.floor(F.col("n") / F.col("parts")) + (F.col("part") <= F.pmod("n", "parts")).cast("int")  # whole rows, n in all
+    weighed = cut.withColumn("weight", share.cast("double")).drop("n", "parts")
     settings = {**params, "weightCol": "weight", "minInstancesPerNode": 1}
     if least > 1:  # weights are whole numbers: half a row less excludes no leaf of `least` rows by rounding
         settings["minWeightFractionPerNode"] = (least - 0.5) / rows
-    return stable(weighed, [*same, "part"]).drop("part"), settings
+    order = [*same, *(["missing"] if averaged else []), "part"]
+    return stable(weighed, order).drop("part", "missing"), settings
+
+
+def _fitted_rows(
+    train: DataFrame, features: list[str], label: str, row_id: str, params: dict, averaged: bool = False
+) -> tuple[DataFrame, dict]:
+    """`folded`; a large half that does not fold is laid out by row, so that its draws repeat from run to run."""
+    few, settings = folded(train, features, label, row_id, params, averaged)
+    if settings is params and train.count() > 2 * FEW_ROWS:
+        few = stable(train, [row_id, label])
+    return few, settings
+
+
+def _predicted(model, rows: DataFrame, features: list[str], once: bool) -> DataFrame:
+    """Rows with their prediction; with `once`, every combination of features passes the trees once and its rows join it."""
+    if not once:
+        return model.transform(rows)
+    scored = model.transform(rows.select(*features).distinct())
+    return rows.join(stable(scored.select(*features, *[c for c in ("probability", "prediction") if c in scored.columns])), features)
 
 
 def _together(fits: list[Callable[[], Run]]) -> list[Run]:
@@ -114,15 +147,17 @@ def _together(fits: list[Callable[[], Run]]) -> list[Run]:
 
 def classify(name, train, test, features, label, params, seed=V.SEED, row_id: str | None = None) -> Run:
     """Boosted trees with all features tried at each split. With `row_id`, equal rows of a large train half are folded."""
+    settings = params
     if row_id is not None:
-        train, params = folded(train, features, label, row_id, params)
-    trees = GBTClassifier(labelCol=label, featuresCol="features", featureSubsetStrategy="all", seed=seed, **params)
+        train, settings = _fitted_rows(train, features, label, row_id, params)
+    trees = GBTClassifier(labelCol=label, featuresCol="features", featureSubsetStrategy="all", seed=seed, **settings)
     model = Pipeline(stages=[_vector(features), trees]).fit(train)
-    return Run(name, model, features, metrics.classification_metrics(stable(_scored(model, test, label))))
+    predicted = _predicted(model, test, features, once=settings is not params)
+    return Run(name, model, features, metrics.classification_metrics(stable(_scored(predicted, label))))
 
 
-def _scored(model, test: DataFrame, label: str) -> DataFrame:
-    return model.transform(test).select(
+def _scored(predicted: DataFrame, label: str) -> DataFrame:
+    return predicted.select(
         F.col(label).cast("int").alias("label"), vector_to_array("probability")[1].alias("score")
     )
 
@@ -169,13 +204,13 @@ def score_counts(model: PipelineModel, features: DataFrame) -> DataFrame:
 
 def fit_leadlag(training: DataFrame, params=None) -> Run:
     """Boosting on rain, month and district; the most recent share of days is held out."""
-    train, test = _halves(stable(splits.mark_recent_dates(training, "sample_date"), ["row_id", "label"]))
+    train, test = _halves(_laid_out(splits.mark_recent_dates(stable(training), "sample_date"), ["row_id", "label"]))
     return classify("leadlag", train, test, V.LEADLAG_FEATURES, "label", params or V.GBT_LEADLAG, row_id="row_id")
 
 
 def fit_default_boosting(training: DataFrame, params=None) -> Run:
     """Untuned boosting on the stratified random split."""
-    train, test = _halves(stable(splits.mark_stratified(training, "label", "row_id"), ["row_id", "label"]))
+    train, test = _halves(_laid_out(splits.mark_stratified(stable(training), "label", "row_id"), ["row_id", "label"]))
     return classify("gbt_default", train, test, V.LEADLAG_FEATURES, "label", params or V.GBT_DEFAULT, row_id="row_id")
 
 
@@ -218,7 +253,7 @@ def fit_logistic(name: str, dataset: DataFrame, rain: bool, district: bool, max_
         maxIter=max_iter, regParam=1.0 / total, elasticNetParam=0.0,
     )
     model = Pipeline(stages=[_vector(inputs), regression]).fit(train)
-    values = metrics.classification_metrics(stable(_scored(model, test, "label")))
+    values = metrics.classification_metrics(stable(_scored(model.transform(test), "label")))
     if rain and not district:
         values.update({f"coef_{c}": float(w) for c, w in zip(V.RAIN_SUMS, model.stages[-1].coefficients)})
     return Run(name, model, inputs, values)
@@ -295,7 +330,7 @@ def fit_severity(dataset: DataFrame, params=None, tautology_rate: float = V.TAUT
     rate_from="all" takes the hazard rates over the whole table; "train" keeps test labels out of them.
     """
     params = params or V.GBT_SEVERITY
-    marked = stable(splits.mark_recent_rows(stable(dataset), "incident_on", "incident_id"), ["incident_id"])
+    marked = _laid_out(splits.mark_recent_rows(stable(dataset), "incident_on", "incident_id"), ["incident_id"])
     train, test = _halves(marked)
     sure = profile.tautological(marked if rate_from == "all" else train, train, "hazard_id", "casualty", tautology_rate)
     hard_train, hard_test = (stable(profile.drop_groups(d, sure, "hazard_id")) for d in (train, test))
@@ -317,14 +352,15 @@ def fit_severity(dataset: DataFrame, params=None, tautology_rate: float = V.TAUT
 
 
 def _loss_halves(dataset: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _halves(stable(splits.mark_recent_rows(stable(dataset), "incident_on", "incident_id"), ["incident_id"]))
+    return _halves(_laid_out(splits.mark_recent_rows(stable(dataset), "incident_on", "incident_id"), ["incident_id"]))
 
 
 def _regress(name, train, test, features, params) -> Run:
-    train, params = folded(train, features, "log_loss", "incident_id", params, averaged=True)
-    trees = GBTRegressor(labelCol="log_loss", featuresCol="features", featureSubsetStrategy="all", seed=V.SEED, **params)
+    train, settings = _fitted_rows(train, features, "log_loss", "incident_id", params, averaged=True)
+    trees = GBTRegressor(labelCol="log_loss", featuresCol="features", featureSubsetStrategy="all", seed=V.SEED, **settings)
     model = Pipeline(stages=[_vector(features), trees]).fit(train)
-    scored = stable(model.transform(test).select("estimated_loss", F.col("log_loss").alias("actual"), F.col("prediction").alias("predicted")))
+    predicted = _predicted(model, test, features, once=settings is not params)
+    scored = stable(predicted.select("estimated_loss", F.col("log_loss").alias("actual"), F.col("prediction").alias("predicted")))
     flat = metrics.regression_metrics(scored).first()
     real = metrics.back_transformed_mae(scored, "estimated_loss", "predicted").first()
     return Run(name, model, features, dict(zip(V.LOSS_METRICS, (flat["r2"], flat["mae"], real["mae_real"]))))
@@ -350,12 +386,16 @@ def fit_tiers(dataset: DataFrame, params=None) -> Run:
     train, test = _loss_halves(dataset)
     edges = order_stats.quantiles(train, "log_loss", [1 / 3, 2 / 3])
     train, test = (d.withColumn("tier", S.tier("log_loss", edges).cast("double")) for d in (train, test))
-    train, params = folded(stable(train, ["incident_id"]), V.SEVERITY_FEATURES, "tier", "incident_id", params or V.GBT_LOSS)
-    trees = GBTClassifier(featureSubsetStrategy="all", seed=V.SEED, **params)
-    weight = {"weightCol": params["weightCol"]} if "weightCol" in params else {}
+    params = params or V.GBT_LOSS
+    train, settings = folded(train, V.SEVERITY_FEATURES, "tier", "incident_id", params)
+    if settings is params:
+        train = stable(train, ["incident_id"])
+    trees = GBTClassifier(featureSubsetStrategy="all", seed=V.SEED, **settings)
+    weight = {"weightCol": settings["weightCol"]} if "weightCol" in settings else {}
     rest = OneVsRest(classifier=trees, labelCol="tier", featuresCol="features", parallelism=3, **weight)
     model = Pipeline(stages=[_vector(V.SEVERITY_FEATURES), rest]).fit(train)
-    scored = stable(model.transform(test).select(F.col("tier").alias("actual"), F.col("prediction").alias("predicted")))
+    predicted = _predicted(model, test, V.SEVERITY_FEATURES, once=settings is not params)
+    scored = stable(predicted.select(F.col("tier").alias("actual"), F.col("prediction").alias("predicted")))
     flat = metrics.multiclass_metrics(scored).first()
     return Run(V.TIER_RUN, model, V.SEVERITY_FEATURES, {
         "accuracy": flat["accuracy"], "f1_macro": flat["f1_macro"], "edge_low": edges[0], "edge_high": edges[1],

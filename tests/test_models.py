@@ -223,3 +223,32 @@ def test_jobs_use_the_newest_saved_model(spark, tmp_path, training):
     scored, rejected = jobs.predict_hazard(asked, places, daily, log)
     assert scored.count() + rejected.count() == 2 and rejected.count() >= 1
     assert scored.where("risk_probability < 0 or risk_probability > 1").count() == 0
+
+
+def test_a_fold_stays_small_with_many_combinations(spark, monkeypatch):
+    """3,000 combinations, one of them with a third of the rows: no more rows than the combinations and twice FEW_ROWS, none that weighs a lot."""
+    rows = [(i, float(i % 2999 + 1) if i % 3 else 0.0, i % 2) for i in range(30_000)]
+    data = models.stable(spark.createDataFrame(rows, "row_id bigint, a double, label int"), ["row_id"])
+    monkeypatch.setattr(models, "FEW_ROWS", 1000)
+    for label, averaged in (("label", False), ("row_id", True)):
+        few, weighed = models.folded(data, ["a"], label, "row_id", TREES, averaged)
+        combinations = data.select("a", *([] if averaged else ["label"])).distinct().count()
+        assert "weightCol" in weighed and combinations < few.count() <= combinations + 2 * models.FEW_ROWS
+        assert few.agg(F.sum("weight")).first()[0] == 30_000
+        assert few.agg(F.max("weight")).first()[0] <= 60
+        sums = few.groupBy("a").agg(F.sum("weight").alias("w")).join(data.groupBy("a").count(), "a")
+        assert sums.where("w <> count").count() == 0
+
+
+def test_a_large_half_is_not_sorted_by_row(spark, training, monkeypatch):
+    """Folded rows have their own layout, so the half before them needs none; each combination of the test half is scored once, for all its rows."""
+    data = training.withColumns({c: F.floor(F.col(c) / 10) for c in V.RAIN_ALL}).withColumn("month", F.lit(1))
+    orders, scored = [], []
+    write, predict = models.stable, models._predicted
+    monkeypatch.setattr(models, "stable", lambda df, order=None: (orders.append(order), write(df, order))[1])
+    monkeypatch.setattr(models, "_predicted", lambda *of, once: (scored.append((of, predict(*of, once=once))), scored[-1][1])[1])
+    monkeypatch.setattr(models, "FEW_ROWS", 100)
+    run = models.fit_leadlag(data, TREES)
+    assert ["row_id", "label"] not in orders and run.values["roc_auc"] > 0.6
+    (model, test, _), once = scored[0]
+    assert sorted(once.select("row_id", "prediction").collect()) == sorted(model.transform(test).select("row_id", "prediction").collect())
