@@ -107,9 +107,11 @@ def key_windows(keys: DataFrame, grid: DataFrame, day: str) -> DataFrame:
 
 
 def centroids(samples: DataFrame, group: str, lon: str, lat: str, order: str) -> DataFrame:
-    """One (lon, lat) per group: that of its smallest order key."""
-    at = F.min_by(F.struct(lon, lat), order)
-    return samples.groupBy(group).agg(at.alias("at")).select(group, f"at.{lon}", f"at.{lat}")
+    """One (lon, lat) per group: that of its smallest order key.
+
+    Both see the same rows in the same order, so they come from one row; plain numbers are aggregated by hash, a struct would sort the samples.
+    """
+    return samples.groupBy(group).agg(F.min_by(lon, order).alias(lon), F.min_by(lat, order).alias(lat))
 
 
 def daily_rain(points: DataFrame, grid: DataFrame, geometry: Geometry, target_days: DataFrame, group: str) -> DataFrame:

@@ -35,8 +35,8 @@ def _leadlag(spark, sf):
     return _once("leadlag", spark, sf, lambda: models.fit_leadlag(_training(spark, sf)))
 
 
-def _training(spark, sf):
-    return datasets.leadlag_training(stable(leadlag(spark, sf)))
+def _training(spark, sf, **read):
+    return datasets.leadlag_training(leadlag(spark, sf, **read))
 
 
 @query("rf_counts")
@@ -283,7 +283,7 @@ def loss_summary(spark, sf):
 )
 def leadlag_summary(spark, sf):
     """What a lead-lag evaluation prints about its halves: rows, days and the share of incidents."""
-    marked = stable(splits.mark_recent_dates(_training(spark, sf), "sample_date"))
+    marked = stable(splits.mark_recent_dates(stable(_training(spark, sf)), "sample_date"))
     summary = profile.split_summary(marked, "sample_date", "label", V.RAIN_ALL).drop("missing_input", "near_certain")
     return summary.withColumns({
         "first_day": day_text("first_day"), "last_day": day_text("last_day"), "positive_rate": F.round("positive_rate", 6),

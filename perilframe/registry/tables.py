@@ -276,7 +276,7 @@ neg AS (SELECT number AS id, district_id, d FROM (SELECT *, row_number() OVER
 
 def negatives(spark, sf, rows=None):
     """Drawn non-event days with an id, at the district's point."""
-    rows = stable(star.incidents(spark, sf).select("id", "district_id", "incident_on", "lon", "lat")) if rows is None else rows
+    rows = incident_points(spark, sf) if rows is None else rows
     points = rain.centroids(rows, "district_id", "lon", "lat", "id")
     positives = rows.select("district_id", F.to_date("incident_on").alias("sample_date"))
     # On the large tables events are so dense that too few (district, day) pairs are free; the ratio says how few.
@@ -294,13 +294,18 @@ def negatives_with_rain(spark, sf, grid=None):
     return update_only(empty, found, ["id"], V.RAIN_ALL)
 
 
-def leadlag(spark, sf):
-    """Incidents and drawn days are looked up in the grid together."""
-    rows = stable(star.incidents(spark, sf).select("id", "district_id", "incident_on", "lon", "lat"))
+def incident_points(spark, sf):
+    return stable(star.incidents(spark, sf).select("id", "district_id", "incident_on", "lon", "lat"))
+
+
+def leadlag(spark, sf, rows=None, grid=None):
+    """Incidents and drawn days are looked up in the grid together. Callers that read the incident points or the grid again pass them."""
+    rows = rows if rows is not None else incident_points(spark, sf)
+    grid = grid if grid is not None else stable(star.rain_grid(spark, sf))
     drawn = negatives(spark, sf, rows).select("id", "district_id", "sample_date", "lon", "lat", F.lit(0).alias("label"))
     events = rows.select("id", "district_id", F.to_date("incident_on").alias("sample_date"), "lon", "lat", F.lit(1).alias("label"))
-    samples = stable(events.unionByName(drawn).withColumnRenamed("id", "row_id"))
-    return datasets.leadlag_at(samples, stable(star.rain_grid(spark, sf)), star.GEOMETRY)
+    samples = events.unionByName(stable(drawn)).withColumnRenamed("id", "row_id")  # both are written
+    return datasets.leadlag_at(samples, grid, star.GEOMETRY)
 
 
 @query(

@@ -120,3 +120,11 @@ def test_shared_folder_follows_the_setting(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert shared_folder(spark) == named
     assert all(named in f for f in stable(spark.range(1)).inputFiles())
+
+
+def test_centroids_do_not_sort_the_samples(spark):
+    rows = [(3, "a", 1.5, None), (2, "a", 2.5, 3.5), (None, "a", 9.0, 9.0), (7, "b", None, 4.0), (8, "b", 1.0, 1.0), (None, "c", 1.0, 1.0)]
+    samples = spark.createDataFrame(rows, "id bigint, place string, lon double, lat double")
+    found = rain.centroids(samples, "place", "lon", "lat", "id")
+    assert sorted(map(tuple, found.collect())) == [("a", 2.5, 3.5), ("b", None, 4.0), ("c", None, None)]
+    assert "SortAggregate" not in plan(rain.centroids(samples, "id", "lon", "lat", "id"))
