@@ -14,7 +14,7 @@ from ..operators import grids, order_stats, profile, rain, splits
 from ..plans import anomaly, datasets, jobs, models, runlog, star
 from ..session import scratch_path, stable
 from .base import INC, INCRAIN, KEYRAIN, RAIN, day_text, query, with_
-from .tables import LEADLAG_SQL, NEGATIVES_SQL, SEVERITY_SQL, built_panel, leadlag, losses, monthly, severity
+from .tables import LEADLAG_SQL, NEGATIVES_SQL, SEVERITY_SQL, built_panel, incident_points, leadlag, losses, monthly, severity
 
 _RUNS: dict[tuple, object] = {}
 
@@ -86,10 +86,11 @@ def leadlag_model(spark, sf):
 def score_hazard(spark, sf):
     """Every district on every incident day, scored from precomputed rain; days without rain are rejected."""
     log, root = scratch_path(spark, "runs"), scratch_path(spark, "models")
-    jobs.retrain_leadlag(_training(spark, sf), log, root)
-    points = rain.centroids(star.incidents(spark, sf), "district_id", "lon", "lat", "id")
+    rows, grid = incident_points(spark, sf), stable(star.rain_grid(spark, sf))
+    jobs.retrain_leadlag(_training(spark, sf, rows=rows, grid=grid), log, root)
+    points = rain.centroids(rows, "district_id", "lon", "lat", "id")
     days = star.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("sample_date"))
-    daily = stable(rain.daily_rain(points, stable(star.rain_grid(spark, sf)), star.GEOMETRY, days, "district_id"))
+    daily = stable(rain.daily_rain(points, grid, star.GEOMETRY, days, "district_id"))
     names = star.districts(spark, sf)
     dates = days.select(F.col("sample_date").cast("string").alias("date")).agg(F.collect_set("date")).scalar()
     everywhere = names.select(F.col("title").alias("district"), F.explode(dates).alias("date"))

@@ -30,6 +30,15 @@ def _counted(monkeypatch, name):
     return made
 
 
+def test_score_hazard_builds_incidents_and_grid_once(spark, tmp_path, monkeypatch):
+    at = _folder(spark, tmp_path / "sf")
+    monkeypatch.setattr(modelling.models.V, "GBT_LEADLAG", {"maxIter": 2, "maxDepth": 2})
+    made, grids = _counted(monkeypatch, "incidents"), _counted(monkeypatch, "rain_grid")
+    scored = modelling.score_hazard(spark, at)
+    assert scored.count() > 100 and scored.where("risk_probability < 0 or risk_probability > 1").count() == 0
+    assert len(made) == len(grids) == 1
+
+
 def test_a_lead_lag_set_is_written_once_for_its_fit(spark, tmp_path, monkeypatch):
     at = _folder(spark, tmp_path / "sf")
     widths, write = [], models.stable
