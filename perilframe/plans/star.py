@@ -173,8 +173,12 @@ def rain_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_points(incidents(spark, sf_dir))
+
+
+def sample_points(rows: DataFrame) -> DataFrame:
     """Incident points to look rain up for."""
-    return incidents(spark, sf_dir).select(
+    return rows.select(
         F.col("id").alias("incident_id"), "district_id", F.to_date("incident_on").alias("incident_date"), "lon", "lat"
     )
 

@@ -26,9 +26,10 @@ def built_panel(spark, sf):
     return panel.build_panel(star.incidents(spark, sf), star.districts(spark, sf), star.hazards(spark, sf))
 
 
-def rain_at_incidents(spark, sf, gate=1, grid=None):
+def rain_at_incidents(spark, sf, gate=1, grid=None, samples=None):
     grid = grid if grid is not None else stable(star.rain_grid(spark, sf))
-    return rain.at_points(stable(star.samples(spark, sf)), grid, star.GEOMETRY, "incident_date", "lon", "lat", gate)
+    samples = samples if samples is not None else stable(star.samples(spark, sf))
+    return rain.at_points(samples, grid, star.GEOMETRY, "incident_date", "lon", "lat", gate)
 
 
 # --- panel ---------------------------------------------------------------
@@ -377,12 +378,18 @@ SEVERITY_SQL = """severity AS (
 _FEATURES_OUT = "incident_id, strftime(incident_on, '%Y-%m-%d %H:%M:%S') AS incident_on, hazard_id, district_id, month, day_of_week, rain_1d, rain_3d, rain_7d, rain_peak_7d"
 
 
+def _reports(spark, sf):
+    """(incidents with their report, rain at them); both read the same written rows."""
+    rows = stable(star.incidents(spark, sf).select("id", "hazard_id", "district_id", "incident_on", "lon", "lat", "status", "price"))
+    return star.with_raw(rows), rain_at_incidents(spark, sf, samples=star.sample_points(rows))
+
+
 def severity(spark, sf):
-    return datasets.severity_dataset(star.with_raw(star.incidents(spark, sf)), rain_at_incidents(spark, sf))
+    return datasets.severity_dataset(*_reports(spark, sf))
 
 
 def losses(spark, sf):
-    return datasets.loss_dataset(star.with_raw(star.incidents(spark, sf)), rain_at_incidents(spark, sf))
+    return datasets.loss_dataset(*_reports(spark, sf))
 
 
 @query(

@@ -30,6 +30,18 @@ def _counted(monkeypatch, name):
     return made
 
 
+def test_reports_and_their_rain_share_one_incident_table(spark, tmp_path, monkeypatch):
+    at = _folder(spark, tmp_path / "sf")
+    plain = [
+        make(star.with_raw(star.incidents(spark, at)), tables.rain_at_incidents(spark, at)) for make in (datasets.severity_dataset, datasets.loss_dataset)
+    ]
+    made = _counted(monkeypatch, "incidents")
+    for want, make in zip(plain, (tables.severity, tables.losses)):
+        got = make(spark, at)
+        assert got.columns == want.columns and got.count() > 100 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert len(made) == 2
+
+
 def test_score_hazard_builds_incidents_and_grid_once(spark, tmp_path, monkeypatch):
     at = _folder(spark, tmp_path / "sf")
     monkeypatch.setattr(modelling.models.V, "GBT_LEADLAG", {"maxIter": 2, "maxDepth": 2})
